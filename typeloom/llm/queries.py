@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import bpe, language_id, near_dedup, packing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language_id.op2,
+    "op6_bpe": bpe.op6,
     "op7_near_dedup": near_dedup.op7,
+    "op8_quality_rules": quality_rules.op8,
+    "op9_packing": packing.op9,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {}
