@@ -1,9 +1,9 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (+1), bad (-1) or abstains (0) on a text's statistics.  A
-one-coin model per rule (its accuracy where it votes) and a prior are estimated
-by expectation-maximisation, without labels; the posterior probability of
-quality replaces a filter that asks every rule to pass.
+Each rule votes good (+1), bad (-1) or abstains (0) on a text's statistics.  The
+rules' accuracies on good and on bad texts, and the share of good texts, are
+estimated by expectation-maximisation, without labels; the posterior probability
+of quality replaces a filter that asks every rule to pass.
 
 Statistics are computed in one Python pass per batch.  EM needs only how often
 each combination of votes occurs, which Spark counts over all rows: at most
@@ -24,7 +24,7 @@ from .common import Stages, batches, ngrams, read, word_hashes
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "longest")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "longest", "n_bangs")
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -48,7 +48,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     b = np.frombuffer(text.encode(), np.uint8)
     kind = _KIND[b]
     h = word_hashes(ws)
-    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines, int((kind >= 1).sum()), int((kind == 2).sum()), int(((b >= 48) & (b <= 57)).sum()), len(set(ws)), max(map(len, ws), default=0))
+    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines, int((kind >= 1).sum()), int((kind == 2).sum()), int(((b >= 48) & (b <= 57)).sum()), len(set(ws)), max(map(len, ws), default=0), text.count("!"))
 
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 upper-case ASCII letter
@@ -100,50 +100,61 @@ def rules() -> dict[str, Column]:
     """The votes, on the columns ``STATS``.  A rule whose ratio has nothing to
     divide by abstains."""
     mean = _ratio("word_chars", "n_words")
-    sym = _ratio("n_symbols", "n_words")
+    sym, sym_chars = _ratio("n_symbols", "n_words"), _ratio("n_symbols", "word_chars")
     lines = _ratio("n_dup_lines", "n_lines")
     rep = _ratio("n_repeat_words", "n_words")
-    letters = _ratio("n_letters", "word_chars")
+    letters = (F.col("n_letters") + F.col("n_digits")) / F.when(F.col("word_chars") > 0, F.col("word_chars"))
     upper = _ratio("n_upper", "n_letters")
-    digits = _ratio("n_digits", "word_chars")
+    bangs = _ratio("n_bangs", "n_words")
     variety = _ratio("n_distinct", "n_words")
     return {
         "words": _vote(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 40),
-        "word_length": _vote(mean, (mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 9)),
+        "word_length": _vote(mean, (mean < 2) | (mean > 14), (mean >= 3) & (mean <= 9)),
         "symbols": _vote(sym, sym > 0.15, sym < 0.03),
-        "lines": _vote(lines, lines > 0.3, lines < 0.1),
-        "repeats": _vote(rep, rep > 0.3, rep < 0.15),
-        "letters": _vote(letters, letters < 0.7, letters >= 0.85),
+        "symbol_chars": _vote(sym_chars, sym_chars > 0.04, sym_chars < 0.01),
+        "letters": _vote(letters, letters < 0.87, letters >= 0.92),
         "upper": _vote(upper, upper > 0.4, upper < 0.15),
-        "digits": _vote(digits, digits > 0.25, digits < 0.1),
-        "variety": _vote(variety, (variety < 0.15) & (F.col("n_words") < 400), variety >= 0.35),
+        "bangs": _vote(bangs, bangs > 0.25, bangs < 0.05),
+        "lines": _vote(lines, lines > 0.3, lines < 0.1),
+        "repeats": _vote(rep, rep > 0.3, rep < 0.1),
+        "variety": _vote(variety, (variety < 0.25) & (F.col("n_words") < 2000), variety >= 0.4),
         "longest": _vote(F.col("longest"), F.col("longest") > 400, (F.col("longest") <= 80) & (F.col("longest") > 0)),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, tol: float = 1e-9) -> tuple[float, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tol: float = 1e-7) -> tuple[float, np.ndarray]:
     """Prior and accuracies by EM over distinct vote patterns and their counts.
-    Starts from rules that are right more often than not; one pseudo-count per
-    side keeps an unused rule at its start and everything off 0 and 1."""
-    prior, acc = 0.8, np.full(patterns.shape[1], 0.8)
-    good, bad = patterns > 0, patterns < 0
-    total = counts.sum()
+
+    The accuracies are those of a rule on good and on bad texts, apart:
+    ``acc[rule, y, v + 1]`` is the probability of vote v where the truth is y,
+    so a rule that votes good on everything says nothing.  EM starts from rules
+    whose bad votes are rare and telling; that start, as pseudo-counts, also
+    stands for votes that never occur."""
+    start = np.array([[0.25, 0.15, 0.6], [0.01, 0.09, 0.9]])
+    acc = np.repeat(start[None], patterns.shape[1], axis=0)
+    prior, total = 0.85, counts.sum()
+    votes = [patterns == v for v in (-1, 0, 1)]
     for _ in range(rounds):
         p = posterior(patterns, prior, acc)
-        right = (counts[:, None] * (good * p[:, None] + bad * (1 - p[:, None]))).sum(0)
-        voted = (counts[:, None] * (good | bad)).sum(0)
-        new = (right + 8) / (voted + 10)
-        new_prior = float((counts @ p + 8) / (total + 10))
+        weight = np.stack([counts * (1 - p), counts * p])
+        new = np.stack([(weight @ v).T for v in votes], axis=2) + 2 * start
+        new /= new.sum(axis=2, keepdims=True)
+        new_prior = float((weight[1].sum() + 1.7) / (total + 2))
         done = abs(new - acc).max() < tol and abs(new_prior - prior) < tol
-        prior, acc = new_prior, np.clip(new, 0.51, 0.999)
+        prior, acc = new_prior, new
         if done:
             break
     return prior, acc
 
 
+def weights(acc: np.ndarray) -> np.ndarray:
+    """Log-odds that each rule's votes -1, 0 and 1 add."""
+    return np.log(acc[:, 1]) - np.log(acc[:, 0])
+
+
 def posterior(patterns: np.ndarray, prior: float, acc: np.ndarray) -> np.ndarray:
-    w = np.log(acc / (1 - acc))
-    z = np.log(prior / (1 - prior)) + patterns @ w
+    w = weights(acc)
+    z = np.log(prior / (1 - prior)) + w[np.arange(len(w)), patterns + 1].sum(axis=1)
     return 1 / (1 + np.exp(-z))
 
 
@@ -179,8 +190,8 @@ class QualityRules:
         prior, acc = fit(patterns, np.array([r[1] for r in found], float))
         # the log-odds are a sum over votes, so scoring needs no join
         odds = F.lit(float(np.log(prior / (1 - prior))))
-        for v, a in zip(votes.values(), acc):
-            odds = odds + v * float(np.log(a / (1 - a)))
+        for v, (bad, none, good) in zip(votes.values(), weights(acc).tolist()):
+            odds = odds + F.when(v < 0, bad).when(v > 0, good).otherwise(none)
         quality = 1 / (1 + F.exp(-odds))
         failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
         out = done.drop("pattern").withColumn("quality", quality).withColumn("base_failed", failed)
