@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, batches, ngrams, read, word_hashes
+from .common import Stages, ngrams, read, word_hashes
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -76,14 +76,14 @@ def repeated_words(h: np.ndarray, window: int = 8) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def _run(schema: pa.Schema):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one():
-            for part in parts:
-                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    yield (key, *text_stats(text.as_py()))
+def _run(column: int, carried: int, schema: pa.Schema):
+    """Statistics of a text column beside the first ``carried`` columns."""
 
-        yield from batches(one(), schema)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = np.array([text_stats(t.as_py()) for t in part.column(column)], np.int64).reshape(-1, len(STATS))
+            own = [part.column(i).cast(schema.field(i).type) for i in range(carried)]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(c) for c in found.T], schema=schema)
 
     return run
 
@@ -169,34 +169,52 @@ class QualityRules:
     def __init__(self, key: str = "doc_id", text: str = "text", *, least: float = 0.5):
         self.key, self.text, self.least = key, text, least
 
-    def stats(self, df: DataFrame) -> DataFrame:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = df.schema[self.key].dataType
-        schema = pa.schema([("k", to_arrow_type(kind))] + [(c, pa.int64()) for c in STATS])
-        ddl = f"k {kind.simpleString()}, " + ", ".join(f"{c} long" for c in STATS)
-        return df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).mapInArrow(_run(schema), ddl)
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        """``(k, *STATS, quality, base_failed, kept)`` for every row."""
-        spark = df.sparkSession
+    def stats(self, df: DataFrame, carry: bool = False) -> DataFrame:
+        """``(k, *STATS)``; with ``carry`` the table's own columns, under inner
+        names ``c0``, ``c1`` ..., in place of ``k``."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if carry:
+            inner, column = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns.index(self.text)
+        else:
+            inner, column = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")), 1
+        own = inner if carry else inner.select("k")
+        schema = pa.schema(list(to_arrow_schema(own.schema)) + [(c, pa.int64()) for c in STATS])
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + "".join(f", {c} long" for c in STATS)
+        return inner.mapInArrow(_run(column, len(own.columns), schema), ddl)
+
+    def fit(self, stats: DataFrame) -> tuple[float, np.ndarray]:
+        """Prior and accuracies from the votes of all rows."""
         votes = rules()
-        # a pattern is a number in base 3
+        # a combination of votes is a number in base 3
         code = sum(((v + 1) * 3**i for i, v in enumerate(votes.values())), F.lit(0)).cast("int")
-        done = Stages(spark, "rules").put(self.stats(df).withColumn("pattern", code), "stats")
-        found = done.groupBy("pattern").count().collect()  # at most 3 ** rules rows
+        found = stats.groupBy(code.alias("code")).count().collect()  # at most 3 ** rules rows
         codes = np.array([r[0] for r in found], np.int64)
         patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(votes))], axis=1) if len(codes) else np.zeros((0, len(votes)), np.int64)
-        prior, acc = fit(patterns, np.array([r[1] for r in found], float))
-        # the log-odds are a sum over votes, so scoring needs no join
+        return fit(patterns, np.array([r[1] for r in found], float))
+
+    def score(self, stats: DataFrame, prior: float, acc: np.ndarray) -> DataFrame:
+        """``quality``, ``base_failed`` and ``kept`` appended.  The log-odds are
+        a sum over votes, so scoring needs no join."""
         odds = F.lit(float(np.log(prior / (1 - prior))))
-        for v, (bad, none, good) in zip(votes.values(), weights(acc).tolist()):
+        for v, (bad, none, good) in zip(rules().values(), weights(acc).tolist()):
             odds = odds + F.when(v < 0, bad).when(v > 0, good).otherwise(none)
-        quality = 1 / (1 + F.exp(-odds))
         failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-        out = done.drop("pattern").withColumn("quality", quality).withColumn("base_failed", failed)
+        out = stats.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
         return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= self.least))
 
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """``(k, *STATS, quality, base_failed, kept)`` for every row."""
+        done = Stages(df.sparkSession, "rules").put(self.stats(df), "stats")
+        return self.score(done, *self.fit(done))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table's rows that are kept.  Statistics are computed twice, once
+        to fit and once beside the row, so that no text is written or shuffled."""
+        model = self.fit(self.stats(df))
+        scored = self.score(self.stats(df, carry=True), *model).where("kept")
+        return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = QualityRules()(read(spark, sf_dir, "documents"))
