@@ -14,7 +14,7 @@ What happens at scale:
 * A sketch that only one class has cannot be half of a shared table.  Sketches
   are counted first (8 bytes each, combined before the shuffle) and only pairs
   of repeated sketches become keys.
-* Buckets are compared with pivots: every member against 1, then 2, 4, 8 ...
+* Buckets are compared with pivots: every member against 4, then 16, 64 ...
   pivots a round, and only across components found so far.  No bucket's pairs
   are formed at once, none is dropped: rounds end when each bucket lies in one
   component or all its members have been pivots.
@@ -37,6 +37,8 @@ from xxhash import xxh3_128_digest
 from .common import Stages, batches, mix, ngrams, read, word_hashes
 
 _PERM_COLUMNS = 8192
+#: Pivots of a bucket in the first round; each round has four times as many.
+FIRST_PIVOTS = 4
 
 
 def sketches_per_collection(threshold: float, rows: int, miss: float) -> int:
@@ -210,7 +212,7 @@ class NearDuplicates:
         sets = stages.put(texts.mapInArrow(_sets(self.shingle, arrow), "cls binary, s array<long>").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
         sizes = classes.select("cls", "n")
         act = stages.put(member.join(sizes, "cls").withColumn("label", F.col("cls")), "active")
-        links, pivots = None, 1
+        links, pivots = None, FIRST_PIVOTS
         while True:
             order = Window.partitionBy("key").orderBy("cls")
             lead = act.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("key", F.col("cls").alias("pc"), F.col("n").alias("pn"), F.col("label").alias("pl"))
@@ -235,7 +237,7 @@ class NearDuplicates:
             act = after
             if act.isEmpty():
                 return links
-            pivots *= 2
+            pivots *= 4
 
 
 def _arrow(kind) -> pa.DataType:
