@@ -89,12 +89,21 @@ def order_key(negative: Column, whole: Column, part: Column) -> Column:
     return F.when(negative & ~zero, F.concat(F.lit("0"), F.translate(tail, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), tail))
 
 
+def split_number(c: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """An expression over the parts of a decimal literal, each taken once."""
+    negative, whole, part = _parts(c)
+    return let(F.struct(negative.alias("n"), whole.alias("w"), part.alias("p")), lambda v: body(v["n"], v["w"], v["p"]))
+
+
 def decimal_key(c: Column) -> Column:
-    return order_key(*_parts(c))
+    return split_number(c, order_key)
 
 
 def decimal_canonical(c: Column) -> Column:
-    negative, whole, part = _parts(c)
+    return split_number(c, _decimal_text)
+
+
+def _decimal_text(negative: Column, whole: Column, part: Column) -> Column:
     zero = (whole == "") & (part == "")
     digits = F.when(whole == "", "0").otherwise(whole)
     return F.concat(F.when(negative & ~zero, "-").otherwise(""), digits, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
@@ -102,9 +111,7 @@ def decimal_canonical(c: Column) -> Column:
 
 def total_digits(c: Column) -> Column:
     """Digits of the least unscaled value; 1 for zero."""
-    _, whole, part = _parts(c)
-    digits = F.when(whole == "", F.regexp_replace(part, "^0+", "")).otherwise(F.concat(whole, part))
-    return F.greatest(F.lit(1), F.length(digits))
+    return split_number(c, lambda n, w, p: F.greatest(F.lit(1), F.length(F.when(w == "", F.regexp_replace(p, "^0+", "")).otherwise(F.concat(w, p)))))
 
 
 def fraction_digits(c: Column) -> Column:
@@ -148,8 +155,16 @@ def scientific(c: Column) -> tuple[Column, Column, Column]:
     return c.startswith("-"), F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+", ""), part - exp
 
 
-def precision_key(c: Column) -> Column:
+def _science(c: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
     negative, digits, scale = scientific(c)
+    return let(F.struct(negative.alias("n"), digits.alias("d"), scale.alias("s")), lambda v: body(v["n"], v["d"], v["s"]))
+
+
+def precision_key(c: Column) -> Column:
+    return _science(c, lambda n, d, s: _precision_key(c, n, d, s))
+
+
+def _precision_key(c: Column, negative: Column, digits: Column, scale: Column) -> Column:
     padded = F.when(scale < 0, F.concat(digits, F.repeat(F.lit("0"), -scale))).otherwise(digits)
     padded = F.when(scale > 0, F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), scale - F.length(padded))), padded)).otherwise(padded)
     cut = F.length(padded) - F.greatest(F.lit(0), scale)
@@ -169,7 +184,10 @@ def precision_total(c: Column) -> Column:
 def precision_canonical(c: Column) -> Column:
     """Plain notation from 1E-6 up to 1E6 for scales of 0 and more, else an
     exponent; the coefficient's digits stay."""
-    negative, digits, scale = scientific(c)
+    return _science(c, lambda n, d, s: _precision_text(c, n, d, s))
+
+
+def _precision_text(c: Column, negative: Column, digits: Column, scale: Column) -> Column:
     sign = F.when(negative, "-").otherwise("")
     d = F.when(digits == "", "0").otherwise(digits)
     adjusted = F.length(d) - 1 - scale
@@ -464,8 +482,8 @@ def compare(a: Column, b: Column, kind: str) -> Column:
     """-1, 0, 1, or null for incomparable, of two literals in the space."""
     if kind in ("decimal", "precisionDecimal"):
         f: Callable = decimal_key if kind == "decimal" else precision_key
-        x, y = f(a), f(b)
-        return F.when(x.isNull() | y.isNull(), F.lit(None).cast("int")).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0))
+        way = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+        return let(f(a), lambda x: let(f(b), lambda y: way(x, y)))
     if kind in ("float", "double"):
         x, y = floating(a, kind), floating(b, kind)
         return F.when((a == "NaN") | (b == "NaN"), F.lit(None).cast("int")).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0))

@@ -19,6 +19,7 @@ from ..plans.content import automaton
 from ..plans.model import ANY_TYPE, ComplexType, ElementDecl, Group, Particle, Schema, Type
 from ..plans.namespaces import Wildcard
 from ..sources.xml_nodes import qname
+from ..sources.staging import stage
 from ..sources.xml_reader import XSI
 from .cta import Declined, compile_test
 from .identity import id_violations
@@ -125,9 +126,10 @@ class Assessment:
         return F.aggregate(path, start, step, lambda a: F.struct(a["decl"], a["type"], a["refused"]))
 
     def typed(self, nodes: DataFrame) -> DataFrame:
-        """Nodes with ``decl``, ``type`` and ``refused``; alternatives of a
-        declaration choose where no xsi:type does."""
-        g = nodes.where("rule is null").withColumn("g", self.governance(F.col("path"))).select("*", "g.decl", "g.type", "g.refused").drop("g")
+        """Nodes with ``decl``, ``type`` and ``refused`` (null in rows of documents
+        that are not well-formed); alternatives of a declaration choose where no
+        xsi:type does."""
+        g = nodes.withColumn("g", F.when(F.col("rule").isNull(), self.governance(F.col("path")))).select("*", "g.decl", "g.type", "g.refused").drop("g")
         plain = ~F.exists("attrs", lambda a: a["name"] == _XSI[0])
         chosen = F.lit(None).cast("int")
         for i, e in enumerate(self.decls):
@@ -147,6 +149,12 @@ class Assessment:
 
     # rules ---------------------------------------------------------------
 
+    #: Type numbers that occur in the nodes at hand; None for not known.
+    present: set[int] | None = None
+
+    def _live(self, i: int) -> bool:
+        return self.present is None or i in self.present
+
     def _case(self, on: str, items: dict[int, Column], other: Column) -> Column:
         out = other
         for i, c in items.items():
@@ -158,7 +166,7 @@ class Assessment:
         ``too_short``.  Children are gathered per parent, inside one document."""
         models: dict[int, Column] = {}
         for i, t in enumerate(self.types):
-            if isinstance(t, ComplexType) and t.variety in ("element-only", "mixed") and t is not ANY_TYPE:
+            if isinstance(t, ComplexType) and t.variety in ("element-only", "mixed") and t is not ANY_TYPE and self._live(i):
                 try:
                     models[i] = automaton(t, self.schema).verdict(F.col("children"))
                 except ModelDeclined:
@@ -173,8 +181,12 @@ class Assessment:
     def assess(self, nodes: DataFrame) -> DataFrame:
         """``(doc_id, node_id, rule, clause, cause, line, column)`` of every
         violation, documents that are not well-formed included."""
-        typed = self.typed(nodes)
-        content = self.content(typed)
+        # read by every rule: typed once, in the pass that reads the documents
+        every = stage(self.typed(nodes), "typed")
+        typed = every.where("rule is null")
+        # only types that occur get an expression: at most as many rows as types
+        self.present = {r[0] for r in typed.select("type").distinct().collect()}
+        content = stage(self.content(typed).where("reject_index is not null or too_short"), "content")
         cut = content.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), "reject_index")
         # a child from the rejected one on is untyped, with all below it
         heads = typed.join(cut, ["doc_id", "parent_id"]).where("sib >= reject_index").select("doc_id", F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
@@ -185,7 +197,7 @@ class Assessment:
         rows = kept.withColumn("nil", nil).withColumn("nilled", F.coalesce(F.trim("nil").isin("true", "1"), F.lit(False)))
         rejected = content.where("reject_index is not null or too_short").join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
         out = [
-            nodes.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
+            every.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
             self._element_rules(rows),
             rejected.where("too_short").select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit("short").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
             self._rejected_children(typed, content, kept),
@@ -207,8 +219,8 @@ class Assessment:
         violation = lambda test, rule, clause, cause=None: F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(clause).alias("clause"), (cause if cause is not None else F.lit(None).cast("string")).alias("cause")))
         ids = lambda test: [i for i, t in enumerate(self.types) if test(t)]
         some = lambda col, items: F.col(col).isin(*items) if items else F.lit(False)
-        simple = {i: t for i, t in enumerate(self.types) if isinstance(t, SimpleType)}
-        inner = {i: t.simple for i, t in enumerate(self.types) if isinstance(t, ComplexType) and t.variety == "simple" and t.simple is not None}
+        simple = {i: t for i, t in enumerate(self.types) if isinstance(t, SimpleType) and self._live(i)}
+        inner = {i: t.simple for i, t in enumerate(self.types) if isinstance(t, ComplexType) and t.variety == "simple" and t.simple is not None and self._live(i)}
         abstract = [i for i, e in enumerate(self.decls) if e.abstract]
         nillable = [i for i, e in enumerate(self.decls) if e.nillable]
         fixed = {i: e for i, e in enumerate(self.decls) if e.fixed is not None}
@@ -258,6 +270,8 @@ class Assessment:
         verdicts: list[tuple[SimpleType, list[str]]] = []
         names: list[str] = []
         for i, t in enumerate(self.types):
+            if not self._live(i):
+                continue
             if isinstance(t, SimpleType):
                 simple.append(i)
                 continue
@@ -324,8 +338,8 @@ class Assessment:
         text = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.translate(c, "\t\n\r", "   "), " +", " ")), " "), lambda x: x != "")
         for kind in ("id", "ref"):
             roles = ("id", "ids") if kind == "id" else ("ref", "refs")
-            keys = [f"{i}|{qname(*n)}" for i, t in enumerate(self.types) if isinstance(t, ComplexType) for n, a in t.attributes.items() if self._role(a.type) in roles]
-            own = [i for i, t in enumerate(self.types) if self._role(t if isinstance(t, SimpleType) else t.simple) in roles]
+            keys = [f"{i}|{qname(*n)}" for i, t in enumerate(self.types) if isinstance(t, ComplexType) and self._live(i) for n, a in t.attributes.items() if self._role(a.type) in roles]
+            own = [i for i, t in enumerate(self.types) if self._live(i) and self._role(t if isinstance(t, SimpleType) else t.simple) in roles]
             a = rows.select("doc_id", "node_id", "type", F.explode("attrs").alias("a")).where(F.concat_ws("|", F.col("type").cast("string"), "a.name").isin(*keys) if keys else F.lit(False)).select("doc_id", "node_id", F.explode(text("a.value")).alias("value"))
             e = rows.where(F.col("type").isin(*own) if own else F.lit(False)).select("doc_id", (F.coalesce("parent_id", "node_id") if kind == "id" else F.col("node_id")).alias("node_id"), F.explode(text("text")).alias("value"))
             made[kind] = a.unionByName(e)
