@@ -107,7 +107,7 @@ def _value_facet(f: Facet, owner: SimpleType, t: SimpleType, raw: Column, c: Col
         return {"length": n != int(v), "minLength": n < int(v), "maxLength": n > int(v)}[f.kind]
     kind = _kind(t)
     if f.kind in ("minInclusive", "minExclusive", "maxInclusive", "maxExclusive"):
-        way = V.compare(c, F.lit(V.white_text(v, "collapse")), kind)
+        way = V.compare(c, V.white_text(v, "collapse"), kind)
         good = {"minInclusive": way >= 0, "minExclusive": way > 0, "maxInclusive": way <= 0, "maxExclusive": way < 0}[f.kind]
         return ~F.coalesce(good, F.lit(False))  # incomparable is a failure
     if f.kind == "totalDigits":

@@ -9,8 +9,10 @@ every offset up to 14 hours, so a comparison may be neither way.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,13 +102,13 @@ def decimal_key(c: Column) -> Column:
 
 
 def decimal_canonical(c: Column) -> Column:
-    return split_number(c, _decimal_text)
-
-
-def _decimal_text(negative: Column, whole: Column, part: Column) -> Column:
-    zero = (whole == "") & (part == "")
-    digits = F.when(whole == "", "0").otherwise(whole)
-    return F.concat(F.when(negative & ~zero, "-").otherwise(""), digits, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    """No plus sign, no needless zeros, no point before nothing."""
+    x = F.regexp_replace(c, r"^\+", "")
+    x = F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1")
+    x = F.regexp_replace(x, r"\.$", "")
+    x = F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")
+    x = F.regexp_replace(x, r"^(-?)\.", "$10.")
+    return F.when(x.isin("", "-", "-0"), "0").otherwise(x)
 
 
 def total_digits(c: Column) -> Column:
@@ -460,8 +462,6 @@ def canonical(c: Column, kind: str) -> Column:
 
 def eq_key(c: Column, kind: str, bindings: Column | None = None) -> Column:
     """Equal values have equal keys; null for what equals nothing (NaN)."""
-    if kind == "decimal":
-        return decimal_key(c)
     if kind in ("float", "double"):
         v = floating(c, kind)
         return F.when(c == "NaN", F.lit(None).cast("string")).otherwise(F.when(v == 0, F.lit("0")).otherwise(floating_canonical(c, kind)))
@@ -478,17 +478,86 @@ def eq_key(c: Column, kind: str, bindings: Column | None = None) -> Column:
     return canonical(c, kind)
 
 
-def compare(a: Column, b: Column, kind: str) -> Column:
-    """-1, 0, 1, or null for incomparable, of two literals in the space."""
+def compare(a: Column, b: Column | str, kind: str) -> Column:
+    """-1, 0, 1, or null for incomparable, of two literals in the space.  A
+    constant given as text is worked out once, here."""
+    way = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    if isinstance(b, str):
+        return _compare_constant(a, b, kind, way)
     if kind in ("decimal", "precisionDecimal"):
         f: Callable = decimal_key if kind == "decimal" else precision_key
-        way = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
         return let(f(a), lambda x: let(f(b), lambda y: way(x, y)))
     if kind in ("float", "double"):
         x, y = floating(a, kind), floating(b, kind)
-        return F.when((a == "NaN") | (b == "NaN"), F.lit(None).cast("int")).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0))
+        return F.when((a == "NaN") | (b == "NaN"), F.lit(None).cast("int")).otherwise(way(x, y))
     if kind in DURATIONS:
         return compare_durations(duration_parts(a), duration_parts(b))
     if kind in TIMES:
         return compare_points(point(a, kind), point(b, kind))
     raise ValueError(f"{kind} has no order")
+
+
+def _compare_constant(a: Column, text: str, kind: str, way: Callable) -> Column:
+    if kind == "decimal":
+        exact = Decimal(text)
+        slow = way(decimal_key(a), F.lit(key_of(exact)))
+        if len(text) > 18:
+            return slow
+        # short literals are exact in 38 digits, of which 18 after the point
+        fast = way(a.try_cast("decimal(38,18)"), F.lit(exact).cast("decimal(38,18)"))
+        return F.when(F.length(a) <= 18, fast).otherwise(slow)
+    if kind in DURATIONS:
+        months, seconds = duration_of(text)
+        ends = [_seconds_from(start, months) + seconds for start in _STARTS]
+
+        def at(v: Column) -> Column:
+            signs = F.array(*[way(F.when(v["m"] == 0, v["s"]).otherwise(duration_at(v["m"], v["s"], start) - F.lit(_start(start)).cast(DIGITS)), F.lit(end).cast(DIGITS)) for start, end in zip(_STARTS, ends)])
+            plain = F.when(v["s"] < F.lit(min(ends)).cast(DIGITS), -1).when(v["s"] > F.lit(max(ends)).cast(DIGITS), 1)
+            if min(ends) == max(ends):
+                plain = F.coalesce(plain, F.lit(0))
+            return F.when(v["m"] == 0, plain).otherwise(let(F.array_distinct(signs), lambda s: F.when(F.size(s) == 1, F.get(s, 0))))
+
+        m, s = duration_parts(a)
+        return let(F.struct(m.alias("m"), s.alias("s")), at)
+    return compare(a, F.lit(text), kind)
+
+
+# the same for constants -------------------------------------------------------
+
+
+def key_of(x: Decimal) -> str:
+    """``decimal_key`` of a number."""
+    sign, digits, exp = x.as_tuple()
+    text = "".join(map(str, digits))
+    text = text + "0" * exp if exp >= 0 else text.rjust(1 - exp, "0")
+    whole, part = (text, "") if exp >= 0 else (text[:exp], text[exp:])
+    whole, part = whole.lstrip("0"), part.rstrip("0")
+    digits_ = whole or "0"
+    tail = f"{len(digits_):010d}{digits_}.{part}"
+    if sign and (whole or part):
+        return "0" + tail.translate(str.maketrans("0123456789", "9876543210")) + "~"
+    return "1" + tail
+
+
+def duration_of(text: str) -> tuple[int, Decimal]:
+    m = re.fullmatch(r"(-?)P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?", text)
+    if not m:
+        raise ValueError(f"{text} is no duration")
+    y, mo, d, h, mi = (int(x or 0) for x in m.groups()[1:6])
+    sign = -1 if m[1] else 1
+    return sign * (12 * y + mo), sign * (Decimal(86400 * d + 3600 * h + 60 * mi) + Decimal(m[7] or 0))
+
+
+def _days(y: int, m: int) -> int:
+    y -= m <= 2
+    return 365 * y + y // 4 - y // 100 + y // 400 + (153 * ((m + 9) % 12) + 2) // 5 - 719468
+
+
+def _start(start: tuple[int, int]) -> Decimal:
+    return Decimal(86400 * _days(*start))
+
+
+def _seconds_from(start: tuple[int, int], months: int) -> Decimal:
+    """Seconds of so many months from a start month."""
+    index = start[0] * 12 + start[1] - 1 + months
+    return Decimal(86400 * _days(index // 12, index % 12 + 1)) - _start(start)

@@ -141,7 +141,7 @@ def calendar_parts(spark, sf):
 @query("SELECT CASE WHEN q < 28 THEN 'less' WHEN q > 31 THEN 'greater' ELSE 'incomparable' END AS order_, count(*) AS n FROM (SELECT l_quantity AS q FROM lineitem) GROUP BY 1")
 def duration_order(spark, sf):
     d = F.concat(F.lit("P"), F.col("l_quantity").cast("int").cast("string"), F.lit("D"))
-    way = V.compare(d, F.lit("P1M"), "duration")
+    way = V.compare(d, "P1M", "duration")
     return table(spark, sf, "lineitem").select(F.when(way < 0, "less").when(way > 0, "greater").when(way == 0, "equal").otherwise("incomparable").alias("order_")).groupBy("order_").agg(F.count("*").alias("n"))
 
 
