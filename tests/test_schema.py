@@ -214,3 +214,47 @@ def test_reading_and_encodings():
     e = read('<r xmlns="urn:d" xmlns:p="urn:p" id="1" p:lang="en">a<![CDATA[b]]>&amp;<p:b><c/></p:b>\r\n</r>')
     assert e.ns == "urn:d" and [(a.ns, a.local) for a in e.attrs] == [("", "id"), ("urn:p", "lang")] and e.text().startswith("ab&")
     assert e.elements()[0].elements()[0].ns == "urn:d" and (e.line, e.column) == (1, 1)
+
+
+def test_custom_mappings(spark):
+    from typeloom.functions import values as V
+    from typeloom.functions.facets import verdict
+
+    mine = V.override({"boolean": V.Mapping(canonical=lambda c: F.upper(c))}, {"boolean": V.Mapping(ok=lambda c: c.isin("ja", "nein"))})
+    V.CUSTOM.update(mine)
+    try:
+        v = spark.range(1).select(verdict(F.lit("ja"), BUILTINS["boolean"]), verdict(F.lit("true"), BUILTINS["boolean"])).first()
+    finally:
+        V.CUSTOM.clear()
+    assert (v[0].ok, v[0].canonical, v[1].ok) == (True, "JA", False)
+
+
+def test_native_columns_and_encoding(spark):
+    from typeloom.sources.structs import encode, native
+
+    r = spark.range(1).select(native(F.lit(" 12 "), BUILTINS["int"]), native(F.lit("x"), BUILTINS["int"]), native(F.lit("-INF"), BUILTINS["double"]), native(F.lit("1"), BUILTINS["boolean"]), native(F.lit("a  b"), BUILTINS["NMTOKENS"])).first()
+    assert tuple(r) == (12, None, float("-inf"), True, ["a", "b"])
+    xml = encode(spark.createDataFrame([("x", 3)], "_id string, n int"), "row").first().xml
+    e = read(xml)
+    assert (e.local, e.get("id"), e.elements()[0].text()) == ("row", "x", "3")
+
+
+def test_suite_catalogue(spark):
+    from typeloom.sources.reports import suite_cases
+
+    text = '<testSet xmlns:x="http://www.w3.org/1999/xlink"><testGroup name="g"><schemaTest name="s"><schemaDocument x:href="a.xsd"/><expected validity="valid"/></schemaTest><instanceTest name="i" version="1.0"><instanceDocument x:href="a.xml"/><expected validity="invalid"/></instanceTest></testGroup></testSet>'
+    assert sorted(map(tuple, suite_cases(spark, {"set": text}).collect())) == [("set/g/i", "instanceTest", "a.xml", None), ("set/g/s", "schemaTest", "a.xsd", "valid")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from typeloom.__main__ import main
+
+    (tmp_path / "s.xsd").write_text(ORDER)
+    (tmp_path / "a.xml").write_text(CASES["int"][0])
+    assert main(["parse", str(tmp_path / "s.xsd")]) == 0
+    assert "elements 0 order" in capsys.readouterr().out
+    assert main(["validate", str(tmp_path / "s.xsd"), str(tmp_path / "*.xml")]) == 1
+    assert "[cvc-type] 3.1.3 cvc-pattern-valid" in capsys.readouterr().out
+    assert main(["gen", str(tmp_path / "s.xsd"), "order"]) == 0
+    (tmp_path / "bad.xsd").write_text("<a/>")
+    assert main(["parse", str(tmp_path / "bad.xsd")]) == 1

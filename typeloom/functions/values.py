@@ -425,8 +425,38 @@ def resolve_qname(c: Column, bindings: Column | None) -> tuple[Column, Column]:
 # the registry ----------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Mapping:
+    """What a datatype can do, as functions of columns; ``None`` leaves a part
+    to the engine."""
+
+    ok: Callable[[Column], Column] | None = None
+    canonical: Callable[[Column], Column] | None = None
+    eq_key: Callable[[Column], Column] | None = None
+    compare: Callable[[Column, Column], Column] | None = None
+
+
+#: Mappings that replace the engine's own, by type name.
+CUSTOM: dict[str, Mapping] = {}
+
+
+def override(base: dict[str, Mapping], partial: dict[str, Mapping]) -> dict[str, Mapping]:
+    """Mappings of ``partial`` first, part by part, then those of ``base``."""
+    out = dict(base)
+    for name, m in partial.items():
+        old = base.get(name, Mapping())
+        out[name] = Mapping(*[getattr(m, f) or getattr(old, f) for f in ("ok", "canonical", "eq_key", "compare")])
+    return out
+
+
+def _custom(kind: str, part: str):
+    return getattr(CUSTOM[kind], part) if kind in CUSTOM else None
+
+
 def ok(c: Column, kind: str, bindings: Column | None = None) -> Column:
     """Is a normalised literal in the lexical space?"""
+    if own := _custom(kind, "ok"):
+        return own(c)
     if kind in ("string", "anyURI"):
         return c.isNotNull()
     if kind in TIMES:
@@ -439,6 +469,8 @@ def ok(c: Column, kind: str, bindings: Column | None = None) -> Column:
 def canonical(c: Column, kind: str) -> Column:
     """The canonical form of a literal in the lexical space; null where there is
     none."""
+    if own := _custom(kind, "canonical"):
+        return own(c)
     if kind in ("string", "anyURI"):
         return c
     if kind == "boolean":
@@ -462,6 +494,8 @@ def canonical(c: Column, kind: str) -> Column:
 
 def eq_key(c: Column, kind: str, bindings: Column | None = None) -> Column:
     """Equal values have equal keys; null for what equals nothing (NaN)."""
+    if own := _custom(kind, "eq_key"):
+        return own(c)
     if kind in ("float", "double"):
         v = floating(c, kind)
         return F.when(c == "NaN", F.lit(None).cast("string")).otherwise(F.when(v == 0, F.lit("0")).otherwise(floating_canonical(c, kind)))
@@ -481,6 +515,8 @@ def eq_key(c: Column, kind: str, bindings: Column | None = None) -> Column:
 def compare(a: Column, b: Column | str, kind: str) -> Column:
     """-1, 0, 1, or null for incomparable, of two literals in the space.  A
     constant given as text is worked out once, here."""
+    if own := _custom(kind, "compare"):
+        return own(a, F.lit(b) if isinstance(b, str) else b)
     way = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
     if isinstance(b, str):
         return _compare_constant(a, b, kind, way)

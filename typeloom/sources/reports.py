@@ -29,6 +29,31 @@ def rendered(doc: Column, line: Column, column: Column, rule: Column, message: C
     return F.concat(place, F.lit(": ["), rule, F.lit("] "), F.coalesce(message, F.lit("")))
 
 
+def suite_cases(spark: SparkSession, documents: dict[str, str], version: str = "1.1") -> DataFrame:
+    """``case, kind, document, expected`` of test-suite catalogues given as text:
+    groups of schema and instance tests.  Tests for other versions are withheld,
+    with a null expectation."""
+    from .xml_reader import Element, read
+
+    rows = []
+
+    def expected(e: Element) -> str | None:
+        if e.get("version") and version not in e.get("version").split():
+            return None
+        for x in e.elements("expected"):
+            if not x.get("version") or version in x.get("version").split():
+                return x.get("validity")
+        return None
+
+    for name, text in documents.items():
+        for group in read(text).elements("testGroup"):
+            for kind in ("schemaTest", "instanceTest"):
+                for t in group.elements(kind):
+                    doc = next((a.value for d in t.elements("schemaDocument", "instanceDocument") for a in d.attrs if a.local == "href"), None)
+                    rows.append((f"{name}/{group.get('name')}/{t.get('name')}", kind, doc, expected(t)))
+    return spark.createDataFrame(rows, "case string, kind string, document string, expected string")
+
+
 def write_expectations(df: DataFrame, path: str) -> None:
     """Sorted lines ``<case> <status>`` from ``case, status``."""
     df.select(F.concat_ws(" ", "case", "status").alias("value")).orderBy("value").write.mode("overwrite").text(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.facets import check
 from ..functions.types import SimpleType
+from ..functions.values import white
 from ..plans.model import ANY_TYPE, ComplexType, ElementDecl, Group, Particle, Schema
 
 _EXACT = {"byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "long": T.LongType(), "unsignedByte": T.ShortType(), "unsignedShort": T.IntegerType(), "unsignedInt": T.LongType(), "boolean": T.BooleanType(), "float": T.FloatType(), "double": T.DoubleType()}
@@ -73,3 +75,25 @@ def flat_rows(nodes: DataFrame, name: str, columns: list[str]) -> DataFrame:
         return own
     per = nodes.where(F.col("name").isin(*kids)).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(*[F.min(F.when(F.col("name") == c, F.col("text"))).alias(c) for c in kids])
     return own.join(per, ["doc_id", "node_id"], "left")
+
+
+def native(raw: Column, t: SimpleType) -> Column:
+    """A valid literal as the Spark type that holds it; null otherwise.  Values
+    that no machine type holds exactly stay text."""
+    kind = column_type(t)
+    c = white(raw, t.white_space() if t.variety != "union" else "preserve")
+    if isinstance(kind, T.BooleanType):
+        value = c.isin("true", "1")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = F.when(c.endswith("INF"), F.when(c.startswith("-"), F.lit("-Infinity")).otherwise("Infinity")).otherwise(c).try_cast(kind)
+    elif isinstance(kind, T.ArrayType):
+        value = F.filter(F.split(white(raw, "collapse"), " "), lambda x: x != "").cast(kind)
+    else:
+        value = c.try_cast(kind)
+    return F.when(check(raw, t).isNull(), value)
+
+
+def encode(df: DataFrame, root: str) -> DataFrame:
+    """Rows as XML: ``_name`` columns are attributes, the others children."""
+    xml = F.to_xml(F.struct(*[F.col(c) for c in df.columns]), {"rowTag": root, "attributePrefix": "_", "valueTag": "_text", "indent": ""})
+    return df.select("*", xml.alias("xml"))
