@@ -13,6 +13,7 @@ are cached per process, within a bound that affects speed only.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -71,6 +72,7 @@ class Bpe:
         self.words: dict[str | int, tuple[str, str, int]] = {}
         self.id_text = [str(i) for i in range(self.n)]
         self.path, self.library = path, None
+        self.assigned: set[str] = set()
         self.byte_of = {s: b for b, s in enumerate(symbols)}
 
     # one word -------------------------------------------------------------
@@ -204,13 +206,19 @@ class Bpe:
                 continue
             elif part.isascii():
                 out += self.find(part.lower())
-            elif any(unicodedata.category(c) == "Cn" for c in part):
+            elif not (self.assigned.issuperset(part) or self._known(part)):
                 out += self._foreign(part)
             else:
                 # lower-casing here is by character: no final sigma
                 out += self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
         return out
 
+    def _known(self, part: str) -> bool:
+        """Are all characters in this Python's tables?  Remembers those that are."""
+        new = {c for c in part if unicodedata.category(c) != "Cn"}
+        self.assigned |= new
+        return new.issuperset(part)
+
     def _foreign(self, part: str) -> list[str]:
         """Words of a chunk with characters newer than this Python's tables, of
         which the libraries' tables may differ: by the tokenizers library's own
@@ -301,7 +309,12 @@ def _run(path: str | None, full: bool, schema: pa.Schema):
                         else:
                             yield key, n, sha(ids), sha(decoded)
 
-        yield from batches(one(), schema, (lambda r: 8 * r[1] + len(r[3])) if full else None)
+        # the caches hold no cycles, and a collector would walk them again and again
+        gc.disable()
+        try:
+            yield from batches(one(), schema, (lambda r: 8 * r[1] + len(r[3])) if full else None)
+        finally:
+            gc.enable()
 
     return run
 
