@@ -258,3 +258,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["gen", str(tmp_path / "s.xsd"), "order"]) == 0
     (tmp_path / "bad.xsd").write_text("<a/>")
     assert main(["parse", str(tmp_path / "bad.xsd")]) == 1
+
+
+def test_node_tables_move_keys_outwards(spark):
+    from typeloom.operators.paths import node_tables
+
+    hosts = spark.createDataFrame([("d", 0, 9, 0), ("d", 1, 4, 1), ("d", 5, 9, 1), ("d", 6, 7, 2)], "doc_id string, host_id long, host_last long, host_depth int")
+    entries = spark.createDataFrame([("d", 1, "a", 2), ("d", 5, "a", 8), ("d", 5, "b", 9), ("d", 6, "b", 7), ("d", 6, "c", 7), ("d", 0, "z", 0)], "doc_id string, host_id long, key string, target_id long")
+    got = {(r.host_id, r.key, r.target_id) for r in node_tables(entries, hosts).collect()}
+    # a: two inner hosts differ, so it does not reach the root; b: the own entry of 5 beats 6's
+    assert got == {(1, "a", 2), (5, "a", 8), (5, "b", 9), (6, "b", 7), (6, "c", 7), (5, "c", 7), (0, "b", 9), (0, "c", 7), (0, "z", 0)}
+
+
+def test_building_without_a_document(spark):
+    from typeloom.plans.model import ComplexType, ElementDecl, Group, Particle, SchemaBuilder
+
+    t = ComplexType(("", "t"), None, variety="element-only", particle=Particle(Occurs(), Group("sequence", [Particle(Occurs(0, 2), ElementDecl(("", "a"), BUILTINS["int"]))])))
+    s = SchemaBuilder().type(("", "t"), t).element(ElementDecl(("", "r"), t)).build()
+    docs = spark.createDataFrame([("x", "<r><a>1</a><a>2</a></r>"), ("y", "<r><a>1</a><a>2</a><a>3</a></r>")], "doc_id string, xml string")
+    assert [(r.doc_id, r.rule) for r in Assessment(s).assess(shred(docs, "doc_id", "xml")).collect()] == [("y", "cvc-complex-content")]
+    with pytest.raises(SchemaError):
+        SchemaBuilder().notation(("", "n"))
+
+
+def test_streams(spark, tmp_path):
+    from typeloom.functions.types import restrict
+    from typeloom.streaming.validate import rule_counts, unique
+
+    rows = [(i, f"2024-01-01 0{i % 3}:00:00", str(i)) for i in range(9)]
+    spark.createDataFrame(rows, "k int, t string, v string").select("k", F.to_timestamp("t").alias("t"), "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, t timestamp, v string").parquet(str(tmp_path / "in"))
+    counts = rule_counts(stream, {"v": restrict(BUILTINS["int"], "v", maxInclusive="4")}, "t")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("rules").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("rules").agg(F.sum("n")).first()[0] == 4
+    twice = spark.readStream.schema("k int, t timestamp, v string").parquet(str(tmp_path / "in")).withColumn("k", F.col("k") % 3)
+    q = unique(twice, ["k"], "t", "5 hours").writeStream.outputMode("append").format("memory").queryName("firsts").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("firsts").count() == 3

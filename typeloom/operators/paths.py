@@ -17,6 +17,7 @@ from ..functions.facets import key as typed_key
 from ..functions.types import BUILTINS, SimpleType
 from ..plans.model import Constraint, XPath
 from ..sources.xml_nodes import qname
+from ..sources.staging import stage
 from .identity import RULE
 
 SEPARATOR = "\x1e"
@@ -155,3 +156,30 @@ def check_constraint(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: l
     for more in made[1:]:
         result = result.unionByName(more)
     return result
+
+
+def enclosing(hosts: DataFrame) -> DataFrame:
+    """``(doc_id, host_id, up_id)``: the nearest host around each, null at the
+    top.  An interval join inside each document."""
+    a, b = hosts.alias("a"), hosts.alias("b")
+    around = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.host_id") < F.col("a.host_id")) & (F.col("a.host_last") <= F.col("b.host_last"))
+    pairs = a.join(b, around, "left").select("a.doc_id", "a.host_id", F.col("b.host_id").alias("up_id"))
+    return pairs.groupBy("doc_id", "host_id").agg(F.max("up_id").alias("up_id"))
+
+
+def node_tables(entries: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``(doc_id, host_id, key, target_id)``: the keys a reference at each host
+    can reach.  Entries of inner hosts move outwards; of equal keys on distinct
+    nodes from inner hosts none does, and a host's own entry beats them.  One
+    round a level of nesting."""
+    up = enclosing(hosts)
+    table = entries.select("doc_id", "host_id", "key", "target_id").distinct()
+    levels = hosts.agg(F.max("host_depth") - F.min("host_depth")).first()[0] or 0
+    deepest = hosts.agg(F.max("host_depth")).first()[0]
+    depth = hosts.select("doc_id", "host_id", "host_depth")
+    for k in range(levels):
+        inner = table.join(depth.where(F.col("host_depth") == deepest - k), ["doc_id", "host_id"]).join(up.where("up_id is not null"), ["doc_id", "host_id"])
+        moved = inner.groupBy("doc_id", F.col("up_id").alias("host_id"), "key").agg(F.min("target_id").alias("target_id"), F.count_distinct("target_id").alias("n")).where("n = 1").drop("n")
+        fresh = moved.join(table.select("doc_id", "host_id", "key"), ["doc_id", "host_id", "key"], "left_anti")
+        table = stage(table.unionByName(fresh), "node-table")
+    return table

@@ -177,3 +177,43 @@ class Schema:
             "substitutions": frame([(q(h), q(m.name)) for h in self.elements for m in self.members(h)], "head string, member string"),
             "documents": frame(self.report, "document string, directive string, outcome string"),
         }
+
+
+class SchemaBuilder:
+    """Components put together by a program, without any document."""
+
+    def __init__(self) -> None:
+        self.schema = Schema()
+
+    def _add(self, store: dict, name: QName, component) -> "SchemaBuilder":
+        if name in store:
+            raise SchemaError("sch-props-correct", f"{name[1]} twice")
+        store[name] = component
+        return self
+
+    def type(self, name: QName, t: Type) -> "SchemaBuilder":
+        return self._add(self.schema.types, name, t)
+
+    def element(self, e: ElementDecl) -> "SchemaBuilder":
+        e.is_global = True
+        for c in e.constraints:
+            self._add(self.schema.constraints, c.name, c)
+        return self._add(self.schema.elements, e.name, e)
+
+    def attribute(self, a: Attribute) -> "SchemaBuilder":
+        return self._add(self.schema.attributes, a.name, a)
+
+    def group(self, name: QName, g: Group) -> "SchemaBuilder":
+        return self._add(self.schema.groups, name, g)
+
+    def notation(self, name: QName, public: str | None = None, system: str | None = None) -> "SchemaBuilder":
+        if public is None and system is None:
+            raise SchemaError("n-props-correct", "a notation needs public or system")
+        return self._add(self.schema.notations, name, (public, system))
+
+    def build(self) -> Schema:
+        """The schema, checked like a compiled one."""
+        from .checks import check
+
+        check(self.schema)
+        return self.schema
