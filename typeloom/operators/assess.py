@@ -187,20 +187,15 @@ class Assessment:
         # only types that occur get an expression: at most as many rows as types
         self.present = {r[0] for r in typed.select("type").distinct().collect()}
         content = stage(self.content(typed).where("reject_index is not null or too_short"), "content")
-        cut = content.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), "reject_index")
-        # a child from the rejected one on is untyped, with all below it
-        heads = typed.join(cut, ["doc_id", "parent_id"]).where("sib >= reject_index").select("doc_id", F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
-        d, h = typed.alias("d"), heads.alias("h")
-        inside = (F.col("d.doc_id") == F.col("h.doc_id")) & F.col("d.node_id").between(F.col("h.from_id"), F.col("h.to_id"))
-        kept = d.join(h, inside, "left_anti")
+        kept = typed if content.where("reject_index is not null").isEmpty() else stage(self._kept(typed, content), "kept")
         nil = F.get(F.transform(F.filter("attrs", lambda a: a["name"] == _XSI[1]), lambda a: a["value"]), 0)
         rows = kept.withColumn("nil", nil).withColumn("nilled", F.coalesce(F.trim("nil").isin("true", "1"), F.lit(False)))
-        rejected = content.where("reject_index is not null or too_short").join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
+        rejected = content.join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
         out = [
             every.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
             self._element_rules(rows),
             rejected.where("too_short").select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit("short").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
-            self._rejected_children(typed, content, kept),
+            self._rejected_children(typed, rejected),
             self._attribute_rules(rows),
             self._missing_attributes(rows),
             self._ids(rows),
@@ -210,8 +205,17 @@ class Assessment:
             result = result.unionByName(more)
         return result
 
-    def _rejected_children(self, typed: DataFrame, content: DataFrame, kept: DataFrame) -> DataFrame:
-        at = content.where("reject_index is not null").join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("node_id").alias("parent_id"), F.col("reject_index").alias("sib"))
+    def _kept(self, typed: DataFrame, content: DataFrame) -> DataFrame:
+        """Nodes that stay typed: a child from the rejected one on is untyped,
+        with all below it."""
+        cut = content.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), "reject_index")
+        heads = typed.join(cut, ["doc_id", "parent_id"]).where("sib >= reject_index").select("doc_id", F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
+        d, h = typed.alias("d"), heads.alias("h")
+        inside = (F.col("d.doc_id") == F.col("h.doc_id")) & F.col("d.node_id").between(F.col("h.from_id"), F.col("h.to_id"))
+        return d.join(h, inside, "left_anti")
+
+    def _rejected_children(self, typed: DataFrame, rejected: DataFrame) -> DataFrame:
+        at = rejected.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), F.col("reject_index").alias("sib"))
         return typed.join(at, ["doc_id", "parent_id", "sib"]).select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit("reject").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column")
 
     def _element_rules(self, rows: DataFrame) -> DataFrame:

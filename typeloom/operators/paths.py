@@ -133,7 +133,7 @@ def key_table(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: list[Sim
 
 def check_constraint(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: list[SimpleType] | None = None, referred: DataFrame | None = None) -> DataFrame:
     """Violations of one constraint: ``doc_id, node_id, rule, clause``."""
-    table = key_table(nodes, hosts, c, types)
+    table = stage(key_table(nodes, hosts, c, types), "key-table")
     k = [f"k{i}" for i in range(len(c.fields))]
     n = [f"n{i}" for i in range(len(c.fields))]
     out = lambda d, clause: d.select("doc_id", F.col("target_id").alias("node_id"), F.lit(RULE).alias("rule"), F.lit(clause).alias("clause"))
