@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import Stages, batches, read
 
 SIZE, END = 1024, 2
+#: Groups that the pieces of one length are ranked in.
+SALTS = 256
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -180,22 +182,24 @@ class Packing:
     def __call__(self, df: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        spark = df.sparkSession
-        stages = Stages(spark, "packing")
+        stages = Stages(df.sparkSession, "packing")
         kind = df.schema[self.key].dataType
         schema = pa.schema([("k", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         ddl = f"k {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
         cut_ = stages.put(df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).mapInArrow(_pieces(self.ranks_path, self.size, schema), ddl), "pieces")
-        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        salted = cut_.withColumn("salt", F.pmod(F.xxhash64("k", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+        # a full piece fills a sequence: it needs a number of its own and no rank
+        full, part = cut_.where(F.col("length") == self.size), cut_.where(F.col("length") < self.size)
+        salted = part.withColumn("salt", F.pmod(F.xxhash64("k", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
         counts = stages.put(salted.groupBy("length", "salt").agg(F.count("*").alias("c")), "counts")
+        # at most size * SALTS rows, whatever the table
         before = counts.select("length", "salt", (F.sum("c").over(Window.partitionBy("length").orderBy("salt")) - F.col("c")).alias("before"))
-        histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most ``size`` rows
+        histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # below ``size`` rows
         slots = Slots(pack(histogram, self.size))
         order = Window.partitionBy("length", "salt").orderBy("k", "piece", "start", "ids_crc32")
         ranked = salted.withColumn("r", F.row_number().over(order)).join(before, ["length", "salt"])
-        placed = ranked.select("k", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).alias("rank"))
-        out = stages.put(placed.mapInArrow(_place(slots), f"{ddl}, sequence_id long, offset long"), "placed")
+        placed = ranked.select("k", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).alias("rank")).mapInArrow(_place(slots), f"{ddl}, sequence_id long, offset long")
+        alone = full.select("k", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + slots.bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        out = stages.put(placed.unionByName(alone), "placed")
         stages.drop(cut_, counts)
         return out.withColumnRenamed("k", self.key)
 
