@@ -108,7 +108,9 @@ def decimal_canonical(c: Column) -> Column:
     x = F.regexp_replace(x, r"\.$", "")
     x = F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")
     x = F.regexp_replace(x, r"^(-?)\.", "$10.")
-    return F.when(x.isin("", "-", "-0"), "0").otherwise(x)
+    # most literals are plain whole numbers, which are canonical as they are
+    plain = c.rlike(r"\A(0|-?[1-9][0-9]*)\z")
+    return F.when(plain, c).otherwise(F.regexp_replace(x, r"^(|-|-0)$", "0"))
 
 
 def total_digits(c: Column) -> Column:

@@ -161,9 +161,9 @@ class Assessment:
             out = F.when(F.col(on) == i, c).otherwise(out)
         return out
 
-    def content(self, typed: DataFrame) -> DataFrame:
-        """Per element with children or a content model: ``reject_index`` and
-        ``too_short``.  Children are gathered per parent, inside one document."""
+    def with_content(self, typed: DataFrame) -> DataFrame:
+        """``reject_index`` and ``too_short`` beside each node: its type's model
+        over the names of its children.  No verdict for declined models."""
         models: dict[int, Column] = {}
         for i, t in enumerate(self.types):
             if isinstance(t, ComplexType) and t.variety in ("element-only", "mixed") and t is not ANY_TYPE and self._live(i):
@@ -171,26 +171,22 @@ class Assessment:
                     models[i] = automaton(t, self.schema).verdict(F.col("children"))
                 except ModelDeclined:
                     pass
-        kids = typed.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sib", "name"))), lambda x: x["name"]).alias("children"))
-        mine = typed.where(F.col("type").isin(*models) if models else F.lit(False)).select("doc_id", "node_id", "last_id", "type", "line", "column", "attrs")
-        empty = F.expr("cast(array() as array<string>)")
-        full = mine.join(kids, ["doc_id", "node_id"], "left").withColumn("children", F.coalesce("children", empty))
         none = F.lit(None).cast("struct<ok: boolean, reject_index: int, too_short: boolean>")
-        return full.withColumn("v", self._case("type", models, none)).select("doc_id", "node_id", "last_id", "line", "column", "attrs", "v.reject_index", "v.too_short")
+        return typed.withColumn("v", self._case("type", models, none)).select("*", "v.reject_index", "v.too_short").drop("v")
 
     def assess(self, nodes: DataFrame) -> DataFrame:
         """``(doc_id, node_id, rule, clause, cause, line, column)`` of every
         violation, documents that are not well-formed included."""
         # read by every rule: typed once, in the pass that reads the documents
-        every = stage(self.typed(nodes), "typed")
+        every = stage(self.with_content(self.typed(nodes)), "typed")
         typed = every.where("rule is null")
         # only types that occur get an expression: at most as many rows as types
         self.present = {r[0] for r in typed.select("type").distinct().collect()}
-        content = stage(self.content(typed).where("reject_index is not null or too_short"), "content")
+        content = typed.where("reject_index is not null or too_short").select("doc_id", "node_id", "last_id", "line", "column", "reject_index", "too_short")
         kept = typed if content.where("reject_index is not null").isEmpty() else stage(self._kept(typed, content), "kept")
         nil = F.get(F.transform(F.filter("attrs", lambda a: a["name"] == _XSI[1]), lambda a: a["value"]), 0)
         rows = kept.withColumn("nil", nil).withColumn("nilled", F.coalesce(F.trim("nil").isin("true", "1"), F.lit(False)))
-        rejected = content.join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
+        rejected = kept.where("reject_index is not null or too_short").select("doc_id", "node_id", "line", "column", "reject_index", "too_short")
         out = [
             every.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
             self._element_rules(rows),
@@ -209,7 +205,7 @@ class Assessment:
         """Nodes that stay typed: a child from the rejected one on is untyped,
         with all below it."""
         cut = content.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), "reject_index")
-        heads = typed.join(cut, ["doc_id", "parent_id"]).where("sib >= reject_index").select("doc_id", F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
+        heads = typed.drop("reject_index").join(cut, ["doc_id", "parent_id"]).where("sib >= reject_index").select("doc_id", F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
         d, h = typed.alias("d"), heads.alias("h")
         inside = (F.col("d.doc_id") == F.col("h.doc_id")) & F.col("d.node_id").between(F.col("h.from_id"), F.col("h.to_id"))
         return d.join(h, inside, "left_anti")

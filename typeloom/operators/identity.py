@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.facets import key as typed_key
 from ..functions.types import BUILTINS, SimpleType
@@ -18,9 +19,16 @@ from ..functions.types import BUILTINS, SimpleType
 RULE = "cvc-identity-constraint"
 
 
-def _keys(fields: Sequence[str], types: Sequence[SimpleType] | None) -> list[Column]:
+def _keys(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType] | None) -> list[Column]:
     types = types or [BUILTINS["string"]] * len(fields)
-    return [typed_key(F.col(f).cast("string"), t).alias(f"_k{i}") for i, (f, t) in enumerate(zip(fields, types))]
+    out = []
+    for i, (f, t) in enumerate(zip(fields, types)):
+        if t.variety == "atomic" and t.primitive() == "decimal" and isinstance(df.schema[f].dataType, IntegralType):
+            k = F.concat(F.lit("decimal:"), F.col(f).cast("string"))  # a whole number's text is canonical
+        else:
+            k = typed_key(F.col(f).cast("string"), t)
+        out.append(k.alias(f"_k{i}"))
+    return out
 
 
 def violations(df: DataFrame, clause: str, *columns: str) -> DataFrame:
@@ -31,10 +39,8 @@ def duplicates(df: DataFrame, fields: Sequence[str], order: Sequence[str], types
     """Rows whose complete key an earlier row of the scope has (unique, 4.1; for
     keys 4.2.2).  Rows with a missing field are no members."""
     names = [f"_k{i}" for i in range(len(fields))]
-    keyed = df.select("*", *_keys(fields, types))
-    for n in names:
-        keyed = keyed.where(F.col(n).isNotNull())
-    # only keys that repeat are sorted
+    keyed = df.select("*", *_keys(df, fields, types))
+    # only keys that repeat are sorted; a null equals nothing in the join
     again = keyed.groupBy(*scope, *names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     place = Window.partitionBy(*scope, *names).orderBy(*order)
     return keyed.join(again, [*scope, *names], "left_semi").withColumn("_r", F.row_number().over(place)).where("_r > 1").drop("_r", *names)
@@ -44,7 +50,7 @@ def incomplete(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType]
     """Rows without some field of a key, or with one that is no valid value
     (4.2.1)."""
     missing = F.lit(False)
-    for k in _keys(fields, types):
+    for k in _keys(df, fields, types):
         missing = missing | k.isNull()
     return df.where(missing)
 
@@ -52,11 +58,12 @@ def incomplete(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType]
 def dangling(df: DataFrame, fields: Sequence[str], target: DataFrame, key: Sequence[str], types: Sequence[SimpleType] | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Rows whose complete reference no row of the target has (4.3)."""
     names = [f"_k{i}" for i in range(len(fields))]
-    left = df.select("*", *_keys(fields, types))
+    left = df.select("*", *_keys(df, fields, types))
+    right = target.select(*scope, *_keys(target, key, types))
+    lost = left.join(right, [*scope, *names], "left_anti")
     for n in names:
-        left = left.where(F.col(n).isNotNull())
-    right = target.select(*scope, *_keys(key, types))
-    return left.join(right, [*scope, *names], "left_anti").drop(*names)
+        lost = lost.where(F.col(n).isNotNull())
+    return lost.drop(*names)
 
 
 def id_violations(ids: DataFrame, refs: DataFrame, scope: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -142,7 +142,8 @@ def calendar_parts(spark, sf):
 def duration_order(spark, sf):
     d = F.concat(F.lit("P"), F.col("l_quantity").cast("int").cast("string"), F.lit("D"))
     way = V.compare(d, "P1M", "duration")
-    return table(spark, sf, "lineitem").select(F.when(way < 0, "less").when(way > 0, "greater").when(way == 0, "equal").otherwise("incomparable").alias("order_")).groupBy("order_").agg(F.count("*").alias("n"))
+    name = V.let(way, lambda w: F.when(w < 0, "less").when(w > 0, "greater").when(w == 0, "equal").otherwise("incomparable"))
+    return table(spark, sf, "lineitem").select(name.alias("order_")).groupBy("order_").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'P' || CASE WHEN q >= 24 THEN CAST(q // 24 AS VARCHAR) || 'D' ELSE '' END || CASE WHEN q % 24 > 0 THEN 'T' || CAST(q % 24 AS VARCHAR) || 'H' ELSE '' END AS canonical, count(*) AS n FROM (SELECT CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY 1")
