@@ -21,6 +21,7 @@ from ..plans.namespaces import Wildcard
 from ..sources.xml_nodes import qname
 from ..sources.staging import stage
 from ..sources.xml_reader import XSI
+from .constraints import Identity
 from .cta import Declined, compile_test
 from .identity import id_violations
 
@@ -196,6 +197,8 @@ class Assessment:
             self._missing_attributes(rows),
             self._ids(rows),
         ]
+        if any(e.constraints for e in self.decls):
+            out.append(self._identity(typed, kept, nil))
         result = out[0]
         for more in out[1:]:
             result = result.unionByName(more)
@@ -319,6 +322,32 @@ class Assessment:
         found = rows.where(F.col("type").isin(*needed) if needed else F.lit(False)).select("doc_id", "node_id", "line", "column", F.explode(lost).alias("name"))
         return found.select("doc_id", "node_id", F.lit("cvc-complex-type").alias("rule"), F.lit("3").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column")
 
+    # keys ----------------------------------------------------------------
+
+    def with_defaults(self, rows: DataFrame) -> DataFrame:
+        """Nodes with the defaulted attributes of their types beside their own."""
+        given: dict[int, Column] = {}
+        for i, t in enumerate(self.types):
+            if isinstance(t, ComplexType) and self._live(i):
+                made = [(qname(*n), a.fixed if a.default is None else a.default) for n, a in t.attributes.items() if not a.required and not a.prohibited]
+                made = [F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in made if v is not None]
+                if made:
+                    given[i] = F.array(*made)
+        if not given:
+            return rows
+        names = F.transform("attrs", lambda a: a["name"])
+        absent = F.filter(self._case("type", given, F.lit(None).cast("array<struct<name: string, value: string>>")), lambda a: ~F.array_contains(names, a["name"]))
+        return rows.withColumn("attrs", F.when(F.col("type").isin(*given), F.concat("attrs", absent)).otherwise(F.col("attrs")))
+
+    def _identity(self, typed: DataFrame, kept: DataFrame, nil: Column) -> DataFrame:
+        """Keys, uniqueness and references; what a content model rejected is
+        walked as well, without types."""
+        nodes = kept
+        if kept is not typed:
+            lost = typed.join(kept.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+            nodes = kept.unionByName(lost.withColumn("type", F.lit(UNTYPED)).withColumn("decl", F.lit(UNTYPED)))
+        return Identity(self).violations(self.with_defaults(nodes.withColumn("nilled", F.coalesce(F.trim(nil).isin("true", "1"), F.lit(False)))))
+
     # IDs -----------------------------------------------------------------
 
     def _role(self, t: SimpleType | None) -> str | None:

@@ -30,10 +30,13 @@ class Declined(ValueError):
 @dataclass
 class Path:
     """``pattern`` matches the names below the host, each after a separator;
-    ``attribute`` is the name a field ends with, if it does."""
+    ``attribute`` is the name a field ends with, if it does.  ``steps`` are the
+    names (None for any), from any depth below the host if ``deep``."""
 
     pattern: str
     attribute: str | None = None
+    steps: tuple[str | None, ...] = ()
+    deep: bool = False
 
 
 _NAME = r"[^\s/@.|:*]+"
@@ -67,8 +70,9 @@ def _step(name: str | None) -> str:
 
 
 def _one(text: str, x: XPath, field: bool) -> Path:
-    pattern, attribute = "", None
-    if text.startswith(".//"):
+    pattern, attribute, steps = "", None, []
+    deep = text.startswith(".//")
+    if deep:
         pattern, text = f"(?:{_step(None)})*", text[3:]
     parts = [p.strip() for p in text.split("/")]
     for i, p in enumerate(parts):
@@ -83,8 +87,9 @@ def _one(text: str, x: XPath, field: bool) -> Path:
         elif not p:
             raise Declined(text)
         else:
-            pattern += _step(_name(p, x, False))
-    return Path(f"\\A{pattern}\\z", attribute)
+            steps.append(_name(p, x, False))
+            pattern += _step(steps[-1])
+    return Path(f"\\A{pattern}\\z", attribute, tuple(steps), deep)
 
 
 def _below(nodes: DataFrame, hosts: DataFrame, paths: list[Path]) -> DataFrame:
@@ -167,12 +172,12 @@ def enclosing(hosts: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "host_id").agg(F.max("up_id").alias("up_id"))
 
 
-def node_tables(entries: DataFrame, hosts: DataFrame) -> DataFrame:
+def node_tables(entries: DataFrame, hosts: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """``(doc_id, host_id, key, target_id)``: the keys a reference at each host
     can reach.  Entries of inner hosts move outwards; of equal keys on distinct
     nodes from inner hosts none does, and a host's own entry beats them.  One
-    round a level of nesting."""
-    up = enclosing(hosts)
+    round a level of nesting.  ``up`` is ``enclosing(hosts)``, where it is known."""
+    up = enclosing(hosts) if up is None else up
     table = entries.select("doc_id", "host_id", "key", "target_id").distinct()
     levels = hosts.agg(F.max("host_depth") - F.min("host_depth")).first()[0] or 0
     deepest = hosts.agg(F.max("host_depth")).first()[0]
