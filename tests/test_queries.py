@@ -66,3 +66,9 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 40
+
+
+def test_digits_of_every_order(spark, sf):
+    got = {r.rule: r.n for r in engine.QUERIES["facet_digits_all"](spark, sf).collect()}
+    assert sum(got.values()) == engine.table(spark, sf, "orders").count()
+    assert got["ok"] > 0

@@ -90,6 +90,15 @@ def facet_digits(spark, sf):
     return by_rule(two, check(p.cast("string"), t))
 
 
+@query("""SELECT CASE WHEN length(CAST(v AS VARCHAR)) > 7 THEN 'cvc-totalDigits-valid' WHEN f > 1 THEN 'cvc-fractionDigits-valid' ELSE 'ok' END AS rule, count(*) AS n
+FROM (SELECT f, CASE f WHEN 0 THEN c // 100 WHEN 1 THEN c // 10 ELSE c END AS v
+FROM (SELECT c, CASE WHEN c % 100 = 0 THEN 0 WHEN c % 10 = 0 THEN 1 ELSE 2 END AS f FROM (SELECT CAST(CAST(o_totalprice AS DECIMAL(14,2)) * 100 AS BIGINT) AS c FROM orders))) GROUP BY 1""")
+def facet_digits_all(spark, sf):
+    # every price: zeros at the end of a fraction are no digits, so some are within both limits
+    t = restrict(B["decimal"], "price", totalDigits="7", fractionDigits="1")
+    return by_rule(table(spark, sf, "orders"), check(F.col("o_totalprice").cast("decimal(14,2)").cast("string"), t))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN d = 0 THEN '0' WHEN d * 10 = trunc(d * 10) THEN CASE WHEN d = trunc(d) THEN CAST(CAST(d AS BIGINT) AS VARCHAR) ELSE CAST(CAST(d AS DECIMAL(10,1)) AS VARCHAR) END ELSE CAST(d AS VARCHAR) END AS canonical
 FROM (SELECT l_orderkey, l_linenumber, CAST(l_discount AS DECIMAL(10,2)) AS d FROM lineitem)""")
 def canonical_decimal(spark, sf):
