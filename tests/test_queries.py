@@ -72,3 +72,9 @@ def test_digits_of_every_order(spark, sf):
     got = {r.rule: r.n for r in engine.QUERIES["facet_digits_all"](spark, sf).collect()}
     assert sum(got.values()) == engine.table(spark, sf, "orders").count()
     assert got["ok"] > 0
+
+
+def test_double_of_every_discount(spark, sf):
+    got = {r.canonical: r.n for r in engine.QUERIES["canonical_double_all"](spark, sf).collect()}
+    assert sum(got.values()) == engine.table(spark, sf, "lineitem").count()
+    assert got["1.0E-1"] > 0

@@ -173,6 +173,13 @@ def canonical_double(spark, sf):
     return table(spark, sf, "lineitem").where("l_discount < 0.095").select(canonical(F.col("l_discount").cast("decimal(6,2)").cast("string"), B["double"]).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CASE WHEN k = 0 THEN '0.0E0' WHEN k < 10 THEN CAST(k AS VARCHAR) || '.0E-2' ELSE CAST(k // 10 AS VARCHAR) || '.' || CAST(k % 10 AS VARCHAR) || 'E-1' END AS canonical, count(*) AS n
+FROM (SELECT CAST(round(l_discount * 100) AS INTEGER) AS k FROM lineitem) GROUP BY 1""")
+def canonical_double_all(spark, sf):
+    # every discount: 0.10 needs another exponent than the rest
+    return table(spark, sf, "lineitem").select(canonical(F.col("l_discount").cast("decimal(6,2)").cast("string"), B["double"]).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CASE WHEN l_tax > 0.05 THEN 'cvc-maxScale-valid' ELSE 'ok' END AS rule, count(*) AS n FROM (SELECT CAST(l_tax AS DECIMAL(6,2)) AS l_tax FROM lineitem) GROUP BY 1")
 def precision_decimal(spark, sf):
     tax = F.col("l_tax").cast("decimal(6,2)")
