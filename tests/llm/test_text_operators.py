@@ -163,3 +163,15 @@ def test_view_scores_follow_counts():
     v = View(c)
     odds = v.odds(np.array([[9, 9], [3, 3], [9, 3]]))
     assert odds[0] > 0 > odds[1] and abs(odds[2]) < 1e-9
+
+
+def test_cotraining_keeps_sources_apart(spark):
+    # these five had one hash bin: src4 is bad, the others are good, rare is in no label
+    names = ["src4", "src10", "src12", "src13", "src15"]
+    rows = [(i, "the same words of every text", "en", names[i % 5] if i < 1000 else "rare", 30) for i in range(1005)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(1000) if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r.meta_prob for r in CoTraining()(df, labels).collect()}
+    bad, good = max(got[i] for i in range(0, 1000, 5)), min(got[i] for i in range(1000) if i % 5)
+    assert bad < 0.3 and good > 0.9
+    assert all(bad < got[i] < good for i in range(1000, 1005))  # what was never learned says nothing

@@ -8,8 +8,10 @@ evidence.
 
 A model is a table of weighted counts (class, feature, bin), so a round is one
 aggregation over all rows: Spark sums at most ``2 * features * bins`` numbers a
-view, whatever the size of the table.  Texts are read once; rounds run on rows
-of a few dozen bytes.
+view, whatever the size of the table.  Languages and sources have no bins but
+counts of each value: a grouped table of log-odds that is joined back, in which
+a rare value stays near 0.  Texts are read once; rounds run on rows of a few
+dozen bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,11 @@ _RATIO = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.12, 0.2, 0.3, 0.45
 _SIZE = np.array([1, 5, 10, 20, 40, 80, 150, 300, 500, 800, 1500, 3000, 6000, 12000, 30000], float)
 _MEAN = np.array([1, 2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 7, 8, 10, 14, 25], float)
 TEXT = ("words", "word_length", "symbols", "duplicate_lines", "repeats", "letters", "upper", "digits", "distinct", "longest", "stops", "commas", "shouts", "bars", "short_lines", "quotes")
-META = ("lang", "source", "size")
+META = ("size",)
+#: Metadata that counts by value, and the weight of its prior: a value of that many labels has half its say.
+VALUES, PRIOR = ("l", "s"), 4.0
+#: Values that a partition sums before it passes them on.
+HELD = 50_000
 
 
 def text_bins(text: str | None) -> bytes:
@@ -47,10 +52,9 @@ def text_bins(text: str | None) -> bytes:
     return bytes(int(np.searchsorted(edges, v, side="right")) for v, edges in values)
 
 
-def meta_bins(lang: str | None, source: str | None, size: int | None) -> bytes:
-    """The bin of each ``META`` feature; a null has a bin of its own, 0."""
-    name = lambda x: 0 if x is None else 1 + xxhash.xxh32_intdigest(x) % (BINS - 1)
-    return bytes((name(lang), name(source), 0 if size is None else int(np.searchsorted(_SIZE[1:], size, side="right")) + 1))
+def size_bin(size: int | None) -> bytes:
+    """The bin of the size; a null has a bin of its own, 0."""
+    return bytes((0 if size is None else int(np.searchsorted(_SIZE[1:], size, side="right")) + 1,))
 
 
 def _features(schema: pa.Schema):
@@ -58,7 +62,7 @@ def _features(schema: pa.Schema):
         def one():
             for part in parts:
                 for key, text, lang, source, size in zip(part.column(0).to_pylist(), part.column(1), *(part.column(i).to_pylist() for i in (2, 3, 4))):
-                    yield key, text_bins(text.as_py()), meta_bins(lang, source, size)
+                    yield key, text_bins(text.as_py()), size_bin(size), lang, source
 
         yield from batches(one(), schema)
 
@@ -68,7 +72,9 @@ def _features(schema: pa.Schema):
 class View:
     """Log-odds of quality from bins, by naive Bayes with add-one smoothing.  The
     mean over features, not the sum, is what confidence is asked of: features of
-    one text repeat each other."""
+    one text repeat each other.  ``extra`` are log-odds of values without bins."""
+
+    unit = 1.0
 
     def __init__(self, counts: np.ndarray):  # (2, features, BINS)
         c = counts + 1.0
@@ -77,8 +83,8 @@ class View:
         n = counts[:, 0].sum(axis=1) + 1
         self.prior = float(np.log(n[1] / n[0]))
 
-    def odds(self, bins: np.ndarray) -> np.ndarray:
-        return self.table[np.arange(bins.shape[1]), bins].sum(axis=1) + self.prior
+    def odds(self, bins: np.ndarray, extra: np.ndarray | float = 0.0) -> np.ndarray:
+        return self.table[np.arange(bins.shape[1]), bins].sum(axis=1) + self.prior + extra / self.unit
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -87,15 +93,24 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _counts(views: tuple[View, View] | None, sure: float, weight: float):
-    """Rows (view, class, feature, bin, w) of one partition's weighted counts."""
-    schema = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("w", pa.float64())])
+    """Rows (view, class, feature, bin, w) of one partition's weighted counts; views
+    from 2 on are those of ``VALUES``, with the class and the value."""
+    schema = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("value", pa.string()), ("w", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((2, len(f), BINS)) for f in (TEXT, META)]
+        held: dict[tuple[int, int, str | None], float] = {}
+
+        def values() -> pa.RecordBatch:
+            view, at, value = zip(*held)
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((view, at, value, held.values()), schema)], schema=schema)
+            held.clear()
+            return out
+
         for part in parts:
             bins = [matrix(part.column(0), len(TEXT)), matrix(part.column(1), len(META))]
             label = np.array([-1 if v is None else v for v in part.column(2).to_pylist()])
-            odds = [v.odds(b) for v, b in zip(views, bins)] if views else None
+            odds = [v.odds(b, x) for v, b, x in zip(views, bins, (0.0, part.column(3).to_numpy(zero_copy_only=False)))] if views else None
             for k in (0, 1):
                 y, w = label.copy(), (label >= 0).astype(float)
                 if odds:  # the other view's confident rows
@@ -106,9 +121,20 @@ def _counts(views: tuple[View, View] | None, sure: float, weight: float):
                     mine = (y == c) & (w > 0)
                     for j in range(bins[k].shape[1]):
                         total[k][c, j] += np.bincount(bins[k][mine, j], w[mine], BINS)
+                    if k == 1:
+                        for i, column in enumerate(part.columns[4:]):
+                            codes = column.dictionary_encode(null_encoding="encode")
+                            sums = np.bincount(codes.indices.to_numpy()[mine], w[mine], len(codes.dictionary))
+                            for v, x in zip(codes.dictionary.to_pylist(), sums):
+                                if x:
+                                    held[2 + i, c, v] = held.get((2 + i, c, v), 0.0) + x
+            if len(held) > HELD:
+                yield values()
+        if held:
+            yield values()
         for k, t in enumerate(total):
             at = np.flatnonzero(t.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(t.ravel()[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(t.ravel()[at])], schema=schema)
 
     return run
 
@@ -137,8 +163,8 @@ def _buckets(views: tuple[View, View], step: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             y = np.array(part.column(2).to_pylist(), np.int32)
-            for k, width in ((0, len(TEXT)), (1, len(META))):
-                o = np.clip(views[k].odds(matrix(part.column(k), width)), -60, 60)
+            for k, width, x in ((0, len(TEXT), 0.0), (1, len(META), part.column(3).to_numpy(zero_copy_only=False))):
+                o = np.clip(views[k].odds(matrix(part.column(k), width), x), -60, 60)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k, np.int32)), pa.array(y), pa.array(np.round(o / step).astype(np.int32))], schema=schema)
 
     return run
@@ -148,7 +174,8 @@ def _scores(views: tuple[View, View], scale: list[tuple[float, float]], prior: f
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for part in parts:
-            z = [a * v.odds(matrix(part.column(1 + k), w)) + b for k, (v, w, (a, b)) in enumerate(zip(views, (len(TEXT), len(META)), scale))]
+            extra = (0.0, part.column(3).to_numpy(zero_copy_only=False))
+            z = [a * v.odds(matrix(part.column(1 + k), w), x) + b for k, (v, w, (a, b), x) in enumerate(zip(views, (len(TEXT), len(META)), scale, extra))]
             cols = [part.column(0), *(pa.array(sigmoid(x)) for x in (z[0], z[1], z[0] + z[1] - prior))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -175,34 +202,50 @@ class CoTraining:
 
         stages = Stages(df.sparkSession, "cotraining")
         kind = df.schema[self.key].dataType
-        schema = pa.schema([("k", to_arrow_type(kind)), ("t", pa.binary()), ("m", pa.binary())])
+        schema = pa.schema([("k", to_arrow_type(kind)), ("t", pa.binary()), ("m", pa.binary()), ("l", pa.string()), ("s", pa.string())])
         lang, source, size = self.meta
         rows = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("x"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"), F.col(size).cast("long").alias("n"))
-        rows = stages.put(rows.mapInArrow(_features(schema), f"k {kind.simpleString()}, t binary, m binary"), "features")
+        rows = stages.put(rows.mapInArrow(_features(schema), f"k {kind.simpleString()}, t binary, m binary, l string, s string"), "features")
         known = labels.where(F.col(label).isin(0, 1) & F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("k")).agg(F.min(label).cast("int").alias("y"))
         fold = F.crc32(F.col("k").cast("string").cast("binary")) % 5
         # held-out rows must not be pseudo-labelled either: they get no part in learning
         joined = stages.put(rows.join(known, "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "joined")
-        learn = joined.where("fold is null or fold >= 2").select("t", "m", "y")
-        views = None
+        learn = joined.where("fold is null or fold >= 2")
+        views = values = None
         for _ in range(1 + self.rounds):
-            views = self._learn(learn, views)
-        scale, prior = self._calibrate(joined.where("fold = 1").select("t", "m", "y"), views)
+            views, values = self._learn(stages, learn, views, values)
+        scale, prior = self._calibrate(self._with_odds(joined.where("fold = 1"), values).select("t", "m", "y", "o"), views)
         out = pa.schema([("k", to_arrow_type(kind)), ("text_prob", pa.float64()), ("meta_prob", pa.float64()), ("quality_prob", pa.float64())])
-        scored = rows.mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
+        scored = self._with_odds(rows, values).select("k", "t", "m", "o").mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
         return scored.withColumn("kept", F.col("quality_prob") >= self.least).withColumnRenamed("k", self.key)
 
-    def _learn(self, rows: DataFrame, views: tuple[View, View] | None) -> tuple[View, View]:
+    @staticmethod
+    def _with_odds(rows: DataFrame, values: DataFrame | None) -> DataFrame:
+        """Rows with ``o``, the log-odds of their values; 0 for one never learned."""
+        odds = F.lit(0.0)
+        if values is not None:
+            for i, c in enumerate(VALUES):
+                one = values.where(F.col("view") == 2 + i).select(F.col("value").alias(f"_{c}"), F.col("odds").alias(f"_o{c}"))
+                rows = rows.join(one, rows[c].eqNullSafe(one[f"_{c}"]), "left")
+                odds = odds + F.coalesce(f"_o{c}", F.lit(0.0))
+        return rows.withColumn("o", odds)
+
+    def _learn(self, stages: Stages, rows: DataFrame, views: tuple[View, View] | None, values: DataFrame | None) -> tuple[tuple[View, View], DataFrame]:
         # confidence is per view: one threshold for both would favour the view with more features
         if views:
             scaled = tuple(_Scaled(v, s) for v, s in zip(views, self.sure))
         else:
             scaled = None
-        parts = rows.mapInArrow(_counts(scaled, 1.0, self.weight), "view int, at int, w double")
+        parts = self._with_odds(rows, values).select("t", "m", "y", "o", *VALUES).mapInArrow(_counts(scaled, 1.0, self.weight), "view int, at int, value string, w double")
+        counts = stages.put(parts.groupBy("view", "at", "value").agg(F.sum("w").alias("w")), "counts")
         total = [np.zeros(2 * len(f) * BINS) for f in (TEXT, META)]
-        for r in parts.groupBy("view", "at").agg(F.sum("w").alias("w")).collect():  # one row a count of the model
+        for r in counts.where("view < 2").collect():  # one row a count of the model
             total[r.view][r.at] = r.w
-        return tuple(View(t.reshape(2, -1, BINS)) for t in total)
+        learned = tuple(View(t.reshape(2, -1, BINS)) for t in total)
+        # odds of the value over those of all rows, both classes with a share of the prior
+        n = total[1].reshape(2, -1).sum(axis=1) + 1
+        of = lambda c: F.sum(F.when(F.col("at") == c, F.col("w")).otherwise(0.0)) + float(PRIOR * n[c] / n.sum())
+        return learned, counts.where("view >= 2").groupBy("view", "value").agg((F.log(of(1)) - F.log(of(0)) - float(np.log(n[1] / n[0]))).alias("odds"))
 
     def _calibrate(self, rows: DataFrame, views: tuple[View, View]) -> tuple[list[tuple[float, float]], float]:
         step = 0.25
@@ -221,7 +264,7 @@ class _Scaled(View):
     """A view whose log-odds are in units of its confidence threshold."""
 
     def __init__(self, view: View, unit: float):
-        self.table, self.prior = view.table / unit, view.prior / unit
+        self.table, self.prior, self.unit = view.table / unit, view.prior / unit, unit
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
