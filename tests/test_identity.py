@@ -47,3 +47,27 @@ def test_every_clause_of_identity_constraints(spark):
             assert r.node_id is not None and r.line == 1
             got[r.doc_id].append(r.clause)
     assert {k: sorted(v) for k, v in got.items()} == {k: v[1] for k, v in CASES.items()}
+
+
+IDS = f"""<xs:schema {XS}>
+<xs:simpleType name="uid"><xs:union memberTypes="xs:ID xs:string"/></xs:simpleType><xs:simpleType name="usi"><xs:union memberTypes="xs:string xs:ID"/></xs:simpleType>
+<xs:simpleType name="uref"><xs:union memberTypes="xs:IDREF xs:string"/></xs:simpleType><xs:simpleType name="lur"><xs:list itemType="uref"/></xs:simpleType>
+<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="i" maxOccurs="9"><xs:complexType><xs:attribute name="uid" type="uid"/><xs:attribute name="usi" type="usi"/><xs:attribute name="uref" type="uref"/><xs:attribute name="lur" type="lur"/><xs:attribute name="ref" type="xs:IDREF"/></xs:complexType></xs:element>
+<xs:element name="d" minOccurs="0"><xs:complexType><xs:attribute name="x" type="xs:ID" default="given"/></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+ID_CASES = {
+    "twice by a union": ('<r><i uid="a"/><i uid="a"/></r>', ["2"]),
+    "reference to a union's": ('<r><i uid="a"/><i ref="a"/></r>', []),
+    "by the string member": ('<r><i uid="1 a"/><i uid="1 a"/></r>', []),
+    "string comes first": ('<r><i usi="a"/><i usi="a"/></r>', []),
+    "dangling by unions": ('<r><i uref="b" lur="c 1"/></r>', ["1", "1"]),
+    "defaulted": ('<r><i ref="given"/><d/></r>', []),
+    "not defaulted": ('<r><i ref="given"/><d x="own"/></r>', ["1"]),
+}
+
+
+def test_ids_by_union_members_and_defaults(spark):
+    docs = spark.createDataFrame([(k, v[0]) for k, v in ID_CASES.items()], "doc_id string, xml string")
+    got = {k: [] for k in ID_CASES}
+    for r in Assessment(compile_text(IDS)).assess(shred(docs, "doc_id", "xml")).collect():
+        got[r.doc_id].append(r.clause)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v[1] for k, v in ID_CASES.items()}

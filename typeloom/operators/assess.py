@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.facets import Undecided, check, matches_fixed
+from ..functions.facets import Undecided, check, matches_fixed, tokens
 from ..functions.types import BUILTINS, SimpleType
 from ..plans.content import Declined as ModelDeclined
 from ..plans.content import automaton
@@ -350,29 +350,55 @@ class Assessment:
 
     # IDs -----------------------------------------------------------------
 
-    def _role(self, t: SimpleType | None) -> str | None:
-        """id, ref or refs: what a literal of a type is to ID and IDREF."""
+    def _named_ids(self, raw: Column, t: SimpleType | None, kind: str, bindings: Column) -> Column | None:
+        """The ids (``ID``) or references (``IDREF``) in a literal; of a union, those
+        of the member that validates.  None for a type without any."""
         if t is None:
             return None
         if t.variety == "list":
-            return "refs" if self._role(t.item) == "ref" else ("ids" if self._role(t.item) == "id" else None)
-        if t.derives_from("ID"):
-            return "id"
-        return "ref" if t.derives_from("IDREF") else None
+            inner = lambda x: self._named_ids(x, t.item, kind, bindings)
+            return None if inner(raw) is None else F.flatten(F.transform(tokens(raw), inner))
+        if t.variety == "union":
+            made = [(m, self._named_ids(raw, m, kind, bindings)) for m in t.members]
+            if all(x is None for _, x in made):
+                return None
+            none = F.expr("cast(array() as array<string>)")
+            try:
+                member = F.coalesce(*[F.when(check(raw, m, bindings).isNull(), none if x is None else x) for m, x in made])
+                return F.when(check(raw, t, bindings).isNull(), member)
+            except Undecided:
+                return None
+        return tokens(raw) if t.derives_from(kind) else None
 
     def id_table(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(ids, references) with ``doc_id, node_id, value``: an ID attribute
-        binds its owner, an ID element its parent."""
-        made: dict[str, list[DataFrame]] = {"id": [], "ref": []}
-        text = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.translate(c, "\t\n\r", "   "), " +", " ")), " "), lambda x: x != "")
-        for kind in ("id", "ref"):
-            roles = ("id", "ids") if kind == "id" else ("ref", "refs")
-            keys = [f"{i}|{qname(*n)}" for i, t in enumerate(self.types) if isinstance(t, ComplexType) and self._live(i) for n, a in t.attributes.items() if self._role(a.type) in roles]
-            own = [i for i, t in enumerate(self.types) if self._live(i) and self._role(t if isinstance(t, SimpleType) else t.simple) in roles]
-            a = rows.select("doc_id", "node_id", "type", F.explode("attrs").alias("a")).where(F.concat_ws("|", F.col("type").cast("string"), "a.name").isin(*keys) if keys else F.lit(False)).select("doc_id", "node_id", F.explode(text("a.value")).alias("value"))
-            e = rows.where(F.col("type").isin(*own) if own else F.lit(False)).select("doc_id", (F.coalesce("parent_id", "node_id") if kind == "id" else F.col("node_id")).alias("node_id"), F.explode(text("text")).alias("value"))
-            made[kind] = a.unionByName(e)
-        return made["id"], made["ref"]
+        binds its owner, an ID element its parent.  Defaulted attributes count."""
+        made: list[DataFrame] = []
+        full = self.with_defaults(rows)
+        none = F.lit(None).cast("array<string>")
+        for kind in ("ID", "IDREF"):
+            groups: list[tuple[SimpleType, list[str]]] = []
+            own: dict[int, Column] = {}
+            for i, t in enumerate(self.types):
+                if not self._live(i):
+                    continue
+                found = self._named_ids(F.col("text"), t if isinstance(t, SimpleType) else t.simple, kind, F.col("bindings"))
+                if found is not None:
+                    own[i] = found
+                for n, a in t.attributes.items() if isinstance(t, ComplexType) else ():
+                    if self._named_ids(F.col("a.value"), a.type, kind, F.col("bindings")) is not None:
+                        group = next((g for s, g in groups if s == a.type), None)
+                        if group is None:
+                            groups.append((a.type, group := []))
+                        group.append(f"{i}|{qname(*n)}")
+            key, value = F.concat_ws("|", F.col("type").cast("string"), "a.name"), none
+            for s, keys in groups:
+                value = F.when(key.isin(*keys), self._named_ids(F.col("a.value"), s, kind, F.col("bindings"))).otherwise(value)
+            keys = [k for _, g in groups for k in g]
+            a = full.select("doc_id", "node_id", "type", "bindings", F.explode("attrs").alias("a")).where(key.isin(*keys) if keys else F.lit(False)).select("doc_id", "node_id", F.explode(value).alias("value"))
+            e = rows.where(F.col("type").isin(*own) if own else F.lit(False)).select("doc_id", (F.coalesce("parent_id", "node_id") if kind == "ID" else F.col("node_id")).alias("node_id"), F.explode(self._case("type", own, none)).alias("value"))
+            made.append(a.unionByName(e))
+        return made[0], made[1]
 
     def _ids(self, rows: DataFrame) -> DataFrame:
         ids, refs = self.id_table(rows)
