@@ -172,6 +172,14 @@ def test_array_and_scalar_trees_agree():
     assert m.decode(m.word_scalar(b"hello")) == "hello</w>"
 
 
+def test_places_of_long_words_stay_below_the_rank(monkeypatch):
+    m = bpe.model()
+    raw = b"the rest of another word" * 3
+    want = m.word_scalar(raw)
+    monkeypatch.setattr(bpe, "_SHIFT", 3)  # as 24 is to a word of over 16 million bytes
+    assert m.word_scalar(raw) == want
+
+
 # packing ------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import batches, read
 
 _NONE = np.iinfo(np.int64).max
-_SHIFT = 24  # places in a word; a rank is kept above them
+_SHIFT = 24  # places in a word, more in a longer one; a rank is kept above them
 _WIDE = 64  # symbols of a word that still goes into an array tree
 CACHE_WORDS = 300_000
 _MODELS: dict[str, "Bpe"] = {}
@@ -83,12 +83,13 @@ class Bpe:
         n = len(sym)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         size = 1 << max(0, n - 1).bit_length()
+        shift = max(_SHIFT, n.bit_length())
         tree = [_NONE] * (2 * size)
 
         def key(i: int) -> int:
             j = nxt[i]
             found = self.table.get(sym[i] * self.n + sym[j]) if j < n else None
-            return found[0] << _SHIFT | i if found else _NONE
+            return found[0] << shift | i if found else _NONE
 
         for i in range(n):
             tree[size + i] = key(i)
@@ -103,9 +104,9 @@ class Bpe:
                 tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
         while (top := tree[1]) != _NONE:
-            i = top & (1 << _SHIFT) - 1
+            i = top & (1 << shift) - 1
             j = nxt[i]
-            sym[i] = int(self.merged[top >> _SHIFT])
+            sym[i] = int(self.merged[top >> shift])
             sym[j] = -1
             nxt[i] = nxt[j]
             if nxt[j] < n:
