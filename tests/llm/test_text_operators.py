@@ -175,3 +175,12 @@ def test_cotraining_keeps_sources_apart(spark):
     bad, good = max(got[i] for i in range(0, 1000, 5)), min(got[i] for i in range(1000) if i % 5)
     assert bad < 0.3 and good > 0.9
     assert all(bad < got[i] < good for i in range(1000, 1005))  # what was never learned says nothing
+
+
+def test_long_licences_and_known_texts_without_anchors(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(want, open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()) for n, want in names.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert all(r.whole_license == r.doc_id for r in LicenseScan()(df).collect())
+    mine = spark.createDataFrame([("a", "Take it and run.\nreally"), ("b", "take it")], "doc_id string, text string")
+    assert {r.doc_id: r.licenses for r in LicenseScan(known=(("mine", "take it, and run"),))(mine).collect()} == {"a": "mine", "b": ""}

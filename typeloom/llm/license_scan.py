@@ -12,6 +12,8 @@ can match, so lines without any of these are not normalised at all.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,23 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+#: Canonical digests of long licences' whole texts, as Debian's common-licenses has them.
+LONG: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37"),
+    ("GPL-1.0", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    ("GPL-2.0", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-3.0", "5e06bcb7b8c914d3ffb433229937b503a624ae6c7bb9ac1cad01e35a324bcb6d"),
+    ("LGPL-2.0", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.1", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty if nothing is left of it."""
@@ -114,13 +133,18 @@ class LicenseScan:
     def digests(self, spark: SparkSession) -> DataFrame:
         """``(license, digest)`` of the known texts, one row per digest."""
         rows = spark.createDataFrame(list(self.known), "license string, body string")
-        return rows.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+        found = rows.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest"))
+        if self.known is KNOWN:
+            found = found.unionByName(spark.createDataFrame(list(LONG), "license string, digest string"))
+        return found.groupBy("digest").agg(F.min("license").alias("license"))
 
     def matches(self, df: DataFrame) -> DataFrame:
         """``(k, whole, license)`` for every match of a whole text or a line."""
         k, t = F.col(self.key).alias("k"), F.col(self.text).alias("t")
-        docs = df.select(k, t).where(F.lower("t").rlike(ANCHORS))
-        lines = F.filter(F.split("t", "\n"), lambda x: F.lower(x).rlike(ANCHORS))
+        # a caller's text may have none of the words; then nothing is left out
+        anchored = lambda x: F.lower(x).rlike(ANCHORS) if all(re.search(ANCHORS, body.lower()) for _, body in self.known) else F.lit(True)
+        docs = df.select(k, t).where(anchored(F.col("t")))
+        lines = F.filter(F.split("t", "\n"), anchored)
         several = F.size(F.split("t", "\n")) > 1
         # the units of a text: itself, and its lines if there is more than one
         units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("t").alias("u"))), F.when(several, F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("u")))).otherwise(F.expr("cast(array() as array<struct<whole: boolean, u: string>>)")))
