@@ -66,6 +66,55 @@ def test_chains_pivots_and_hot_groups(spark):
         assert sorted(got, key=str) == brute(rows, *t)
 
 
+def template_pages(n, common=170, own=30, seed=3):
+    rng = random.Random(seed)
+    frame = [f"t{i}" for i in range(common)]
+    return [(i, " ".join(frame + [f"{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_a_template_does_not_bring_all_pairs_together(spark, monkeypatch):
+    counts = {"met": 0, "compared": 0}
+    compare = NearDuplicates._compare
+
+    def counted(self, met, sets, stages):
+        counts["met"] += met.select(*(["id", "pid"])).distinct().count()
+        put = stages.put
+
+        def seen(df, label):
+            out = put(df, label)
+            counts["compared"] += out.count() if label == "possible" else 0
+            return out
+
+        monkeypatch.setattr(stages, "put", seen)
+        out = compare(self, met, sets, stages)
+        monkeypatch.setattr(stages, "put", put)
+        return out
+
+    monkeypatch.setattr(NearDuplicates, "_compare", counted)
+    n = 1000
+    rows = template_pages(n)
+    rows += [(n + k, rows[0][1] + f" again{k}") for k in range(20)]  # near copies among them are still found
+    got = [tuple(r) for r in NearDuplicates(threshold=(85, 100))(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {g[0] for g in got if g[2] == 0} == {0, *range(n, n + 20)}
+    assert all(g[0] == g[2] for g in got if 0 < g[0] < n)
+    assert counts["met"] < 10 * n and counts["compared"] < n
+
+
+def test_bound_of_common_shingles_is_never_too_low():
+    import numpy as np
+
+    from typeloom.llm.near_dedup import histogram, most_common, prefix_length
+
+    rng = np.random.default_rng(9)
+    for n, extra in ((1, 0), (7, 1), (200, 30), (1023, 2), (5000, 700)):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        t = np.unique(np.concatenate((s[extra:], rng.integers(0, 1 << 63, 2 * extra, dtype=np.uint64))))
+        both = most_common(histogram(s), histogram(t))
+        assert both >= len(np.intersect1d(s, t))
+    assert histogram(np.arange(0, 512 * 300, 512, dtype=np.uint64)) == b"" and most_common(b"", histogram(s)) is None
+    assert [int(prefix_length(np.int64(n), 85, 100)) for n in (1, 2, 7, 100)] == [1, 1, 2, 16]
+
+
 def test_nulls_empty_ties_and_clashing_columns(spark):
     rows = [(1, None, 1, "x"), (2, "", 2, "x"), (3, " \t\n", 3, None), (4, "a b", 4, "x"), (5, "A B", 5, "x"), (5, "A B", 5, "x"), (None, "a b c d e f", 6, "x"), (None, None, 7, "x"), (9, "a b c d e f", 8, "x"), (8, "a b c d e", 9, "x"), (7, "x " * 30000, 1, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long, cls string")

@@ -11,15 +11,23 @@ What happens at scale:
 
 * Documents with one and the same shingle set are one class (128-bit digest);
   everything after works on classes, so exact copies never meet in a bucket.
-* A sketch that only one class has cannot be half of a shared table.  Sketches
-  are counted first (8 bytes each, combined before the shuffle) and only pairs
-  of repeated sketches become keys.
-* Buckets are compared with pivots: every member against 4, then 16, 64 ...
-  pivots a round, and only across components found so far.  No bucket's pairs
-  are formed at once, none is dropped: rounds end when each bucket lies in one
-  component or all its members have been pivots.
-* Shingle sets are rebuilt for members of shared buckets only, and compared
-  with ``array_intersect`` in the JVM.
+* A sketch that only one class has cannot be half of a shared table, and of
+  sketches that the very same classes have, one says all.  So sketches are
+  counted first (8 bytes each, combined before the shuffle), and only what is
+  left of them is paired to keys.
+* Every member of a bucket meets one pivot, the bucket's least class.  That
+  joins a cluster of copies, however large, without forming its pairs.
+* Buckets that then still lie in several components hold texts that are alike,
+  but mostly not near: pages of one template, say.  Their members meet by
+  prefixes instead.  In one order of all shingles, rare ones first, two sets at
+  the threshold share a shingle among the first ``n - ceil(t * n) + 1`` of each,
+  so a template's common shingles bring nobody together.  These smaller buckets
+  are compared with pivots, 4, then 16, 64 ... a round and only across
+  components, until each lies in one component or all its members were pivots.
+* A pair is compared on full sets only where its intersection can be large
+  enough by an upper bound: the sum of the smaller counts of each hash bin, with
+  one to two shingles to a bin.  That takes an eighth of a set's bytes or less.
+* None of this drops a pair at the threshold that shares a table.
 * Components come from alternating large-star and small-star steps on tables.
 """
 
@@ -34,11 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Stages, batches, mix, ngrams, read, word_hashes
+from .common import BATCH_BYTES, Stages, batches, mix, ngrams, read, word_hashes
 
 _PERM_COLUMNS = 8192
-#: Pivots of a bucket in the first round; each round has four times as many.
+#: Pivots of a prefix bucket in the first round; each round has four times as many.
 FIRST_PIVOTS = 4
+#: Bins in which shingles are counted to tell rare ones: a fixed 2 MB.
+ORDER_BINS = 1 << 18
 
 
 def sketches_per_collection(threshold: float, rows: int, miss: float) -> int:
@@ -101,6 +111,26 @@ def _signatures(size: int, m: int, rows: int, seed: int, schema: pa.Schema):
     return run
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles by their low bits: the greatest power of two bins
+    that the set fills.  Empty, which bounds nothing, if a count needs over a byte."""
+    bins = 1 << (len(shingles).bit_length() - 1)
+    counts = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(a: bytes, b: bytes) -> int | None:
+    """An upper bound of the intersection of two sets by their histograms."""
+    if not a or not b:
+        return None
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):  # a bin of fewer bits is the sum of the bins with these low bits
+        y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def _sets(size: int, schema: pa.Schema):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one():
@@ -108,9 +138,68 @@ def _sets(size: int, schema: pa.Schema):
                 for text in part.column(0):
                     s = shingle_set(text.as_py(), size)
                     if len(s):
-                        yield xxh3_128_digest(s.tobytes()), s.view(np.int64)
+                        yield xxh3_128_digest(s.tobytes()), histogram(s), s.view(np.int64)
+
+        yield from batches(one(), schema, lambda r: r[2].nbytes)
 
-        yield from batches(one(), schema, lambda r: r[1].nbytes)
+    return run
+
+
+def _possible(num: int, den: int, schema: pa.Schema):
+    """Of rows (u, v, nu, nv, hu, hv) the pairs whose bound reaches the threshold."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = (part.column(2).to_numpy() + part.column(3).to_numpy()).tolist()
+            keep = []
+            for n, a, b in zip(sizes, part.column(4).to_pylist(), part.column(5).to_pylist()):
+                both = most_common(a, b)
+                keep.append(both is None or both * (den + num) >= num * n)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], schema=schema)
+
+    return run
+
+
+def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of a set's first shingles, in any one order of all shingles, two
+    sets at the threshold must have one of in common."""
+    return n - (num * n + den - 1) // den + 1
+
+
+def _bin_counts(schema: pa.Schema):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BINS, np.int64)
+        for part in parts:
+            s = part.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((s % np.uint64(ORDER_BINS)).astype(np.int64), minlength=ORDER_BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
+
+    return run
+
+
+def _prefixes(counts: np.ndarray, num: int, den: int, schema: pa.Schema):
+    """Rows (key, id, n, p): the shingles of each set's prefix and their places."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+        held, size = [], 0
+        for part in parts:
+            for key, s in zip(part.column(0).to_pylist(), part.column(1)):
+                s = s.values.to_numpy().view(np.uint64)
+                n = len(s)
+                first = np.lexsort((s, counts[(s % np.uint64(ORDER_BINS)).astype(np.int64)]))[: int(prefix_length(np.int64(n), num, den))]
+                k = len(first)
+                held.append((s[first].view(np.int64), np.full(k, key), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+                size += 24 * k
+                if size > BATCH_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
@@ -173,72 +262,127 @@ class NearDuplicates:
         ddl = f"k {kind.simpleString()}, n long, cls binary, sig array<long>"
         arrow = pa.schema([("k", _arrow(kind)), ("n", pa.int64()), ("cls", pa.binary()), ("sig", pa.list_(pa.int64()))])
         rows = stages.put(docs.mapInArrow(_signatures(self.shingle, self.m, self.rows, self.seed, arrow), ddl), "rows")
-        classes = stages.put(rows.where("cls is not null").groupBy("cls").agg(F.min("k").alias("root"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-        member = stages.put(self._buckets(classes.select("cls", "sig"), stages), "buckets")
+        classes = rows.where("cls is not null").groupBy("cls").agg(F.min("k").alias("root"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        # an id is a number here: it is written, and read from there ever after
+        classes = stages.put(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        member = stages.put(self._buckets(classes.select("id", "sig"), stages), "buckets")
         links = self._links(docs, classes, member, stages)
-        whole = classes.select("cls", "root")
+        whole = classes.select("id", "cls", "root")
         if links is not None:
-            label = components(links, stages).withColumnRenamed("v", "cls")
-            near = stages.put(label.join(whole, "cls"), "labels")
-            near = near.join(near.groupBy("label").agg(F.min("root").alias("c")), "label").select("cls", "c")
+            label = components(links, stages).withColumnRenamed("v", "id")
+            near = stages.put(label.join(whole.select("id", "root"), "id"), "labels")
+            near = near.join(near.groupBy("label").agg(F.min("root").alias("c")), "label").select("id", "c")
             near = near.withColumn("linked", F.lit(True))
-            whole = whole.join(near, "cls", "left").select("cls", F.when(F.col("linked"), F.col("c")).otherwise(F.col("root")).alias("c"))
+            whole = whole.join(near, "id", "left").select("cls", F.when(F.col("linked"), F.col("c")).otherwise(F.col("root")).alias("c"))
         else:
             whole = whole.select("cls", F.col("root").alias("c"))
         return rows.drop("sig").join(whole, "cls", "left").select(F.col("k").alias(self.key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("k")).otherwise(F.col("c")).alias("component_id"))
 
     def _buckets(self, classes: DataFrame, stages: Stages) -> DataFrame:
-        """``(key, cls)``: tables' buckets of two classes or more; of buckets
+        """``(key, id)``: tables' buckets of two classes or more; of buckets
         with the same members only one stays."""
-        single = classes.select("cls", F.posexplode("sig").alias("i", "h"))
+        single = classes.select("id", F.posexplode("sig").alias("i", "h"))
         again = single.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        kept = single.join(again, "h", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("i", "h")).alias("s"))
+        kept = stages.put(single.select("id", "h", (F.col("i") < self.m).alias("a")).join(again, "h", "left_semi"), "sketches")
+        marks = _same_members(kept, "h", F.first("a").alias("a")).groupBy("c", "x", "y", "a").agg(F.min("h").alias("h")).select("h")
+        kept = kept.join(marks, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("a", "h")).alias("s"))
         half = lambda test: F.transform(F.filter("s", test), lambda x: x["h"])
-        both = kept.select("cls", half(lambda x: x["i"] < self.m).alias("a"), half(lambda x: x["i"] >= self.m).alias("b"))
-        pairs = both.select("cls", F.explode("a").alias("a"), "b").select("cls", "a", F.explode("b").alias("b"))
-        keyed = stages.put(pairs.select(F.xxhash64("a", "b").alias("key"), "cls"), "keys")
-        marks = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y")).where("c > 1")
-        one = marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+        both = kept.select("id", half(lambda x: x["a"]).alias("a"), half(lambda x: ~x["a"]).alias("b"))
+        pairs = both.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b"))
+        keyed = stages.put(pairs.select(F.xxhash64("a", "b").alias("key"), "id"), "keys")
+        one = _same_members(keyed, "key").where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
         return keyed.join(one, "key", "left_semi")
 
     def _links(self, docs: DataFrame, classes: DataFrame, member: DataFrame, stages: Stages) -> DataFrame | None:
+        """``(u, v)``: links enough for the components of all, None for none."""
         if member.isEmpty():
             return None
-        num, den = self.threshold
-        need = member.select("cls").distinct().join(classes.select("cls", "root"), "cls")
-        roots = need.select("root").distinct()
-        texts = docs.join(roots, docs["k"].eqNullSafe(roots["root"]), "left_semi").select("t")
-        arrow = pa.schema([("cls", pa.binary()), ("s", pa.list_(pa.int64()))])
-        sets = stages.put(texts.mapInArrow(_sets(self.shingle, arrow), "cls binary, s array<long>").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-        sizes = classes.select("cls", "n")
-        act = stages.put(member.join(sizes, "cls").withColumn("label", F.col("cls")), "active")
-        links, pivots = None, FIRST_PIVOTS
+        sizes = classes.select("id", "n")
+        act = stages.put(member.join(sizes, "id"), "members")
+        sets = self._all_sets(docs, classes.join(member.select("id").distinct(), "id", "left_semi"), stages)
+        # one pivot a bucket, by an aggregation
+        lead = act.groupBy("key").agg(F.min("id").alias("pid"), F.min_by("n", "id").alias("pn"))
+        met = act.join(lead, "key").where(F.col("id") != F.col("pid"))
+        links = self._compare(met, sets, stages)
+        labels = self._labels(links, stages)
+        rest = met.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+        ids = stages.put(rest.join(open_, "key", "left_semi").select("id").distinct(), "open")
+        if ids.isEmpty():
+            return links
+        act = self._prefix_buckets(sets.join(ids, "id", "left_semi").select("id", "s"), stages)
+        act = stages.put(act.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "active")
+        pivots = FIRST_PIVOTS
         while True:
-            order = Window.partitionBy("key").orderBy("cls")
-            lead = act.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).select("key", F.col("cls").alias("pc"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            near = (F.least("n", "pn") * den >= F.greatest("n", "pn") * num) & (F.col("label") != F.col("pl"))
-            pairs = act.join(lead, "key").where(near).select(F.least("cls", "pc").alias("u"), F.greatest("cls", "pc").alias("v")).distinct()
-            x = sets.select(F.col("cls").alias("u"), F.col("s").alias("su"))
-            y = sets.select(F.col("cls").alias("v"), F.col("s").alias("sv"))
-            both = F.size(F.array_intersect("su", "sv"))
-            found = pairs.join(x, "u").join(y, "v").where(both * den >= (F.size("su") + F.size("sv") - both) * num).select("u", "v")
-            found = stages.put(found, "links")
-            links = found if links is None else links.union(found)
-            # a pivot's links are all known now: it leaves; a bucket in one component is done
-            rest = act.join(lead.select("key", F.col("pc").alias("cls")), ["key", "cls"], "left_anti").drop("label")
-            if not found.isEmpty():
-                labels = stages.put(components(links, stages), "labels").withColumnRenamed("v", "cls")
-                rest = rest.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            else:
-                rest = act.join(lead.select("key", F.col("pc").alias("cls")), ["key", "cls"], "left_anti")
-            open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-            after = stages.put(rest.join(open_, "key", "left_semi"), "active")
+            open_ = act.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+            after = stages.put(act.join(open_, "key", "left_semi"), "active")
             stages.drop(act)
             act = after
             if act.isEmpty():
                 return links
+            order = Window.partitionBy("key").orderBy("n", "id")
+            lead = stages.put(act.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r"), "pivots")
+            lead = lead.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("label").alias("pl"))
+            # the first common shingle's place bounds what can still be common
+            room = F.least(F.col("n") - F.col("p"), F.col("pn") - F.col("pp"))
+            num, den = self.threshold
+            met = act.join(lead, "key").where((F.col("label") != F.col("pl")) & (room * (den + num) >= num * (F.col("n") + F.col("pn"))))
+            found = self._compare(met, sets, stages)
+            rest = act.join(lead.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")  # a pivot's links are all known now
+            if not found.isEmpty():
+                links = links.union(found)
+                rest = rest.drop("label").join(self._labels(links, stages), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            after = stages.put(rest, "active")
+            stages.drop(act)
+            act = after
             pivots *= 4
 
+    @staticmethod
+    def _labels(links: DataFrame, stages: Stages) -> DataFrame:
+        return stages.put(components(links, stages), "labels").withColumnRenamed("v", "id")
+
+    def _all_sets(self, docs: DataFrame, need: DataFrame, stages: Stages) -> DataFrame:
+        """``(id, h, s)``: histogram and shingles of the needed classes."""
+        roots = need.select("root").distinct()
+        texts = docs.join(roots, docs["k"].eqNullSafe(roots["root"]), "left_semi").select("t")
+        arrow = pa.schema([("cls", pa.binary()), ("h", pa.binary()), ("s", pa.list_(pa.int64()))])
+        # texts under one key, and copies, have a class as well: each class once
+        made = texts.mapInArrow(_sets(self.shingle, arrow), "cls binary, h binary, s array<long>")
+        return stages.put(made.join(need.select("cls", "id"), "cls").select("id", "h", "s").dropDuplicates(["id"]), "sets")
+
+    def _compare(self, met: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
+        """The links among the pairs (id, pid) that met; n and pn are their sizes."""
+        num, den = self.threshold
+        near = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
+        pairs = met.where(near & (F.col("id") != F.col("pid"))).select(F.least("id", "pid").alias("u"), F.greatest("id", "pid").alias("v")).distinct()
+        marks = lambda a, b: sets.select(F.col("id").alias(a), F.size("s").alias(f"n{b}"), F.col("h").alias(f"h{b}"))
+        wide = pairs.join(marks("u", "u"), "u").join(marks("v", "v"), "v").select("u", "v", "nu", "nv", "hu", "hv")
+        possible = stages.put(wide.mapInArrow(_possible(num, den, pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long"), "possible")
+        x = sets.select(F.col("id").alias("u"), F.col("s").alias("su"))
+        y = sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
+        both = F.size(F.array_intersect("su", "sv"))
+        found = possible.join(x, "u").join(y, "v").where(both * den >= (F.size("su") + F.size("sv") - both) * num).select("u", "v")
+        return stages.put(found, "links")
+
+    def _prefix_buckets(self, sets: DataFrame, stages: Stages) -> DataFrame:
+        """``(key, id, n, p)``: shingles that are in two prefixes or more, with
+        the sets' sizes and the shingle's place."""
+        num, den = self.threshold
+        counted = sets.select("s").mapInArrow(_bin_counts(pa.schema([("b", pa.int64()), ("c", pa.int64())])), "b long, c long")
+        counts = np.zeros(ORDER_BINS, np.int64)
+        for b, c in counted.groupBy("b").agg(F.sum("c")).collect():  # at most ORDER_BINS rows
+            counts[b] = c
+        arrow = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
+        rows = stages.put(sets.mapInArrow(_prefixes(counts, num, den, arrow), "key long, id long, n int, p int"), "prefixes")
+        # of buckets with the same members the one with the first places bounds best
+        one = _same_members(rows, "key", F.min("p").alias("p")).where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("p", "key")).alias("key")).select("key.key")
+        return rows.join(one, "key", "left_semi")
+
+
+def _same_members(rows: DataFrame, key: str, *more) -> DataFrame:
+    """``(key, c, x, y)``: size and fingerprint of the ids under each key."""
+    return rows.groupBy(key).agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"), *more)
+
 
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
