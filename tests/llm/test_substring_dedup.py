@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from typeloom.llm.substring_dedup import Blocks, SubstringDedup, op10
+from typeloom.llm.substring_dedup import Blocks, SubstringDedup, factors, matches, op10, packed, unpacked
 
 
 def brute(rows, window=35):
@@ -67,3 +67,19 @@ def test_blocks_cover_every_window_once_in_any_slice():
     b = Blocks(h, 35, 16)
     assert b.lo[0] == 0 and b.hi[-1] == len(h) - 35
     assert (b.lo[1:] == b.hi[:-1] + 1).all()
+    assert (b.place >= 0).all() and (b.place <= 35 - 16).all()
+    lo, hi, place = unpacked(packed(b.lo, b.hi, b.place))
+    assert (lo == b.lo).all() and (hi == b.hi).all() and (place == b.place).all()
+
+
+def test_matches_grow_from_the_anchor_and_stop_at_the_first_other_word():
+    x = np.arange(1, 14, dtype=np.uint64)[None].repeat(4, axis=0)
+    y = x.copy()
+    y[1, 2], y[2, 9], y[3, [0, 4, 8, 12]] = 99, 99, 99
+    first, last = matches(x, y, 5, 3)
+    assert list(zip(first.tolist(), last.tolist())) == [(0, 13), (3, 13), (0, 9), (5, 8)]
+
+
+def test_factors_are_greedy():
+    start, end = factors(np.array([3, 0, 30, 4]), np.array([3, 1, 31, 9]), 5)
+    assert list(zip(start.tolist(), end.tolist())) == [(0, 14), (30, 36)]
