@@ -2,9 +2,11 @@
 
 A text and each of its lines are brought to a canonical form (lower case, no
 copyright lines, one spelling of equivalent words, no punctuation, single
-spaces), hashed, and joined with the digests of known licence texts.  The known
-texts are a constant of this module, a few dozen rows, so that side is
-broadcast; nothing of the documents is shuffled but the keys of matches.
+spaces) and hashed.  Entire texts are hash-joined with the digests of known
+licence texts; lines are looked up in the same table as a literal map, inside
+their row.  The known texts are a constant of this module, so the joined side is
+broadcast, and no row of the documents moves: the plan has no shuffle, and every
+row has its own result whatever its key is.
 
 A licence text keeps some word such as "licen" or "permission" in any form that
 can match, so lines without any of these are not normalised at all.
@@ -122,9 +124,10 @@ class LicenseScan:
     """Licences that a text, or one of its lines, is the text of.
 
     Defined results: a null or empty text has none; a licence found in several
-    lines counts once in ``licenses`` and each time in ``n_matches``; repeated
-    keys share one row of matches, so rows with equal keys get the union; a null
-    key gets no matches of lines.  An empty table gives an empty result.
+    lines counts once in ``licenses`` and each time in ``n_matches``; of one
+    digest under several names the first by name counts.  Results are by row:
+    repeated and null keys, also of different texts, do not matter.  Texts and
+    lines of any length are read whole.  An empty table gives an empty result.
     """
 
     def __init__(self, key: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN):
@@ -138,25 +141,28 @@ class LicenseScan:
             found = found.unionByName(spark.createDataFrame(list(LONG), "license string, digest string"))
         return found.groupBy("digest").agg(F.min("license").alias("license"))
 
-    def matches(self, df: DataFrame) -> DataFrame:
-        """``(k, whole, license)`` for every match of a whole text or a line."""
-        k, t = F.col(self.key).alias("k"), F.col(self.text).alias("t")
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """``(key, n_matches, licenses, whole_license)`` for every row."""
         # a caller's text may have none of the words; then nothing is left out
         anchored = lambda x: F.lower(x).rlike(ANCHORS) if all(re.search(ANCHORS, body.lower()) for _, body in self.known) else F.lit(True)
-        docs = df.select(k, t).where(anchored(F.col("t")))
+        digest = lambda x: F.sha2(canonical(x), 256)
+        table = self.digests(df.sparkSession).collect()  # the known texts' digests
+        by_digest = F.create_map(*(F.lit(v) for r in table for v in (r.digest, r.license)))
+        known = df.sparkSession.createDataFrame(table, "digest string, whole_license string")
+        docs = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).withColumn("digest", F.when(anchored(F.col("t")), digest(F.col("t"))))
+        joined = docs.join(F.broadcast(known), "digest", "left")
         lines = F.filter(F.split("t", "\n"), anchored)
-        several = F.size(F.split("t", "\n")) > 1
-        # the units of a text: itself, and its lines if there is more than one
-        units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("t").alias("u"))), F.when(several, F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("u")))).otherwise(F.expr("cast(array() as array<struct<whole: boolean, u: string>>)")))
-        unit = docs.select("k", F.explode(units).alias("x")).select("k", "x.whole", F.sha2(canonical(F.col("x.u")), 256).alias("digest"))
-        return unit.join(F.broadcast(self.digests(df.sparkSession)), "digest").select("k", "whole", "license")
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        """``(key, n_matches, licenses, whole_license)`` for every row."""
-        per = self.matches(df).groupBy("k").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"))
-        keys = df.select(F.col(self.key).alias("key"))
-        out = keys.join(per, keys["key"] == per["k"], "left")
-        return out.select(F.col("key").alias(self.key), F.coalesce("n", F.lit(0)).alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), "whole_license")
+        # lines count if there is more than one, and if the text has any that can match
+        named = F.filter(F.transform(lines, lambda x: by_digest[digest(x)]), lambda x: x.isNotNull())
+        of_lines = F.when(F.col("digest").isNotNull() & F.col("t").contains("\n"), named).otherwise(F.array().cast("array<string>"))
+        found = joined.select("k", "whole_license", of_lines.alias("lines"))
+        whole = F.array_compact(F.array("whole_license"))
+        return found.select(
+            F.col("k").alias(self.key),
+            (F.size("lines") + F.size(whole)).cast("long").alias("n_matches"),
+            F.array_join(F.array_sort(F.array_distinct(F.concat("lines", whole))), ",").alias("licenses"),
+            "whole_license",
+        )
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,22 +179,28 @@ def _sql_canonical(column: str) -> str:
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    long = ", ".join(f"('{a}', '{b}')" for a, b in LONG)
     return f"""
 WITH known AS (
-  SELECT sha256({_sql_canonical('body')}) AS digest, min(license) AS license
-  FROM (VALUES {values}) AS v(license, body) GROUP BY 1
+  SELECT digest, min(license) AS license FROM (
+    SELECT sha256({_sql_canonical('body')}) AS digest, license FROM (VALUES {values}) AS v(license, body)
+    UNION ALL
+    SELECT digest, license FROM (VALUES {long}) AS v(license, digest)
+  ) GROUP BY 1
+), numbered AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
 ), docs AS (
-  SELECT doc_id, text FROM documents WHERE regexp_matches(lower(text), '{ANCHORS}')
+  SELECT r, text FROM numbered WHERE regexp_matches(lower(text), '{ANCHORS}')
 ), units AS (
-  SELECT doc_id, true AS whole, text AS u FROM docs
+  SELECT r, true AS whole, text AS u FROM docs
   UNION ALL
-  SELECT doc_id, false, u FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, len(string_split(text, chr(10))) AS n FROM docs)
+  SELECT r, false, u FROM (SELECT r, unnest(string_split(text, chr(10))) AS u, len(string_split(text, chr(10))) AS n FROM docs)
   WHERE n > 1 AND regexp_matches(lower(u), '{ANCHORS}')
 ), found AS (
-  SELECT doc_id, whole, license FROM (SELECT doc_id, whole, sha256({_sql_canonical('u')}) AS digest FROM units) JOIN known USING (digest)
+  SELECT r, whole, license FROM (SELECT r, whole, sha256({_sql_canonical('u')}) AS digest FROM units) JOIN known USING (digest)
 ), per AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, min(license) FILTER (whole) AS whole_license FROM found GROUP BY 1
+  SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, min(license) FILTER (whole) AS whole_license FROM found GROUP BY 1
 )
-SELECT d.doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses, whole_license
-FROM documents d LEFT JOIN per USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(licenses, '') AS licenses, whole_license
+FROM numbered LEFT JOIN per USING (r)
 """
