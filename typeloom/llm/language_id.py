@@ -8,8 +8,8 @@ language from the text itself.  Where the margin to the second language is
 narrow the result is rejected.
 
 Only the dictionaries are driver state: at most ``per_language`` snippets of
-``snippet`` characters for each language, chosen by a hash of the key, whatever
-the size of the table.
+``snippet`` characters for each language, chosen by a hash of the text, whatever
+the size of the table and of the texts.
 """
 
 from __future__ import annotations
@@ -66,8 +66,9 @@ class LanguageId:
 
     Defined results: ``und`` with score 0 and rejected for a null text, one
     without letters, and for all rows if no labelled row was given; ties go to
-    the language with more labelled rows, then the first by name; repeated rows get equal results.  The score is
-    the margin, (second - best) / second; with one language it is 1.
+    the language with more labelled rows, then the first by name; repeated rows
+    get equal results; an empty table gives an empty result.  The score is the
+    margin, (second - best) / second; with one language it is 1.
     """
 
     def __init__(self, key: str = "doc_id", text: str = "text", lang: str = "lang", *, per_language: int = 256, snippet: int = 600, level: int = 6, piece: int = 1024, margin: float = 0.01):
@@ -75,14 +76,17 @@ class LanguageId:
         self.per_language, self.snippet, self.level, self.piece, self.margin = per_language, snippet, level, piece, margin
 
     def fit(self, labelled: DataFrame) -> Compressors:
-        """Dictionaries from the rows with the least key hashes per language."""
+        """Dictionaries from the texts with the least hashes per language.  A text
+        that many rows have counts once, so copies cannot fill a dictionary."""
         t = F.col(self.text)
-        rows = labelled.where(F.col(self.lang).isNotNull() & (F.length(t) >= 40)).select(F.col(self.lang).alias("lang"), F.xxhash64(F.col(self.key), F.lit(11)).alias("h"), F.substring(t, 1, 3 * self.snippet).alias("s"))
-        order = Window.partitionBy("lang").orderBy("h", "s")
-        picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= self.per_language)
-        counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+        rows = labelled.where(F.col(self.lang).isNotNull() & (F.length(t) > 0)).select(F.col(self.lang).alias("lang"), F.xxhash64(t, F.lit(11)).alias("h"), F.substring(t, 1, 3 * self.snippet).alias("s"))
+        distinct = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
+        counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        order = Window.partitionBy("lang").orderBy("h")
+        picked = distinct.withColumn("r", F.row_number().over(order)).where(F.col("r") <= self.per_language).select("lang", "h")
+        snippets = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("s").alias("s"))
         found: dict[str, list[str]] = {}
-        for r in picked.orderBy("lang", "r").collect():  # per_language rows a language
+        for r in snippets.orderBy("lang", "h").collect():  # per_language rows a language
             start = len(r.s) // 3 if len(r.s) >= 3 * self.snippet else 0
             found.setdefault(r.lang, []).append(r.s[start : start + self.snippet].lower())
         return Compressors({k: "\n".join(v).encode() for k, v in found.items()}, self.level, self.piece, sorted(found, key=lambda k: (-counts[k], k)))
