@@ -184,3 +184,61 @@ def test_long_licences_and_known_texts_without_anchors(spark):
     assert all(r.whole_license == r.doc_id for r in LicenseScan()(df).collect())
     mine = spark.createDataFrame([("a", "Take it and run.\nreally"), ("b", "take it")], "doc_id string, text string")
     assert {r.doc_id: r.licenses for r in LicenseScan(known=(("mine", "take it, and run"),))(mine).collect()} == {"a": "mine", "b": ""}
+
+
+def test_licences_are_found_by_row_whatever_the_key(spark):
+    rows = [(1, "Released under the MIT License."), (1, "plain prose"), (None, "Released under the MIT License."), (None, None), (None, "Licensed under CC0 1.0.\nno\nLicensed under CC0 1.0.")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
+    got = Counter(tuple(r) for r in LicenseScan()(df).collect())
+    assert got == Counter([(1, 1, "MIT", "MIT"), (1, 0, "", None), (None, 1, "MIT", "MIT"), (None, 0, "", None), (None, 2, "CC0-1.0", None)])
+
+
+def auc(scores, truth):
+    order = np.argsort(scores, kind="stable")
+    _, inverse, n = np.unique(np.array(scores)[order], return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[inverse]
+    y = np.array(truth)[order]
+    return (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_views_and_their_combination_rank_labels_they_never_saw(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in cotraining.op4(spark, sf).collect()}
+    unseen = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    truth = [r.quality for r in unseen]
+    text, meta, both = (auc([got[r.doc_id][c] for r in unseen], truth) for c in ("text_prob", "meta_prob", "quality_prob"))
+    print(text, meta, both)
+    assert text >= 0.95 and both >= 0.95 and meta >= 0.4
+
+
+def test_words_decide_where_texts_look_alike(spark):
+    rng = np.random.default_rng(4)
+    good, bad, plain = ([f"{c}{i:03d}" for i in range(60)] for c in "gbp")
+    rows, labels = [], []
+    for i in range(600):
+        own = good if i % 2 else bad
+        rows.append((i, " ".join(rng.choice(own + plain, 40)), "en", f"s{rng.integers(5)}"))
+        if i < 400:
+            labels.append((i, i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in CoTraining()(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert sum((got[i].text_prob > 0.5) == bool(i % 2) for i in range(400, 600)) >= 195
+
+
+def test_quality_counts_letters_of_all_scripts_and_variety_of_any_length():
+    names = quality_rules.STATS
+    s = dict(zip(names, text_stats("Ünï – 日本。 🙂 A1")))
+    assert (s["n_letters"], s["n_upper"], s["n_digits"]) == (6, 2, 1)
+    words = [f"w{i}" for i in range(90)]
+    for n in (90, 9000, 90000):
+        s = dict(zip(names, text_stats(" ".join(words[i % 90] for i in range(n)))))
+        assert 0.85 <= s["n_varied"] / n <= 1
+    h = np.array([1, 2, 2, 3, 1, 1, 1], np.uint64)
+    assert quality_rules.varied_words(h, 3) == 2 + 2 + 1
+
+
+def test_a_language_of_short_texts_is_learned_and_copies_count_once(spark):
+    rows = [(i, f"uno dos tres {i % 9}", "es") for i in range(60)] + [(100 + i, "the one and the same", "en") for i in range(500)] + [(700, "alpha and beta with gamma", "en")]
+    model = LanguageId(per_language=2).fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.order) == {"en", "es"}
+    assert model.dictionaries["en"].decode().split("\n").count("the one and the same") == 1 and b"alpha" in model.dictionaries["en"]

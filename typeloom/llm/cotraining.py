@@ -1,17 +1,19 @@
 """Quality by co-training of a text view and a metadata view.
 
-Each view is a naive Bayes model over binned features.  In every round each
-model labels the rows it is confident about, and the *other* model learns from
-them together with the labelled rows; at the end both views are calibrated on
-labelled rows that neither has learned from, and combined as independent
-evidence.
-
-A model is a table of weighted counts (class, feature, bin), so a round is one
-aggregation over all rows: Spark sums at most ``2 * features * bins`` numbers a
-view, whatever the size of the table.  Languages and sources have no bins but
-counts of each value: a grouped table of log-odds that is joined back, in which
-a rare value stays near 0.  Texts are read once; rounds run on rows of a few
-dozen bytes.
+The text view is naive Bayes over what the text says (its words and word pairs,
+hashed into two tables of 65,536 weights) and how it looks (binned statistics);
+the metadata view is naive Bayes over language, source and their pair, by actual
+value, and over how much of it is missing.  Neither sees the other's columns.
+
+In every round both views are calibrated on labelled rows that neither has
+learned from; each then labels the rows it is confident about, and the *other*
+one learns from them together with the labelled rows.  At the end both calibrated
+views are combined as independent evidence.
+
+A text model is a table of weighted counts of fixed size, so a round is one
+aggregation over all rows.  Metadata values have a grouped table of log-odds that
+is joined back, in which a rare value stays near 0.  Texts are read once; rounds
+run on rows of some hundred bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, batches, read
+from .common import Stages, batches, ngrams, read, word_hashes, words
 from .quality_rules import STATS, text_stats
 
 BINS = 16
@@ -32,9 +34,12 @@ _RATIO = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.12, 0.2, 0.3, 0.45
 _SIZE = np.array([1, 5, 10, 20, 40, 80, 150, 300, 500, 800, 1500, 3000, 6000, 12000, 30000], float)
 _MEAN = np.array([1, 2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 7, 8, 10, 14, 25], float)
 TEXT = ("words", "word_length", "symbols", "duplicate_lines", "repeats", "letters", "upper", "digits", "distinct", "longest", "stops", "commas", "shouts", "bars", "short_lines", "quotes")
-META = ("size",)
-#: Metadata that counts by value, and the weight of its prior: a value of that many labels has half its say.
-VALUES, PRIOR = ("l", "s"), 4.0
+META = ("missing",)
+#: Metadata that counts by value: language, source, and both; and the weight of
+#: a value's prior, which one of that many labels outweighs by half.
+VALUES, PRIOR = ("l", "s", "p"), 4.0
+#: Weights of the words, and of the word pairs, and the prior of each.
+GRAMS, GRAM_PRIOR = 1 << 16, 2.0
 #: Values that a partition sums before it passes them on.
 HELD = 50_000
 
@@ -46,25 +51,29 @@ def text_bins(text: str | None) -> bytes:
     n, chars, lines = s["n_words"] or 1, s["word_chars"] or 1, s["n_lines"] or 1
     values = (
         (s["n_words"], _SIZE), (chars / n, _MEAN), (s["n_symbols"] / n, _RATIO), (s["n_dup_lines"] / lines, _RATIO), (s["n_repeat_words"] / n, _RATIO), (s["n_letters"] / chars, _RATIO),
-        (s["n_upper"] / (s["n_letters"] or 1), _RATIO), (s["n_digits"] / chars, _RATIO), (s["n_distinct"] / n, _RATIO), (s["longest"], _SIZE), (t.count(".") / n, _RATIO), (t.count(",") / n, _RATIO),
+        (s["n_upper"] / (s["n_letters"] or 1), _RATIO), (s["n_digits"] / chars, _RATIO), (s["n_varied"] / n, _RATIO), (s["longest"], _SIZE), (t.count(".") / n, _RATIO), (t.count(",") / n, _RATIO),
         (t.count("!") / n, _RATIO), (t.count("|") / n, _RATIO), (lines / n, _RATIO), ((t.count('"') + t.count("'")) / n, _RATIO),
     )
     return bytes(int(np.searchsorted(edges, v, side="right")) for v, edges in values)
 
 
-def size_bin(size: int | None) -> bytes:
-    """The bin of the size; a null has a bin of its own, 0."""
-    return bytes((0 if size is None else int(np.searchsorted(_SIZE[1:], size, side="right")) + 1,))
+def text_grams(text: str | None) -> tuple[bytes, bytes]:
+    """The hashed words and word pairs that a text has, as 16-bit numbers."""
+    h = word_hashes(words(text))
+    cut = np.uint64(48)
+    return tuple(np.unique(x >> cut).astype(np.uint16).tobytes() for x in (h, ngrams(h, 2)))
 
 
 def _features(schema: pa.Schema):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one():
             for part in parts:
-                for key, text, lang, source, size in zip(part.column(0).to_pylist(), part.column(1), *(part.column(i).to_pylist() for i in (2, 3, 4))):
-                    yield key, text_bins(text.as_py()), size_bin(size), lang, source
+                for key, text, lang, source in zip(part.column(0).to_pylist(), part.column(1), *(part.column(i).to_pylist() for i in (2, 3))):
+                    t = text.as_py()
+                    pair = None if lang is None or source is None else f"{lang}\0{source}"
+                    yield key, text_bins(t), *text_grams(t), bytes(((lang is None) + (source is None),)), lang, source, pair
 
-        yield from batches(one(), schema)
+        yield from batches(one(), schema, lambda r: len(r[2]) + len(r[3]))
 
     return run
 
@@ -74,17 +83,44 @@ class View:
     mean over features, not the sum, is what confidence is asked of: features of
     one text repeat each other.  ``extra`` are log-odds of values without bins."""
 
-    unit = 1.0
-
     def __init__(self, counts: np.ndarray):  # (2, features, BINS)
         c = counts + 1.0
         p = c / c.sum(axis=2, keepdims=True)
         self.table = np.log(p[1]) - np.log(p[0])
         n = counts[:, 0].sum(axis=1) + 1
         self.prior = float(np.log(n[1] / n[0]))
+        self.grams = np.zeros(2 * GRAMS, np.float32)
+
+    def with_grams(self, counts: np.ndarray, n: np.ndarray) -> "View":
+        """Adds log-odds of words and pairs, from rows of each class that have
+        them and all its rows; what was never seen stays at 0."""
+        share = GRAM_PRIOR * (n + 1) / (n.sum() + 2)
+        c = counts.reshape(2, -1)
+        self.grams = (np.log(c[1] + share[1]) - np.log(c[0] + share[0]) - np.log(share[1] / share[0])).astype(np.float32)
+        return self
 
     def odds(self, bins: np.ndarray, extra: np.ndarray | float = 0.0) -> np.ndarray:
-        return self.table[np.arange(bins.shape[1]), bins].sum(axis=1) + self.prior + extra / self.unit
+        return self.table[np.arange(bins.shape[1]), bins].sum(axis=1) + self.prior + extra
+
+    def of_grams(self, grams: "Grams") -> np.ndarray:
+        """The words' log-odds of each row: their sum over the root of their
+        number, as words of one text repeat each other."""
+        total = np.bincount(grams.row, self.grams[grams.at], len(grams.size))
+        return total / np.sqrt(np.maximum(grams.size, 1))
+
+
+class Grams:
+    """Words and pairs of a batch: ``at`` and ``row`` of each, ``size`` of each row."""
+
+    def __init__(self, words: pa.Array, pairs: pa.Array):
+        ats, rows, self.size = [], [], np.zeros(len(words), np.int64)
+        for k, column in enumerate((words, pairs)):
+            raw = column.to_pylist()
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+            ats.append(np.frombuffer(b"".join(raw), np.uint16).astype(np.int64) + k * GRAMS)
+            rows.append(np.repeat(np.arange(len(raw)), n))
+            self.size += n
+        self.at, self.row = np.concatenate(ats), np.concatenate(rows)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -92,25 +128,34 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, width)
 
 
-def _counts(views: tuple[View, View] | None, sure: float, weight: float):
-    """Rows (view, class, feature, bin, w) of one partition's weighted counts; views
-    from 2 on are those of ``VALUES``, with the class and the value."""
-    schema = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("value", pa.string()), ("w", pa.float64())])
+def _odds(views: tuple[View, View], part: pa.RecordBatch, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' log-odds of rows (t, g, h, m, o, ...)."""
+    return views[0].odds(matrix(part.column(0), len(TEXT)), views[0].of_grams(grams)), views[1].odds(matrix(part.column(3), len(META)), part.column(4).to_numpy(zero_copy_only=False))
+
+
+_COUNTS = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("value", pa.string()), ("w", pa.float64())])
+
+
+def _counts(views: tuple[View, View] | None, scale: list[tuple[float, float]], sure: float, weight: float):
+    """Rows (view, at, value, w) of one partition's weighted counts: views 0 and
+    1 by class, feature and bin; 2 by class and gram; those from 3 on are those of
+    ``VALUES``, with the class and the value."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((2, len(f), BINS)) for f in (TEXT, META)]
+        total = [np.zeros((2, len(f), BINS)) for f in (TEXT, META)] + [np.zeros((2, 2 * GRAMS))]
         held: dict[tuple[int, int, str | None], float] = {}
 
         def values() -> pa.RecordBatch:
             view, at, value = zip(*held)
-            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((view, at, value, held.values()), schema)], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((view, at, value, held.values()), _COUNTS)], schema=_COUNTS)
             held.clear()
             return out
 
         for part in parts:
-            bins = [matrix(part.column(0), len(TEXT)), matrix(part.column(1), len(META))]
-            label = np.array([-1 if v is None else v for v in part.column(2).to_pylist()])
-            odds = [v.odds(b, x) for v, b, x in zip(views, bins, (0.0, part.column(3).to_numpy(zero_copy_only=False)))] if views else None
+            grams = Grams(part.column(1), part.column(2))
+            bins = [matrix(part.column(0), len(TEXT)), matrix(part.column(3), len(META))]
+            label = np.array([-1 if v is None else v for v in part.column(5).to_pylist()])
+            odds = [a * o + b for o, (a, b) in zip(_odds(views, part, grams), scale)] if views else None
             for k in (0, 1):
                 y, w = label.copy(), (label >= 0).astype(float)
                 if odds:  # the other view's confident rows
@@ -121,20 +166,23 @@ def _counts(views: tuple[View, View] | None, sure: float, weight: float):
                     mine = (y == c) & (w > 0)
                     for j in range(bins[k].shape[1]):
                         total[k][c, j] += np.bincount(bins[k][mine, j], w[mine], BINS)
-                    if k == 1:
-                        for i, column in enumerate(part.columns[4:]):
+                    if k == 0:
+                        has = mine[grams.row]
+                        total[2][c] += np.bincount(grams.at[has], w[grams.row[has]], 2 * GRAMS)
+                    else:
+                        for i, column in enumerate(part.columns[6:]):
                             codes = column.dictionary_encode(null_encoding="encode")
                             sums = np.bincount(codes.indices.to_numpy()[mine], w[mine], len(codes.dictionary))
                             for v, x in zip(codes.dictionary.to_pylist(), sums):
                                 if x:
-                                    held[2 + i, c, v] = held.get((2 + i, c, v), 0.0) + x
+                                    held[3 + i, c, v] = held.get((3 + i, c, v), 0.0) + x
             if len(held) > HELD:
                 yield values()
         if held:
             yield values()
         for k, t in enumerate(total):
             at = np.flatnonzero(t.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(t.ravel()[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.string()), pa.array(t.ravel()[at])], schema=_COUNTS)
 
     return run
 
@@ -157,14 +205,14 @@ def platt(odds: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple
 
 
 def _buckets(views: tuple[View, View], step: float):
-    """Rows (view, class, bucket, n) of labelled rows' log-odds."""
+    """Rows (view, y, b) of labelled rows' log-odds, in steps."""
     schema = pa.schema([("view", pa.int32()), ("y", pa.int32()), ("b", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            y = np.array(part.column(2).to_pylist(), np.int32)
-            for k, width, x in ((0, len(TEXT), 0.0), (1, len(META), part.column(3).to_numpy(zero_copy_only=False))):
-                o = np.clip(views[k].odds(matrix(part.column(k), width), x), -60, 60)
+            y = np.array(part.column(5).to_pylist(), np.int32)
+            for k, o in enumerate(_odds(views, part, Grams(part.column(1), part.column(2)))):
+                o = np.clip(o, -60, 60)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k, np.int32)), pa.array(y), pa.array(np.round(o / step).astype(np.int32))], schema=schema)
 
     return run
@@ -174,9 +222,8 @@ def _scores(views: tuple[View, View], scale: list[tuple[float, float]], prior: f
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for part in parts:
-            extra = (0.0, part.column(3).to_numpy(zero_copy_only=False))
-            z = [a * v.odds(matrix(part.column(1 + k), w), x) + b for k, (v, w, (a, b), x) in enumerate(zip(views, (len(TEXT), len(META)), scale, extra))]
-            cols = [part.column(0), *(pa.array(sigmoid(x)) for x in (z[0], z[1], z[0] + z[1] - prior))]
+            z = [a * o + b for o, (a, b) in zip(_odds(views, part, Grams(part.column(1), part.column(2))), scale)]
+            cols = [part.column(5), *(pa.array(sigmoid(x)) for x in (z[0], z[1], z[0] + z[1] - prior))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
@@ -185,15 +232,19 @@ def _scores(views: tuple[View, View], scale: list[tuple[float, float]], prior: f
 class CoTraining:
     """Quality probability of every row from two views.
 
-    Defined results: null texts, languages, sources and sizes have bins of their
-    own; a key with several labels counts with its lowest (a tie of opinions is
-    no quality); without labels every probability is the prior, one half;
-    repeated rows get equal results; an empty table gives an empty result.
-    Of ``labels``, a fifth of the keys (by crc32 of the key) calibrates and is
-    not learned from, another fifth is for the caller's measurement only.
+    ``sure`` is the calibrated probability from which a view's opinion becomes a
+    pseudo-label, of the weight ``weight``.
+
+    Defined results: null texts, languages and sources have bins of their own; a
+    key with several labels counts with its lowest (a tie of opinions is no
+    quality); without labels every probability is the prior, one half; repeated
+    rows get equal results; very long texts are read whole; an empty table gives
+    an empty result.  Of ``labels``, a fifth of the keys (by crc32 of the key)
+    calibrates and is not learned from, another fifth is for the caller's
+    measurement only.
     """
 
-    def __init__(self, key: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), *, rounds: int = 3, sure: tuple[float, float] = (8.0, 3.0), weight: float = 0.25, least: float = 0.5):
+    def __init__(self, key: str = "doc_id", text: str = "text", meta: tuple[str, str] = ("lang", "source"), *, rounds: int = 3, sure: float = 0.95, weight: float = 0.25, least: float = 0.5):
         self.key, self.text, self.meta, self.rounds, self.sure, self.weight, self.least = key, text, meta, rounds, sure, weight, least
 
     def __call__(self, df: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -202,21 +253,23 @@ class CoTraining:
 
         stages = Stages(df.sparkSession, "cotraining")
         kind = df.schema[self.key].dataType
-        schema = pa.schema([("k", to_arrow_type(kind)), ("t", pa.binary()), ("m", pa.binary()), ("l", pa.string()), ("s", pa.string())])
-        lang, source, size = self.meta
-        rows = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("x"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"), F.col(size).cast("long").alias("n"))
-        rows = stages.put(rows.mapInArrow(_features(schema), f"k {kind.simpleString()}, t binary, m binary, l string, s string"), "features")
+        binaries, strings = ("t", "g", "h", "m"), ("l", "s", "p")
+        schema = pa.schema([("k", to_arrow_type(kind)), *((c, pa.binary()) for c in binaries), *((c, pa.string()) for c in strings)])
+        ddl = f"k {kind.simpleString()}, " + ", ".join([f"{c} binary" for c in binaries] + [f"{c} string" for c in strings])
+        lang, source = self.meta
+        rows = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("x"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"))
+        rows = stages.put(rows.mapInArrow(_features(schema), ddl), "features")
         known = labels.where(F.col(label).isin(0, 1) & F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("k")).agg(F.min(label).cast("int").alias("y"))
         fold = F.crc32(F.col("k").cast("string").cast("binary")) % 5
         # held-out rows must not be pseudo-labelled either: they get no part in learning
         joined = stages.put(rows.join(known, "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "joined")
         learn = joined.where("fold is null or fold >= 2")
-        views = values = None
+        views, values, scale, prior = None, None, [], 0.0
         for _ in range(1 + self.rounds):
-            views, values = self._learn(stages, learn, views, values)
-        scale, prior = self._calibrate(self._with_odds(joined.where("fold = 1"), values).select("t", "m", "y", "o"), views)
+            views, values = self._learn(stages, learn, views, values, scale)
+            scale, prior = self._calibrate(self._with_odds(joined.where("fold = 1"), values), views)
         out = pa.schema([("k", to_arrow_type(kind)), ("text_prob", pa.float64()), ("meta_prob", pa.float64()), ("quality_prob", pa.float64())])
-        scored = self._with_odds(rows, values).select("k", "t", "m", "o").mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
+        scored = self._with_odds(rows, values).select("t", "g", "h", "m", "o", "k").mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
         return scored.withColumn("kept", F.col("quality_prob") >= self.least).withColumnRenamed("k", self.key)
 
     @staticmethod
@@ -225,31 +278,31 @@ class CoTraining:
         odds = F.lit(0.0)
         if values is not None:
             for i, c in enumerate(VALUES):
-                one = values.where(F.col("view") == 2 + i).select(F.col("value").alias(f"_{c}"), F.col("odds").alias(f"_o{c}"))
+                one = values.where(F.col("view") == 3 + i).select(F.col("value").alias(f"_{c}"), F.col("odds").alias(f"_o{c}"))
                 rows = rows.join(one, rows[c].eqNullSafe(one[f"_{c}"]), "left")
                 odds = odds + F.coalesce(f"_o{c}", F.lit(0.0))
         return rows.withColumn("o", odds)
 
-    def _learn(self, stages: Stages, rows: DataFrame, views: tuple[View, View] | None, values: DataFrame | None) -> tuple[tuple[View, View], DataFrame]:
-        # confidence is per view: one threshold for both would favour the view with more features
-        if views:
-            scaled = tuple(_Scaled(v, s) for v, s in zip(views, self.sure))
-        else:
-            scaled = None
-        parts = self._with_odds(rows, values).select("t", "m", "y", "o", *VALUES).mapInArrow(_counts(scaled, 1.0, self.weight), "view int, at int, value string, w double")
+    def _learn(self, stages: Stages, rows: DataFrame, views: tuple[View, View] | None, values: DataFrame | None, scale: list[tuple[float, float]]) -> tuple[tuple[View, View], DataFrame]:
+        sure = float(np.log(self.sure / (1 - self.sure)))
+        inputs = self._with_odds(rows, values).select("t", "g", "h", "m", "o", "y", *VALUES)
+        parts = inputs.mapInArrow(_counts(views, scale, sure, self.weight), "view int, at int, value string, w double")
         counts = stages.put(parts.groupBy("view", "at", "value").agg(F.sum("w").alias("w")), "counts")
-        total = [np.zeros(2 * len(f) * BINS) for f in (TEXT, META)]
-        for r in counts.where("view < 2").collect():  # one row a count of the model
-            total[r.view][r.at] = r.w
-        learned = tuple(View(t.reshape(2, -1, BINS)) for t in total)
+        total = [np.zeros(2 * len(f) * BINS) for f in (TEXT, META)] + [np.zeros(4 * GRAMS)]
+        found = counts.where("view <= 2").select("view", "at", "w").toArrow()  # one row a count of the model
+        view, at, w = (found.column(i).to_numpy() for i in range(3))
+        for k, t in enumerate(total):
+            t[at[view == k]] = w[view == k]
+        learned = tuple(View(t.reshape(2, -1, BINS)) for t in total[:2])
+        learned[0].with_grams(total[2], total[0].reshape(2, -1, BINS)[:, 0].sum(axis=1))
         # odds of the value over those of all rows, both classes with a share of the prior
         n = total[1].reshape(2, -1).sum(axis=1) + 1
         of = lambda c: F.sum(F.when(F.col("at") == c, F.col("w")).otherwise(0.0)) + float(PRIOR * n[c] / n.sum())
-        return learned, counts.where("view >= 2").groupBy("view", "value").agg((F.log(of(1)) - F.log(of(0)) - float(np.log(n[1] / n[0]))).alias("odds"))
+        return learned, counts.where("view > 2").groupBy("view", "value").agg((F.log(of(1)) - F.log(of(0)) - float(np.log(n[1] / n[0]))).alias("odds"))
 
     def _calibrate(self, rows: DataFrame, views: tuple[View, View]) -> tuple[list[tuple[float, float]], float]:
         step = 0.25
-        found = rows.mapInArrow(_buckets(views, step), "view int, y int, b int").groupBy("view", "y", "b").count().collect()  # at most 2 * 2 * 481 rows
+        found = rows.select("t", "g", "h", "m", "o", "y").mapInArrow(_buckets(views, step), "view int, y int, b int").groupBy("view", "y", "b").count().collect()  # at most 2 * 2 * 481 rows
         n = [sum(r["count"] for r in found if r.view == 0 and r.y == c) for c in (0, 1)]
         prior = float(np.log((n[1] + 1) / (n[0] + 1)))
         scale = []
@@ -260,12 +313,5 @@ class CoTraining:
         return scale, prior
 
 
-class _Scaled(View):
-    """A view whose log-odds are in units of its confidence threshold."""
-
-    def __init__(self, view: View, unit: float):
-        self.table, self.prior, self.unit = view.table / unit, view.prior / unit, unit
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CoTraining()(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -14,6 +14,7 @@ is fitted on the driver and joined back as a table of that bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ from .common import Stages, ngrams, read, word_hashes
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "longest", "n_bangs")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_varied", "longest", "n_bangs")
+#: Words of a stretch in which different words are counted, so that the share of
+#: different words means the same for a text of any length.
+STRETCH = 100
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -43,18 +47,28 @@ def text_stats(text: str | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    # letters and cases by byte class: every byte of a multi-byte letter's code
-    # counts once, by its leading byte, so that no per-character loop is needed
-    b = np.frombuffer(text.encode(), np.uint8)
-    kind = _KIND[b]
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _kinds()[points]
     h = word_hashes(ws)
-    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines, int((kind >= 1).sum()), int((kind == 2).sum()), int(((b >= 48) & (b <= 57)).sum()), len(set(ws)), max(map(len, ws), default=0), text.count("!"))
+    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines, int((kind & 1).sum()), int((kind >> 1 & 1).sum()), int((kind >> 2).sum()), varied_words(h), max(map(len, ws), default=0), text.count("!"))
 
 
-_KIND = np.zeros(256, np.uint8)  # 1 letter, 2 upper-case ASCII letter
-_KIND[97:123] = 1
-_KIND[65:91] = 2
-_KIND[0xC3:0xF5] = 1
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 for a letter, and 2 for one of upper case; 4 for an ASCII digit."""
+    kinds = np.fromiter((chr(c).isalpha() + 2 * chr(c).isupper() for c in range(0x110000)), np.uint8, 0x110000)
+    kinds[48:58] = 4
+    return kinds
+
+
+def varied_words(h: np.ndarray, stretch: int = STRETCH) -> int:
+    """Different words of each stretch of the sequence, summed over stretches."""
+    whole = len(h) // stretch * stretch
+    total = len(np.unique(h[whole:]))
+    if whole:
+        rows = np.sort(h[:whole].reshape(-1, stretch), axis=1)
+        total += len(rows) + int((rows[:, 1:] != rows[:, :-1]).sum())
+    return total
 
 
 def repeated_words(h: np.ndarray, window: int = 8) -> int:
@@ -100,24 +114,23 @@ def rules() -> dict[str, Column]:
     """The votes, on the columns ``STATS``.  A rule whose ratio has nothing to
     divide by abstains."""
     mean = _ratio("word_chars", "n_words")
-    sym, sym_chars = _ratio("n_symbols", "n_words"), _ratio("n_symbols", "word_chars")
+    sym = _ratio("n_symbols", "n_words")
     lines = _ratio("n_dup_lines", "n_lines")
     rep = _ratio("n_repeat_words", "n_words")
     letters = (F.col("n_letters") + F.col("n_digits")) / F.when(F.col("word_chars") > 0, F.col("word_chars"))
     upper = _ratio("n_upper", "n_letters")
     bangs = _ratio("n_bangs", "n_words")
-    variety = _ratio("n_distinct", "n_words")
+    variety = _ratio("n_varied", "n_words")
     return {
         "words": _vote(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 40),
         "word_length": _vote(mean, (mean < 2) | (mean > 14), (mean >= 3) & (mean <= 9)),
         "symbols": _vote(sym, sym > 0.15, sym < 0.03),
-        "symbol_chars": _vote(sym_chars, sym_chars > 0.04, sym_chars < 0.01),
         "letters": _vote(letters, letters < 0.87, letters >= 0.92),
         "upper": _vote(upper, upper > 0.4, upper < 0.15),
         "bangs": _vote(bangs, bangs > 0.25, bangs < 0.05),
         "lines": _vote(lines, lines > 0.3, lines < 0.1),
         "repeats": _vote(rep, rep > 0.3, rep < 0.1),
-        "variety": _vote(variety, (variety < 0.25) & (F.col("n_words") < 2000), variety >= 0.4),
+        "variety": _vote(variety, variety < 0.25, variety >= 0.4),
         "longest": _vote(F.col("longest"), F.col("longest") > 400, (F.col("longest") <= 80) & (F.col("longest") > 0)),
     }
 
@@ -163,7 +176,8 @@ class QualityRules:
 
     Defined results: a null or empty text has 0 in every statistic and its
     ratios abstain; ties of votes are settled by the prior; repeated rows get
-    equal results; an empty table gives an empty result.
+    equal results; very long texts are read whole, by the same rules; an empty
+    table gives an empty result.
     """
 
     def __init__(self, key: str = "doc_id", text: str = "text", *, least: float = 0.5):
