@@ -7,16 +7,19 @@ Decoding finds the most likely choice for the whole tree in which no chosen node
 has an ancestor that was not chosen, so an article block in a rejected sidebar
 cannot come back, nor can a rejected block keep its children.
 
-The trees are trained on generated pages (``html_training``), once per driver;
-the model is some tens of kilobytes and travels with the task.
+The trees are trained on generated pages (``html_training``) by ``python -m
+typeloom.llm.html_extract``, which writes ``html_model.json``: numbers of some
+tens of kilobytes, which travel with the task.  Other sizes of training sets are
+trained where they are asked for.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,9 @@ from .common import batches, read
 from .html_dom import Node, parse
 from .html_training import MARK, pages
 
+MODEL = Path(__file__).with_name("html_model.json")
+#: Generated pages, and the seed, of the model in the file.
+TRAINING, SEED = 1500, 17
 _PUNCTUATION = str.maketrans("", "", ".,;:!?")
 
 
@@ -128,7 +134,26 @@ class Extractor:
 
     @staticmethod
     @lru_cache(maxsize=2)
-    def trained(n: int = 1500, seed: int = 17) -> "Extractor":
+    def of(n: int = TRAINING, seed: int = SEED) -> "Extractor":
+        """The model in the file, or one trained now if another is asked for."""
+        if (n, seed) != (TRAINING, SEED):
+            return Extractor.trained(n, seed)
+        m = json.loads(MODEL.read_text())
+        scores = Scores()
+        scores.odds = m["odds"]
+        trees = BoostedTrees(len(m["feature"]), m["depth"])
+        trees.base, trees.feature, trees.leaf = m["base"], np.array(m["feature"], np.int64), np.array(m["leaf"])
+        trees.cut = np.array([[math.inf if c is None else c for c in row] for row in m["cut"]])
+        return Extractor(scores, trees)
+
+    def save(self) -> None:
+        t = self.trees
+        cut = [[None if math.isinf(c) else c for c in row] for row in t.cut.tolist()]
+        m = {"odds": self.scores.odds, "depth": t.depth, "base": t.base, "feature": t.feature.tolist(), "cut": cut, "leaf": t.leaf.tolist()}
+        MODEL.write_text(json.dumps(m, sort_keys=True) + "\n")
+
+    @staticmethod
+    def trained(n: int = TRAINING, seed: int = SEED) -> "Extractor":
         """From ``n`` generated pages; half give the token scores, all the trees."""
         made = [nodes(parse(p)) for p in pages(n, seed)]
         ys = [labels(order) for order in made]
@@ -197,11 +222,13 @@ class HtmlExtract:
     """Main text of every row's page.
 
     Defined results: a null or empty page, and one without an article, have an
-    empty text; malformed markup never fails; repeated rows get equal texts; an
-    empty table gives an empty result.  Only the three named columns are read.
+    empty text; malformed markup never fails; a very long page is read whole, in
+    time linear in it; a node whose log-odds are 0 is not chosen; repeated rows
+    get equal texts; an empty table gives an empty result.  Only the three named
+    columns are read.
     """
 
-    def __init__(self, key: str = "page_id", url: str = "url", html: str = "html", *, training_pages: int = 1500, seed: int = 17):
+    def __init__(self, key: str = "page_id", url: str = "url", html: str = "html", *, training_pages: int = TRAINING, seed: int = SEED):
         self.key, self.url, self.html, self.training_pages, self.seed = key, url, html, training_pages, seed
 
     def __call__(self, df: DataFrame) -> DataFrame:
@@ -211,9 +238,13 @@ class HtmlExtract:
         schema = pa.schema([("k", to_arrow_type(kinds[0])), ("u", to_arrow_type(kinds[1])), ("text", pa.string()), ("n_chars", pa.int64())])
         ddl = f"k {kinds[0].simpleString()}, u {kinds[1].simpleString()}, text string, n_chars long"
         source = df.select(F.col(self.key).alias("k"), F.col(self.url).alias("u"), F.col(self.html).alias("h"))
-        out = source.mapInArrow(_run(Extractor.trained(self.training_pages, self.seed), schema), ddl)
+        out = source.mapInArrow(_run(Extractor.of(self.training_pages, self.seed), schema), ddl)
         return out.toDF(self.key, self.url, "text", "n_chars")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HtmlExtract()(read(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    Extractor.trained().save()

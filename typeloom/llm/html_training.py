@@ -19,6 +19,7 @@ _OFF = {
     "notice": ["div class='cookie-banner'", "div id='cookie-notice'", "div class='notice'", "div class='alert'", "div class='consent'", "div class='gdpr'", "div class='warning'", "div class='popup'", "div class='modal'", "dialog", "div role='alert'", "div class='subscribe'", "div class='newsletter'", "div class='paywall'", "div class='disclaimer'"],
     "form": ["form", "form class='search'", "div class='search-form'", "div class='login'", "form id='signup'", "fieldset"],
     "comments": ["div class='comments'", "section id='comments'", "div class='comment-list'", "ol class='commentlist'", "div id='disqus_thread'", "section class='comments-area'", "div class='user-comments'", "div class='replies'", "div class='discussion'", "div class='reader-comments'", "section class='responses'"],
+    "list": ["div", "ul", "p", "td", "section", "div class='list'", "div class='box'", "div class='block'"],
     "share": ["div class='share'", "ul class='social'", "div class='social-links'", "div class='sharing'", "div class='tags'", "div class='byline-tools'", "div class='author-bio'"],
 }
 
@@ -67,7 +68,10 @@ class _Writer:
     def off(self, kind: str) -> str:
         r = self.rng
         opening = r.choice(_OFF[kind])
-        if kind in ("nav", "share"):
+        if kind == "list":  # links without a word on what they are
+            links = [f"<a href='/{r.choice(self.words)}'>{self.text(1, 6, 0)}</a>" for _ in range(r.randint(2, 9))]
+            inner = "".join(f"<li>{x}</li>" for x in links) if _tag(opening) == "ul" else r.choice([" ", " | ", "<br>", ""]).join(links)
+        elif kind in ("nav", "share"):
             links = [f"<a href='/{r.choice(self.words)}'>{self.text(1, 3, 0)}</a>" for _ in range(r.randint(2, 9))]
             inner = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if r.random() < 0.7 and _tag(opening) != "ul" else ("".join(f"<li>{x}</li>" for x in links) if _tag(opening) == "ul" else " | ".join(links))
         elif kind == "comments":
@@ -98,9 +102,9 @@ class _Writer:
         bare = r.random() < 0.03
         main = "".join(blocks) if bare else self.wrap(r.choice(_MAIN) if r.random() < 0.85 else "div", "".join(blocks))
         for _ in range(r.choice([0, 0, 1, 2])):
-            main = self.wrap(r.choice(_WRAP), main + "".join(self.off(k) for k in ("aside", "ad", "comments", "share") if r.random() < 0.15))
-        before = [self.off(k) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.45]
-        after = [self.off(k) for k in ("comments", "aside", "share", "ad", "nav", "form", "notice", "footer") if r.random() < 0.35]
+            main = self.wrap(r.choice(_WRAP), main + "".join(self.off(k) for k in ("aside", "ad", "comments", "share", "list") if r.random() < 0.15))
+        before = [self.off(k) for k in ("header", "nav", "notice", "ad", "form", "list") if r.random() < 0.45]
+        after = [self.off(k) for k in ("comments", "aside", "share", "ad", "nav", "form", "list", "notice", "footer") if r.random() < 0.35]
         if r.random() < 0.3:
             r.shuffle(before)
         return f"<html><head><title>{self.text(1, 9, 0)}</title></head><body>" + "".join(before) + main + "".join(after) + r.choice(["</body></html>", ""])
