@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import public_tokenizers as P
@@ -21,7 +24,7 @@ from typeloom.llm.html_training import pages
 
 
 def test_generated_pages_held_out():
-    e = Extractor.trained()
+    e = Extractor.of()
     hit = miss = 0
     for p in pages(120, 4242):
         order = nodes(parse(p))
@@ -49,12 +52,44 @@ def test_a_page_with_everything(spark):
     assert HtmlExtract()(df.limit(0)).count() == 0
 
 
-def test_pages_table(spark, sf):
+def plain_article(page):
+    """The text of a page's article, read without any model."""
+    inner = page.split("<article>")[1].split("</article>")[0]
+    inner = re.sub(r"<(div|aside|form|section)\b[^>]*>.*?</\1>", "", inner, flags=re.S) if "<div" in inner else inner
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|blockquote)\b[^>]*>", inner)
+    return "\n".join(t for t in (" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks) if t)
+
+
+def test_pages_table_has_the_articles_text(spark, sf):
     got = op1(spark, sf).collect()
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert len(got) == len(html)
     for r in got:
-        article = html[r.page_id].split("<article>")[1].split("</article>")[0]
-        assert len(r.text.split("\n")) == sum(bool(x.strip()) for x in article.replace("</p>", "<p>").replace("</h1>", "<p>").replace("<h1>", "<p>").replace("<b>", "").replace("<br>", "").split("<p>"))
+        assert r.text == plain_article(html[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_the_model_in_the_file_is_what_training_gives():
+    a, b = Extractor.of(), Extractor.trained()
+    x = features(nodes(parse(pages(1, 5)[0])), a.scores)
+    assert a.scores.odds.keys() == b.scores.odds.keys() and np.allclose(a.trees.predict(x), b.trees.predict(x))
+
+
+def test_links_without_a_word_on_them_are_no_article():
+    html = "<body><div class=article><h1>A head line</h1>" + "<p>Some words that say something, and then some more of it. It goes on.</p>" * 6 + "</div><div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div></body>"
+    assert "One" not in Extractor.of().texts([html])[0]
+
+
+LONG = 200_000
+HOSTILE = {"quotes": "<a b='\" ", "quotes and an end": "<p c=\"x'>t</p>", "open drawings": "<svg>", "options": "<option>x", "comments": "<!--", "marked sections": "<![CDATA[", "declarations": "<!", "signs": "<", "ends": "</section>", "paragraphs": "<p>x", "items": "<li><dd><td>", "a reference": "&#1"}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    piece = HOSTILE[name]
+    page = "<div>" * 20_000 + piece * (LONG // len(piece)) + ("1" * LONG + ";" if name == "a reference" else "")
+    start = time.perf_counter()
+    nodes(parse(page))
+    assert time.perf_counter() - start < 3
 
 
 @settings(max_examples=60, deadline=None)
@@ -101,7 +136,58 @@ def test_media_query_and_split_reading(spark, sf, tmp_path):
     assert all(r.error is None and r.payload_bytes % 576 == 0 for r in got)
     assert op.write(df.limit(0), f"file://{tmp_path}/b") == 0
     assert op.features(op.read(spark, f"file://{tmp_path}/b")).count() == 0
-    assert media.op5(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_media_query_over_the_whole_table(spark, sf):
+    """Every column, the stored form read by another library's PNG rules."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = media.op5(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        rows = b"".join(b"\0" + p[i : i + 576] for i in range(0, len(p), 576))
+        chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (576).to_bytes(4, "big") + (len(p) // 576).to_bytes(4, "big") + b"\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+        counts = np.bincount(np.frombuffer(p, np.uint8), minlength=256)
+        feature = "".join(f"{int(counts[16 * i : 16 * i + 16].sum()) * 999 // len(p):03x}" for i in range(16)) + f"-{int((counts * np.arange(256)).sum()) * 100 // len(p):05d}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.feature, r.error) == (len(image), hashlib.sha256(image).hexdigest(), feature, None)
+
+
+def test_torn_archives_and_foreign_files_are_rows_with_errors(spark, tmp_path):
+    import zipfile
+
+    op = media.MediaArchives()
+    op.write(spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1), str(tmp_path))
+    whole = next(tmp_path.glob("*.zip"))
+    (tmp_path / "_committed").write_text(f"{whole.name}\ntorn.zip\nforeign.zip")
+    (tmp_path / "torn.zip").write_bytes(whole.read_bytes()[:-200])
+    with zipfile.ZipFile(tmp_path / "foreign.zip", "w") as z:
+        z.writestr("a.txt", "no image")
+    (tmp_path / "attempt.zip").write_bytes(whole.read_bytes())  # not committed: not there
+    got = op.features(op.read(spark, str(tmp_path))).collect()
+    assert len(got) == 22 and sum(r.error is None for r in got) == 20 and sum(r.doc_id is None for r in got) == 2
+
+
+def test_parts_of_a_directory_hold_each_entry_once(tmp_path):
+    import io
+
+    out = io.BytesIO()
+    w = media.ArchiveWriter(out)
+    for i in range(50):
+        w.add(f"{i:08d}-PK\x01\x02-{i}".encode(), bytes([i]) * i)
+    w.close()
+    raw = out.getvalue()
+    n, length, start = media.ending(io.BytesIO(raw), len(raw))
+    whole = raw[start : start + length]
+    every = media.entries(whole, True, length, True)
+    assert n == 50 == len(every)
+    for step in (1, 13, 60, 61, 1000):
+        found = []
+        for at in range(0, length, step):
+            found += media.entries(whole[at : at + step + 5 * media.ENTRY], at == 0, min(step, length - at), True)
+        assert found == every
 
 
 def test_a_damaged_member_does_not_stop_the_others(spark, tmp_path):
@@ -113,7 +199,7 @@ def test_a_damaged_member_does_not_stop_the_others(spark, tmp_path):
     raw[at + 6] ^= 0xFF
     f.write_bytes(raw)
     op.split = 1 << 20
-    got = op.features(spark.read.format("corpus_media").option("path", str(tmp_path)).option("wait", "0").load() if False else op.read(spark, str(tmp_path))).collect()
+    got = op.features(op.read(spark, str(tmp_path))).collect()
     assert len(got) == 20 and sum(r.error is not None for r in got) == 1
 
 

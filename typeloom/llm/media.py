@@ -1,13 +1,15 @@
 """Media columns: payloads kept in archives and read through a data source.
 
 ``MediaArchives.write`` stores payloads as 8-bit grey PNG images (lossless) in
-ZIP archives of the shared folder, one archive per task.  The data source
-``corpus_media`` reads a folder of archives back: planning looks only at names
-and sizes and gives each partition a byte range of one archive; a task reads the
-archive's directory, takes the members whose headers start in its range, and
-streams payloads in Arrow batches of bounded size.  A member is fetched by its
-offset, alone, and fetched again where reading or its checksum fails; one that
-cannot be read becomes a row with an error, and the job goes on.
+ZIP archives of the shared folder, one archive per task; a list of the archives
+of tasks that succeeded makes them visible.  The data source ``corpus_media``
+reads a folder of archives back: planning reads each archive's end record, of 98
+bytes, and cuts its directory into byte ranges, so that a directory's bytes are
+read about once however many tasks share an archive.  A task finds the entries
+that start in its range and streams their payloads in Arrow batches of bounded
+size.  A member is fetched by its offset, alone, and fetched again where reading
+or its checksum fails.  What cannot be read, be it a member, a directory or an
+image, becomes a row with an error, and the job goes on.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -116,28 +119,63 @@ class ArchiveWriter:
         self._put(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), 0), 0)
 
 
-def directory(f, size: int) -> list[tuple[bytes, int, int, int]]:
-    """(name, crc, size, offset of the header) of an archive's members."""
+#: More than a directory entry can have: its name, extra field and comment.
+ENTRY = 46 + 3 * 65535
+_ENTRY_MARK = struct.pack("<I", 0x02014B50)
+
+
+def ending(f, size: int) -> tuple[int, int, int]:
+    """(members, bytes, offset) of an archive's directory, by its end record."""
     f.seek(max(0, size - 98))
     tail = f.read(98)
     at = tail.rfind(struct.pack("<I", 0x06064B50))
-    if at >= 0:
+    if 0 <= at <= len(tail) - 56:
         n, length, start = struct.unpack("<QQQ", tail[at + 32 : at + 56])
     else:
         at = tail.rfind(struct.pack("<I", 0x06054B50))
-        if at < 0:
+        if not 0 <= at <= len(tail) - 20:
             raise ValueError("no archive directory")
         n, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
-    f.seek(start)
-    raw, out, at = f.read(length), [], 0
-    for _ in range(n):
-        crc, size_, _, names, extras, comment = struct.unpack("<IIIHHH", raw[at + 16 : at + 34])
+    if start + length > size:
+        raise ValueError("a torn archive directory")
+    return n, length, start
+
+
+def _entry_length(raw: bytes, at: int) -> int:
+    """Bytes of the entry at a place; 0 if there is none."""
+    if at + 46 > len(raw) or raw[at : at + 4] != _ENTRY_MARK:
+        return 0
+    return 46 + sum(struct.unpack("<HHH", raw[at + 28 : at + 34]))
+
+
+def entries(raw: bytes, first: bool, span: int, last: bool) -> list[tuple[bytes, int, int, int]]:
+    """(name, crc, size, offset of the header) of the entries that start in the
+    first ``span`` bytes of a part of a directory.  Unless the part begins with
+    an entry (``first``), its first entry is where others follow each other."""
+    at = 0
+    if not first:
+        while True:
+            at = raw.find(_ENTRY_MARK, at)
+            if at < 0 or at >= span:
+                return []
+            here, chain = at, 0
+            while chain < 4 and (n := _entry_length(raw, here)):
+                here, chain = here + n, chain + 1
+            if chain == 4 or (chain and here == len(raw) and last) or (chain and here + 46 > len(raw) and not last):
+                break
+            at += 1
+    out = []
+    while at < span:
+        n = _entry_length(raw, at)
+        if not n or at + n > len(raw):
+            raise ValueError("a damaged archive directory")
+        crc, size, _, names = struct.unpack("<IIIH", raw[at + 16 : at + 30])
         where = struct.unpack("<I", raw[at + 42 : at + 46])[0]
         name = raw[at + 46 : at + 46 + names]
         if where == 0xFFFFFFFF:
             where = struct.unpack("<Q", raw[at + 50 + names : at + 58 + names])[0]
-        out.append((name, crc, size_, where))
-        at += 46 + names + extras + comment
+        out.append((name, crc, size, where))
+        at += n
     return out
 
 
@@ -151,12 +189,19 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, size: int, start: int, end: int):
-        self.path, self.size, self.start, self.end = path, size, start, end
+    """Bytes [start, end) of an archive's directory, which is [low, high)."""
+
+    def __init__(self, path: str, start: int = 0, end: int = 0, low: int = 0, high: int = 0, error: str | None = None):
+        self.path, self.start, self.end, self.low, self.high, self.error = path, start, end, low, high, error
+
+
+#: Names of a folder's archives, one a line; without it, all archives there count.
+COMMITTED = "_committed"
 
 
 class MediaReader(DataSourceReader):
-    """Options: ``path``; ``split`` bytes of a partition; ``tries`` for a member."""
+    """Options: ``path``; ``split`` payload bytes of a partition; ``tries`` for a
+    read and ``wait`` seconds after the first."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -164,29 +209,63 @@ class MediaReader(DataSourceReader):
         self.tries = int(options.get("tries", 3))
         self.wait = float(options.get("wait", 0.2))
 
+    def _again(self, what):
+        """The result of a call, tried again; the last error if none succeeds."""
+        for k in range(self.tries):
+            try:
+                return what(), None
+            except (OSError, ValueError, struct.error) as e:
+                error, self.open = f"{type(e).__name__}: {e}", None
+                if k + 1 < self.tries:
+                    time.sleep(self.wait * 2**k)
+        return None, error
+
     def partitions(self) -> list[ByteRange]:
         fs, path = _filesystem(self.path)
+        names = None
+        if fs.get_file_info(f"{path}/{COMMITTED}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{path}/{COMMITTED}") as f:
+                names = set(f.read().decode().split("\n"))
         files = fs.get_file_info(pafs.FileSelector(path, recursive=False, allow_not_found=True))
-        return [ByteRange(f.path, f.size, at, min(at + self.split, f.size)) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".zip") for at in range(0, f.size, self.split)]
+        files = sorted((f.path, f.size) for f in files if (f.path.endswith(".zip") if names is None else os.path.basename(f.path) in names))
+
+        def planned(file: tuple[str, int]) -> list[ByteRange]:
+            def read():
+                with fs.open_input_file(file[0]) as f:
+                    return ending(f, file[1])
+
+            found, error = self._again(read)
+            if error:
+                return [ByteRange(file[0], error=error)]
+            _, length, start = found
+            step = max(1, length * self.split // max(1, start))
+            return [ByteRange(file[0], at, min(at + step, start + length), start, start + length) for at in range(start, start + length, step)]
+
+        with ThreadPoolExecutor(16) as pool:
+            return [p for ps in pool.map(planned, files) for p in ps]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
         fs, _ = _filesystem(self.path)
-        members = None
-        for k in range(self.tries):
-            try:
-                with fs.open_input_file(part.path) as f:
-                    members = [m for m in directory(f, part.size) if part.start <= m[3] < part.end]
-                break
-            except OSError:
-                if k + 1 == self.tries:
-                    raise
-                time.sleep(self.wait * 2**k)
+        members, error = None, part.error
+
+        def listed():
+            with fs.open_input_file(part.path) as f:
+                f.seek(part.start)
+                stop = min(part.high, part.end + 5 * ENTRY)
+                raw = f.read(stop - part.start)
+                return entries(raw, part.start == part.low, part.end - part.start, stop == part.high)
+
+        if error is None:
+            members, error = self._again(listed)
+        if error is not None:
+            yield self._batch([(os.path.basename(part.path), None, part.start, None, error)])
+            return
         rows, weight = [], 0
         for name, crc, size, at in members:
             data, error = self._member(fs, part.path, name, crc, size, at)
-            rows.append((os.path.basename(part.path), name.decode(), at, data, error))
+            rows.append((os.path.basename(part.path), name.decode(errors="replace"), at, data, error))
             weight += len(data or b"")
             if len(rows) >= BATCH_ROWS or weight >= BATCH_BYTES:
                 yield self._batch(rows)
@@ -196,30 +275,26 @@ class MediaReader(DataSourceReader):
 
     def _member(self, fs, path: str, name: bytes, crc: int, size: int, at: int) -> tuple[bytes | None, str | None]:
         """One member by its offset, whatever became of the others."""
-        error = None
-        for k in range(self.tries):
-            try:
-                if self.open is None:
-                    self.open = (path, fs.open_input_file(path))
-                f = self.open[1]
-                f.seek(at)
-                raw = f.read(30 + len(name) + size)
-                if len(raw) < 30 or raw[:4] != b"PK\x03\x04":
-                    raise ValueError("no member at this offset")
-                names, extras = struct.unpack("<HH", raw[26:30])
-                data = raw[30 + names + extras :]
-                if len(data) < size:
-                    f.seek(at + 30 + names + extras)
-                    data = f.read(size)
-                data = data[:size]
-                if len(data) != size or zlib.crc32(data) != crc:
-                    raise ValueError("a damaged member")
-                return data, None
-            except (OSError, ValueError) as e:
-                error, self.open = f"{type(e).__name__}: {e}", None
-                if k + 1 < self.tries:
-                    time.sleep(self.wait * 2**k)
-        return None, error
+
+        def fetched() -> bytes:
+            if self.open is None:
+                self.open = (path, fs.open_input_file(path))
+            f = self.open[1]
+            f.seek(at)
+            raw = f.read(30 + len(name) + size)
+            if len(raw) < 30 or raw[:4] != b"PK\x03\x04":
+                raise ValueError("no member at this offset")
+            names, extras = struct.unpack("<HH", raw[26:30])
+            data = raw[30 + names + extras :]
+            if len(data) < size:
+                f.seek(at + 30 + names + extras)
+                data = f.read(size)
+            data = data[:size]
+            if len(data) != size or zlib.crc32(data) != crc:
+                raise ValueError("a damaged member")
+            return data
+
+        return self._again(fetched)
 
     #: The archive that this task has open.
     open: tuple | None = None
@@ -246,21 +321,18 @@ def _write(folder: str):
         fs, path = _filesystem(folder)
         fs.create_dir(path)
         context = TaskContext.get()
-        final = f"{path}/part-{context.partitionId():06d}.zip"
-        # an attempt that dies leaves only a file that no reader looks at
-        attempt = f"{final}.{context.taskAttemptId()}-{uuid.uuid4().hex}"
+        # every attempt has its own name; only those of tasks that succeed are committed
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}.zip"
         n = 0
-        with fs.open_output_stream(attempt, buffer_size=1 << 20) as out:
+        with fs.open_output_stream(f"{path}/{name}", buffer_size=1 << 20) as out:
             w = ArchiveWriter(out)
             for part in parts:
                 for key, text in zip(part.column(0).to_pylist(), part.column(1)):
                     t = text.as_py()
-                    name = f"{n:08d}-{'' if key is None else key}-{len((t or '').encode())}".encode()
-                    w.add(name, to_png(payload_of(t)))
+                    w.add(f"{n:08d}-{'' if key is None else key}-{len((t or '').encode())}".encode(), to_png(payload_of(t)))
                     n += 1
             w.close()
-        fs.move(attempt, final)  # replaces an equal file of an earlier attempt
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
 
     return run
 
@@ -271,13 +343,17 @@ def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         rows = []
         for name, media, error in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-            _, key, n = name.split("-", 1)[0], *name.split("-", 1)[1].rsplit("-", 1)
-            doc = int(key) if key else None
-            if error:
-                rows.append((doc, int(n), None, None, None, None, None, None, error))
+            doc = n = None
+            try:
+                if error:
+                    raise ValueError(error)
+                image = media.as_buffer().to_pybytes()
+                payload = from_png(image)
+                _, key, n = name.split("-", 1)[0], *name.split("-", 1)[1].rsplit("-", 1)
+                doc = int(key) if key else None
+            except (ValueError, TypeError, IndexError, struct.error, zlib.error) as e:
+                rows.append((doc, n and int(n), None, None, None, None, None, None, error or f"{type(e).__name__}: {e}"))
                 continue
-            image = media.as_buffer().to_pybytes()
-            payload = from_png(image)
             rows.append((doc, int(n), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(image), sha(image), feature_of(payload), None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -287,8 +363,9 @@ class MediaArchives:
     """Stores a table's payloads and reads them with their features.
 
     Defined results: a null or empty text is one unit of bytes 255; equal texts
-    have equal media; repeated rows are members each; an empty table gives no
-    rows.  Keys are integers or null.  Only key and text are read.
+    have equal media; repeated rows are members each; a very long text is one
+    member, of its length; an empty table gives no rows.  Keys are integers or
+    null.  Only key and text are read.
     """
 
     def __init__(self, key: str = "doc_id", text: str = "text", *, split: int = 8 << 20):
@@ -297,7 +374,12 @@ class MediaArchives:
     def write(self, df: DataFrame, folder: str) -> int:
         """Writes the archives; the number of members."""
         source = df.select(F.col(self.key).cast("long").alias("k"), F.col(self.text).alias("t"))
-        return source.mapInArrow(_write(folder), "n long").agg(F.sum("n")).first()[0] or 0
+        done = source.mapInArrow(_write(folder), "name string, n long").collect()  # a row a task
+        fs, path = _filesystem(folder)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/{COMMITTED}") as out:
+            out.write("\n".join(r.name for r in done).encode())
+        return sum(r.n for r in done)
 
     def read(self, spark: SparkSession, folder: str) -> DataFrame:
         """``(archive, name, at, media, error)`` of all members."""
