@@ -39,10 +39,11 @@ CASES = {
     "unknown-type": (order(line(attrs='xsi:type="none"')), []),
     "int": (order(line(part="x")), [("cvc-type", "3.1.3")]),
     "facet": (order(line(price="-1")), [("cvc-type", "3.1.3")]),
-    "attr": (order(line(n="0")), [("cvc-attribute", "3")]),
+    # the key's field has no value then, so the key is incomplete as well
+    "attr": (order(line(n="0")), [("cvc-attribute", "3"), ("cvc-identity-constraint", "4.2.1")]),
     "fixed": (order(line(attrs='unit="USD"')), [("cvc-au", "")]),
     "unmatched": (order(line(attrs='zz="1"')), [("cvc-complex-type", "2")]),
-    "missing": (order("<line><part>1</part><price>2</price></line>"), [("cvc-complex-type", "3")]),
+    "missing": (order("<line><part>1</part><price>2</price></line>"), [("cvc-complex-type", "3"), ("cvc-identity-constraint", "4.2.1")]),
     "reject": (order(line() + "<zz><part>x</part></zz>"), [("cvc-complex-content", "reject")]),
     "short": (order(""), [("cvc-complex-content", "short")]),
     "text": (order("hello" + line()), [("cvc-complex-type", "1.3")]),

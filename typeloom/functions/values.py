@@ -3,8 +3,10 @@
 Every primitive has ``ok`` (is the normalised literal in the lexical space),
 ``canonical``, and keys: ``eq`` (equal values have equal keys), ``order`` where
 the space is ordered.  Numbers of any size compare as order-preserving strings;
-times compare as exact seconds (decimal), with an absent timezone standing for
-every offset up to 14 hours, so a comparison may be neither way.
+times compare as whole seconds and then by the digits of the fraction, however
+many, with an absent timezone standing for every offset up to 14 hours, so a
+comparison may be neither way.  Short literals are worked out in 64 bits, long
+ones in decimals; what fits in neither has no verdict, never a wrong one.
 """
 
 from __future__ import annotations
@@ -12,14 +14,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import translate
 
-DIGITS = "decimal(38,12)"
+#: Whole seconds and months beyond 64 bits; components of up to 28 digits fit.
+WIDE, COMPONENT = "decimal(38,0)", "decimal(28,0)"
+#: Literals of durations up to this length have components that fit in 64 bits.
+SHORT = 15
+#: Years of so many digits have seconds that fit in 64 bits; a year of more than
+#: ``LONGEST_YEAR`` digits leaves comparisons open.
+SHORT_YEAR, LONGEST_YEAR = 11, 13
 _NUMBER = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)"
 _YEAR = r"-?([1-9][0-9]{3,}|0[0-9]{3})"
 _MONTH, _DAY = "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
@@ -237,24 +245,27 @@ class Moment:
     day: Column
     hour: Column
     minute: Column
-    second: Column
+    second: Column  # whole
+    fraction: Column  # its digits, no zeros at the end
     zone: Column  # minutes, null where absent
     literal: Column
     kind: str
 
-    @property
-    def seconds(self) -> Column:
-        """Exact seconds on the timeline, as local time where no zone is given."""
+    def seconds(self, wide: bool = False) -> Column:
+        """Whole seconds on the timeline, as local time where no zone is given;
+        24:00:00 of a time is 00:00:00."""
         days = days_from_civil(self.year, self.month, self.day)
-        clock = self.hour * 3600 + self.minute * 60 - F.coalesce(self.zone, F.lit(0)) * 60
-        return (days * 86400 + clock).cast("decimal(26,0)").cast(DIGITS) + self.second.cast(DIGITS)
+        clock = self.hour * 3600 + self.minute * 60 + self.second - F.coalesce(self.zone, F.lit(0)) * 60
+        if self.kind == "time":
+            clock = clock - F.when(self.hour == 24, F.lit(86400)).otherwise(F.lit(0))
+        return days.cast(COMPONENT) * F.lit(86400) + clock if wide else days * 86400 + clock
 
-
-    @property
-    def instant(self) -> Column:
-        """``seconds``, with 24:00:00 of a time the same as 00:00:00."""
-        late = F.when(self.hour == 24, F.lit(86400)).otherwise(F.lit(0)).cast(DIGITS)
-        return (self.seconds - late).cast(DIGITS) if self.kind == "time" else self.seconds
+    def both_ways(self, body: Callable[[Column], Column]) -> Column:
+        """An expression over the seconds: in 64 bits where the year allows it."""
+        if self.kind not in ("dateTime", "date", "gYearMonth", "gYear"):
+            return body(self.seconds())
+        limit = 10**SHORT_YEAR
+        return F.when((self.year < limit) & (self.year > -limit), body(self.seconds())).otherwise(body(self.seconds(True)))
 
 
 def moment(c: Column, kind: str) -> Moment:
@@ -264,7 +275,7 @@ def moment(c: Column, kind: str) -> Moment:
     year, month, day = F.lit(1972).cast("long"), F.lit(12).cast("long"), F.lit(31).cast("long")
     if kind in ("dateTime", "date", "gYearMonth", "gYear"):
         text = group(r"^(-?[0-9]+)", 1)
-        year = F.when(F.length(text) <= 11, text.try_cast("long"))  # beyond, a comparison stays open
+        year = F.when(F.length(text) <= LONGEST_YEAR, text.try_cast("long"))  # beyond, a comparison stays open
     if kind in ("dateTime", "date", "gYearMonth"):
         month = number(group(r"^-?[0-9]+-([0-9]{2})", 1), 12)
     if kind in ("dateTime", "date"):
@@ -278,24 +289,25 @@ def moment(c: Column, kind: str) -> Moment:
     if kind in ("gYearMonth", "gMonth"):
         day = month_days(year, month).cast("long")
     hour = minute = F.lit(0).cast("long")
-    second = F.lit(0).cast(DIGITS)
+    second, fraction = F.lit(0).cast("long"), F.lit("")
     if kind in ("dateTime", "time"):
         hour = number(group(r"([0-9]{2}):[0-9]{2}:[0-9]{2}", 1), 0)
         minute = number(group(r"[0-9]{2}:([0-9]{2}):[0-9]{2}", 1), 0)
-        second = F.coalesce(group(r"[0-9]{2}:[0-9]{2}:([0-9]{2}(\.[0-9]{1,12})?)", 1).try_cast(DIGITS), second)
+        second = number(group(r"[0-9]{2}:[0-9]{2}:([0-9]{2})", 1), 0)
+        fraction = F.rtrim(group(r":[0-9]{2}\.([0-9]+)", 1), F.lit("0"))
     zone = group(r"(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
     if kind in ("date", "gYearMonth", "gYear", "gMonthDay", "gDay", "gMonth"):
         zone = group(r"(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     minutes = sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
     offset = F.when(zone == "", F.lit(None).cast("int")).when(zone == "Z", 0).otherwise(minutes)
-    return Moment(year, month, day, hour, minute, second, offset, c, kind)
+    return Moment(year, month, day, hour, minute, second, fraction, offset, c, kind)
 
 
 def bound(c: Column, kind: str, body: Callable[[Moment], Column]) -> Column:
     """An expression over a literal's properties, each taken from it once."""
     m = moment(c, kind)
-    names = ("year", "month", "day", "hour", "minute", "second", "zone")
+    names = ("year", "month", "day", "hour", "minute", "second", "fraction", "zone")
     return let(F.struct(*[getattr(m, n).alias(n) for n in names]), lambda v: body(Moment(*[v[n] for n in names], c, m.kind)))
 
 
@@ -333,19 +345,30 @@ def _moment_text(c: Column, m: Moment, kind: str) -> Column:
     return F.concat(text, zone)
 
 
-def point(c: Column, kind: str) -> Column:
-    """``STRUCT<s, z>``: exact seconds, and is the zone absent?"""
-    return bound(c, kind, lambda m: F.struct(m.instant.alias("s"), m.zone.isNull().alias("z")))
+def in_order(w: Column, f: Column, w2: Column, f2: Column) -> Column:
+    """-1, 0 or 1 of whole numbers and then of their fractions' digits; null
+    where a whole number is."""
+    return F.when(w < w2, -1).when(w > w2, 1).when(w == w2, F.when(f < f2, -1).when(f > f2, 1).otherwise(0))
 
 
-def compare_points(a: Column, b: Column) -> Column:
+def compare_moments(a: Column, b: Column | str, kind: str) -> Column:
     """-1, 0 or 1; null where a missing zone leaves it open."""
 
-    def both(p: Column, q: Column) -> Column:
-        x, y, wide = p["s"], q["s"], F.lit(14 * 3600).cast(DIGITS)
-        return F.when(p["z"] == q["z"], F.when(x < y, -1).when(x > y, 1).when(x == y, 0)).when(x < y - wide, -1).when(x > y + wide, 1)
+    def way(p: Moment, w2: Column, f2: Column, here: Column) -> Column:
+        f, reach = p.fraction, F.lit(14 * 3600)
+        some = lambda w: F.when(here, in_order(w, f, w2, f2)).when(in_order(w + reach, f, w2, f2) < 0, -1).when(in_order(w - reach, f, w2, f2) > 0, 1)
+        return p.both_ways(some)
+
+    if isinstance(b, str):
+        w, f, zoned = moment_of(b, kind)
+        number = F.lit(w) if abs(w) < 1 << 62 else F.lit(Decimal(w)).cast(WIDE)
+        return bound(a, kind, lambda p: way(p, number, F.lit(f), p.zone.isNotNull() if zoned else p.zone.isNull()))
+
+    def second(q: Moment) -> Column:
+        # both in decimals if one has to be
+        return F.struct(q.both_ways(lambda w: w.cast(WIDE)).alias("w"), q.fraction.alias("f"), q.zone.isNull().alias("z"))
 
-    return let(a, lambda p: let(b, lambda q: both(p, q)))
+    return let(bound(b, kind, second), lambda v: bound(a, kind, lambda p: way(p, v["w"], v["f"], p.zone.isNull() == v["z"])))
 
 
 # durations -------------------------------------------------------------------
@@ -353,54 +376,112 @@ def compare_points(a: Column, b: Column) -> Column:
 _STARTS = ((1696, 9), (1697, 2), (1903, 3), (1903, 7))
 
 
-def duration_parts(c: Column) -> tuple[Column, Column]:
-    """(months, seconds), both with the literal's sign."""
-    get = lambda p: F.coalesce(F.regexp_extract(c, p, 1).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    sign = F.when(c.startswith("-"), -1).otherwise(1)
+@dataclass
+class Span:
+    """A duration: whole months and seconds with its sign, and digits of a
+    fraction that is added, so ``-PT0.25S`` is -1 second and .75.  ``seconds`` and
+    ``months`` are null where a component is too long."""
+
+    months: Column
+    seconds: Column
+    fraction: Column
+
+
+def span(c: Column, wide: bool) -> Span:
+    kind = COMPONENT if wide else "long"
+
+    def part(text: Column, letter: str) -> Column:
+        found = F.regexp_extract(text, f"([0-9]+)(?:\\.[0-9]+)?{letter}", 1)
+        return F.when(found == "", F.lit(0).cast(kind)).otherwise(found.try_cast(kind))
+
     date = F.substring_index(c, "T", 1)
     clock = F.when(F.instr(c, "T") > 0, F.substring_index(c, "T", -1)).otherwise("")
-    part = lambda col, p: F.coalesce(F.regexp_extract(col, p, 1).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    months = get(r"([0-9]+)Y") * 12 + part(date, r"([0-9]+)M")
-    second = F.coalesce(F.regexp_extract(clock, r"([0-9]+(\.[0-9]{1,12})?)S", 1).try_cast(DIGITS), F.lit(0).cast(DIGITS))
-    seconds = (part(date, r"([0-9]+)D") * 86400 + part(clock, r"([0-9]+)H") * 3600 + part(clock, r"([0-9]+)M") * 60).cast(DIGITS) + second
-    return (months * sign).cast("long"), (seconds * sign).cast(DIGITS)
+    f = F.rtrim(F.regexp_extract(clock, r"\.([0-9]+)S", 1), F.lit("0"))
+    months = part(date, "Y") * 12 + part(date, "M")
+    seconds = part(date, "D") * 86400 + part(clock, "H") * 3600 + part(clock, "M") * 60 + part(clock, "S")
+    if wide:
+        months, seconds = months.cast(WIDE), seconds.cast(WIDE)
+    minus = c.startswith("-")
+    # one less, and what is missing from the fraction to one
+    rest = F.concat(F.translate(F.substr(f, F.lit(1), F.length(f) - 1), "0123456789", "9876543210"), F.translate(F.substr(f, F.length(f)), "123456789", "987654321"))
+    below = F.when(f != "", F.lit(1)).otherwise(F.lit(0))
+    return Span(F.when(minus, -months).otherwise(months), F.when(minus, -seconds - below).otherwise(seconds), F.when(minus & (f != ""), rest).otherwise(f))
+
+
+def spanned(c: Column, body: Callable[[Span], Column]) -> Column:
+    """An expression over a duration's parts, each taken from it once: in 64 bits
+    where they are sure to fit."""
+
+    def of(wide: bool) -> Column:
+        s = span(c, wide)
+        return let(F.struct(s.months.alias("m"), s.seconds.alias("s"), s.fraction.alias("f")), lambda v: body(Span(v["m"], v["s"], v["f"])))
+
+    return F.when(F.length(c) <= SHORT, of(False)).otherwise(of(True))
+
+
+def _from_start(months: Column, seconds: Column, start: tuple[int, int]) -> Column:
+    """Whole seconds from a start month to the end of a duration; null where the
+    months are too many for the calendar."""
+    near = F.when(F.abs(months) < 10**13, months.cast("long"))
+    index = F.lit(start[0] * 12 + start[1] - 1).cast("long") + near
+    y, m = _div(index, 12), F.pmod(index, F.lit(12)) + 1
+    days = days_from_civil(y, m, F.lit(1).cast("long")) - F.lit(int(_start(start)) // 86400)
+    return days.cast(COMPONENT) * F.lit(86400) + seconds
 
 
-def duration_at(months: Column, seconds: Column, start: tuple[int, int]) -> Column:
-    """Seconds from a start month to the end of the duration."""
-    index = F.lit(start[0] * 12 + start[1] - 1).cast("long") + months
-    y, m = _div(index, 12), F.pmod(index, F.lit(12)) + 1
-    return (days_from_civil(y, m, F.lit(1).cast("long")) * 86400).cast("decimal(26,0)").cast(DIGITS) + seconds
+def _agreed(ways: list[Column]) -> Column:
+    """What all four comparisons say, or null."""
+    return let(F.array(*ways), lambda s: F.when(F.array_min(s) == F.array_max(s), F.when(F.exists(s, lambda x: x.isNull()), F.lit(None).cast("int")).otherwise(F.get(s, 0))))
 
 
-def compare_durations(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+def compare_durations(a: Column, b: Column | str) -> Column:
     """-1, 0 or 1 where all four start months agree, else null."""
 
-    def ends(d: tuple[Column, Column]) -> Column:
-        return let(F.struct(d[0].alias("m"), d[1].alias("s")), lambda v: F.array(*[duration_at(v["m"], v["s"], start) for start in _STARTS]))
+    def way(x: Span, months, w, f) -> Column:
+        """``w`` are the seconds of the other side by start, or alone."""
+        direct = in_order(x.seconds, x.fraction, w(None), f)
+        return F.when(x.months == months, direct).otherwise(_agreed([in_order(_from_start(x.months, x.seconds, s), x.fraction, w(s), f) for s in _STARTS]))
 
-    signs = F.zip_with(ends(a), ends(b), lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0))
-    return let(F.array_distinct(signs), lambda s: F.when(F.size(s) == 1, F.get(s, 0)))
+    if isinstance(b, str):
+        m, exact = duration_of(b)
+        whole = int(exact.to_integral_value(ROUND_FLOOR))
+        f = F.lit(f"{exact - whole:f}".partition(".")[2].rstrip("0"))
+        number = lambda n: F.lit(n) if abs(n) < 1 << 62 else F.lit(Decimal(n)).cast(WIDE)
+        ends = {s: int(_seconds_from(s, m)) + whole for s in _STARTS}
+        low, high = min(ends.values()), max(ends.values())
+
+        def const(x: Span) -> Column:
+            plain = F.when(in_order(x.seconds, x.fraction, number(low), f) < 0, -1).when(in_order(x.seconds, x.fraction, number(high), f) > 0, 1)
+            if low == high:
+                plain = F.when(x.seconds.isNotNull(), F.coalesce(plain, F.lit(0)))
+            return F.when(x.months == 0, plain).otherwise(way(x, F.lit(m), lambda s: number(whole if s is None else ends[s]), f))
+
+        return spanned(a, const)
+    second = spanned(b, lambda y: F.struct(y.months.cast(WIDE).alias("m"), y.seconds.cast(WIDE).alias("s"), y.fraction.alias("f")))
+    return let(second, lambda v: spanned(a, lambda x: way(x, v["m"], lambda s: v["s"] if s is None else _from_start(v["m"], v["s"], s), v["f"])))
 
 
 def duration_canonical(c: Column, kind: str) -> Column:
-    months, seconds = duration_parts(c)
-    return let(F.struct(months.alias("m"), seconds.alias("s")), lambda v: _duration_text(v["m"], v["s"], kind))
-
-
-def _duration_text(months: Column, seconds: Column, kind: str) -> Column:
-    negative = (months < 0) | (seconds < 0)
-    m, s = F.abs(months), F.abs(seconds)
-    whole = F.floor(s).cast("decimal(26,0)")
-    fraction = F.regexp_replace(F.regexp_extract((s - whole).cast(DIGITS).cast("string"), r"(\.[0-9]+)$", 1), r"\.?0+$", "")
-    whole = whole.cast("long")
-    days, hours, minutes, secs = _div(whole, 86400), F.pmod(_div(whole, 3600), F.lit(24)), F.pmod(_div(whole, 60), F.lit(60)), F.pmod(whole, F.lit(60))
-    unit = lambda n, u: F.when(n > 0, F.concat(n.cast("string"), F.lit(u))).otherwise("")
-    clock = F.concat(unit(hours, "H"), unit(minutes, "M"), F.when((secs > 0) | (fraction != ""), F.concat(secs.cast("string"), fraction, F.lit("S"))).otherwise(""))
-    text = F.concat(unit(_div(m, 12), "Y"), unit(F.pmod(m, F.lit(12)), "M"), unit(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
+    return spanned(c, lambda v: _duration_text(v, kind))
+
+
+def _duration_text(v: Span, kind: str) -> Column:
+    negative = (v.months < 0) | (v.seconds < 0)
+    under = negative & (v.fraction != "")  # the fraction was added to one second less
+    m, s = F.abs(v.months), F.abs(v.seconds) - F.when(under, F.lit(1)).otherwise(F.lit(0))
+    f = v.fraction
+    rest = F.concat(F.translate(F.substr(f, F.lit(1), F.length(f) - 1), "0123456789", "9876543210"), F.translate(F.substr(f, F.length(f)), "123456789", "987654321"))
+    f = F.when(under, rest).otherwise(f)
+    part = lambda n, b: (n - F.pmod(n, F.lit(b))) / F.lit(b)  # noqa: E731 (no remainder: exact)
+    whole = lambda n: F.regexp_replace(n.cast(WIDE).cast("string"), r"\..*$", "")
+    day = F.pmod(s, F.lit(86400)).cast("long")
+    hours, minutes, secs = _div(day, 3600), F.pmod(_div(day, 60), F.lit(60)), F.pmod(day, F.lit(60))
+    unit = lambda n, u: F.when(n > 0, F.concat(whole(n), F.lit(u))).otherwise("")
+    clock = F.concat(unit(hours, "H"), unit(minutes, "M"), F.when((secs > 0) | (f != ""), F.concat(secs.cast("string"), F.when(f != "", F.concat(F.lit("."), f)).otherwise(""), F.lit("S"))).otherwise(""))
+    text = F.concat(unit(part(m, 12), "Y"), unit(F.pmod(m, F.lit(12)), "M"), unit(part(s, 86400), "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
     full = F.concat(F.when(negative, "-").otherwise(""), F.lit("P"), text)
     zero = F.lit(None).cast("string") if kind == "yearMonthDuration" else F.lit("PT0S")
-    return F.when((m == 0) & (s == 0), zero).otherwise(full)
+    return F.when((m == 0) & (v.seconds == 0) & (v.fraction == ""), zero).otherwise(full)
 
 
 # binary, names ---------------------------------------------------------------
@@ -504,10 +585,10 @@ def eq_key(c: Column, kind: str, bindings: Column | None = None) -> Column:
     if kind == "precisionDecimal":
         return precision_key(c)
     if kind in TIMES:
-        return bound(c, kind, lambda m: F.concat(F.when(m.zone.isNull(), "L").otherwise("U"), m.instant.cast("string")))
+        whole = lambda m: m.both_ways(lambda w: w.cast(WIDE).cast("string"))
+        return bound(c, kind, lambda m: F.concat(F.when(m.zone.isNull(), "L").otherwise("U"), whole(m), F.lit("."), m.fraction))
     if kind in DURATIONS:
-        m, s = duration_parts(c)
-        return F.concat_ws("|", m.cast("string"), s.cast("string"))
+        return spanned(c, lambda v: F.concat(v.months.cast("string"), F.lit("|"), v.seconds.cast("string"), F.lit("."), v.fraction))
     if kind in ("QName", "NOTATION"):
         ns, local = resolve_qname(c, bindings)
         return F.concat(F.lit(kind + "{"), ns, F.lit("}"), local)
@@ -529,9 +610,9 @@ def compare(a: Column, b: Column | str, kind: str) -> Column:
         x, y = floating(a, kind), floating(b, kind)
         return F.when((a == "NaN") | (b == "NaN"), F.lit(None).cast("int")).otherwise(way(x, y))
     if kind in DURATIONS:
-        return compare_durations(duration_parts(a), duration_parts(b))
+        return compare_durations(a, b)
     if kind in TIMES:
-        return compare_points(point(a, kind), point(b, kind))
+        return compare_moments(a, b, kind)
     raise ValueError(f"{kind} has no order")
 
 
@@ -545,18 +626,9 @@ def _compare_constant(a: Column, text: str, kind: str, way: Callable) -> Column:
         fast = way(a.try_cast("decimal(38,18)"), F.lit(exact).cast("decimal(38,18)"))
         return F.when(F.length(a) <= 18, fast).otherwise(slow)
     if kind in DURATIONS:
-        months, seconds = duration_of(text)
-        ends = [_seconds_from(start, months) + seconds for start in _STARTS]
-
-        def at(v: Column) -> Column:
-            signs = F.array(*[way(F.when(v["m"] == 0, v["s"]).otherwise(duration_at(v["m"], v["s"], start) - F.lit(_start(start)).cast(DIGITS)), F.lit(end).cast(DIGITS)) for start, end in zip(_STARTS, ends)])
-            plain = F.when(v["s"] < F.lit(min(ends)).cast(DIGITS), -1).when(v["s"] > F.lit(max(ends)).cast(DIGITS), 1)
-            if min(ends) == max(ends):
-                plain = F.coalesce(plain, F.lit(0))
-            return F.when(v["m"] == 0, plain).otherwise(let(F.array_distinct(signs), lambda s: F.when(F.size(s) == 1, F.get(s, 0))))
-
-        m, s = duration_parts(a)
-        return let(F.struct(m.alias("m"), s.alias("s")), at)
+        return compare_durations(a, text)
+    if kind in TIMES:
+        return compare_moments(a, text, kind)
     return compare(a, F.lit(text), kind)
 
 
@@ -586,6 +658,33 @@ def duration_of(text: str) -> tuple[int, Decimal]:
     return sign * (12 * y + mo), sign * (Decimal(86400 * d + 3600 * h + 60 * mi) + Decimal(m[7] or 0))
 
 
+def moment_of(text: str, kind: str) -> tuple[int, str, bool]:
+    """(whole seconds, digits of the fraction, zoned) of a calendar literal."""
+    kind = "dateTime" if kind == "dateTimeStamp" else kind
+    if not re.fullmatch(LEXICAL[kind].replace(r"\A", "").replace(r"\z", ""), text):
+        raise ValueError(f"{text} is no {kind}")
+    zone = re.search(r"(Z|[+-]\d\d:\d\d)$", text)
+    body = text[: zone.start()] if zone else text
+    offset = 0 if not zone or zone[0] == "Z" else (-1 if zone[0][0] == "-" else 1) * (int(zone[0][1:3]) * 60 + int(zone[0][4:6]))
+    date, _, clock = ("1972-12-31", "", body) if kind == "time" else body.partition("T")
+    y, m, d = 1972, 12, 31
+    if kind in ("gMonthDay", "gMonth", "gDay"):
+        digits = date.lstrip("-")
+        m = int(digits[:2]) if kind != "gDay" else m
+        d = int(digits[-2:]) if kind != "gMonth" else d
+    else:
+        minus, digits = date.startswith("-"), date.lstrip("-").split("-")
+        y = -int(digits[0]) if minus else int(digits[0])
+        m = int(digits[1]) if len(digits) > 1 else m
+        d = int(digits[2]) if len(digits) > 2 else d
+    if kind in ("gYearMonth", "gMonth"):
+        d = 30 if m in (4, 6, 9, 11) else 31 if m != 2 else 29 if (y % 4 == 0 and y % 100 != 0) or y % 400 == 0 else 28
+    h, mi, sec = clock.split(":") if clock else ("0", "0", "0")
+    whole, _, fraction = sec.partition(".")
+    seconds = (_days(y, m) + d - 1) * 86400 + int(h) * 3600 + int(mi) * 60 + int(whole) - offset * 60
+    return seconds - (86400 if kind == "time" and h == "24" else 0), fraction.rstrip("0"), bool(zone)
+
+
 def _days(y: int, m: int) -> int:
     y -= m <= 2
     return 365 * y + y // 4 - y // 100 + y // 400 + (153 * ((m + 9) % 12) + 2) // 5 - 719468
@@ -599,3 +698,24 @@ def _seconds_from(start: tuple[int, int], months: int) -> Decimal:
     """Seconds of so many months from a start month."""
     index = start[0] * 12 + start[1] - 1 + months
     return Decimal(86400 * _days(index // 12, index % 12 + 1)) - _start(start)
+
+
+def order_of(a: str, b: str, kind: str) -> int | None:
+    """-1, 0 or 1 of two literals in the space, as ``compare`` says of columns;
+    null where they are incomparable."""
+    way = lambda x, y: (x > y) - (x < y)
+    if kind == "decimal":
+        return way(Decimal(a), Decimal(b))
+    if kind in ("float", "double", "precisionDecimal"):
+        if "NaN" in (a, b):
+            return None
+        number = Decimal if kind == "precisionDecimal" else float
+        return way(number(a), number(b))
+    if kind in DURATIONS:
+        (m, s), (m2, s2) = duration_of(a), duration_of(b)
+        found = {way(_seconds_from(x, m) + s, _seconds_from(x, m2) + s2) for x in _STARTS}
+        return found.pop() if len(found) == 1 else None
+    (w, f, z), (w2, f2, z2) = moment_of(a, kind), moment_of(b, kind)
+    if z == z2:
+        return way((w, f), (w2, f2))
+    return -1 if (w + 50400, f) < (w2, f2) else 1 if (w - 50400, f) > (w2, f2) else None

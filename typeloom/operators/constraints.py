@@ -6,8 +6,8 @@ node without a verdict (no simple type, nilled, or empty where the declaration
 has a value) declines the frame, which then charges nothing more, and a
 reference to a key with a declined frame below its host is not charged.
 
-A path without ``.//`` is one join a step on (document, parent), so targets and
-fields cost no interval join; a field on the target itself costs no step.
+A path without ``.//`` is one join a step on (document, parent), one with it a
+join on (document, ancestor); a field on the target itself costs no step.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ class Identity:
         defaults are part of."""
         nillable = [i for i, e in enumerate(self.a.decls) if e.nillable]
         nodes = nodes.withColumn("nillable", F.col("decl").isin(*nillable) if nillable else F.lit(False)).withColumn("nilled", F.col("nilled") & F.col("nillable"))
-        nodes = nodes.select("doc_id", "node_id", "parent_id", "last_id", "depth", "name", "path", "attrs", "text", "bindings", "decl", "type", "nilled", "nillable", "line", "column")
+        nodes = nodes.select("doc_id", "node_id", "parent_id", "last_id", "depth", "name", "path", "ups", "attrs", "text", "bindings", "decl", "type", "nilled", "nillable", "line", "column")
         made = {n: self._frames(nodes, c, decls) for n, (c, decls) in self.hosts.items()}
         out: list[DataFrame] = []
         for n, (c, _) in self.hosts.items():

@@ -1,8 +1,10 @@
 """Selector and field paths of identity constraints, over node tables.
 
 A path is ``(.//)? step (/ step)*`` with alternatives; it becomes a regular
-expression over the names between a host and a node, so the nodes a constraint
-selects are an interval join on document order, then a pattern.
+expression over the names between a host and a node.  Nodes meet the hosts above
+them by the numbers of their ancestors: an equal join with one row for each
+level, not a range over a document's nodes.  A field on the target itself needs
+no join.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ class Path:
     deep: bool = False
 
 
-_NAME = r"[^\s/@.|:*]+"
+_NAME = r"[^\W\d][\w.\-\u00b7]*"
 
 
 def compile_path(x: XPath, field: bool) -> list[Path]:
@@ -95,9 +97,8 @@ def _one(text: str, x: XPath, field: bool) -> Path:
 def _below(nodes: DataFrame, hosts: DataFrame, paths: list[Path]) -> DataFrame:
     """Nodes that a path reaches from each host (columns ``doc_id, host_id,
     host_last, host_depth``); the host itself for an empty path."""
-    n = nodes.alias("n")
-    inside = (F.col("n.doc_id") == F.col("h.doc_id")) & (F.col("n.node_id") >= F.col("h.host_id")) & (F.col("n.node_id") <= F.col("h.host_last"))
-    j = n.join(hosts.alias("h"), inside).select("n.*", "h.host_id", "h.host_last", "h.host_depth")
+    met = nodes.select("*", F.explode(F.concat("ups", F.array("node_id"))).alias("host_id"))
+    j = met.join(hosts.select("doc_id", "host_id", "host_last", "host_depth"), ["doc_id", "host_id"])
     names = F.transform(F.slice("path", F.col("host_depth") + 2, F.greatest(F.lit(0), F.size("path") - F.col("host_depth") - 1)), lambda s: F.concat(F.lit(SEPARATOR), F.substring_index(s, "#", 1)))
     below = F.array_join(names, "")
     test = F.lit(False)
@@ -115,10 +116,22 @@ def key_table(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: list[Sim
     field's typed key, and how many nodes it reached."""
     selected = _below(nodes, hosts, compile_path(c.selector, False))
     targets = selected.select("doc_id", "host_id", F.col("node_id").alias("target_id"), F.col("last_id").alias("target_last"), F.col("depth").alias("target_depth"))
-    out = targets.select("doc_id", "host_id", "target_id")
-    for i, f in enumerate(c.fields):
-        t = types[i] if types else BUILTINS["string"]
-        paths = compile_path(f, True)
+    fields = [compile_path(f, True) for f in c.fields]
+    kinds = types or [BUILTINS["string"]] * len(fields)
+    own: list = []  # what the target itself holds
+    for i, (paths, t) in enumerate(zip(fields, kinds)):
+        if len(paths) == 1 and not paths[0].steps and not paths[0].deep:
+            name = paths[0].attribute
+            if name is None:
+                v, n = F.when(F.col("n_children") == 0, F.col("text")), F.when(F.col("n_children") == 0, 1).otherwise(0)
+            else:
+                found = F.transform(F.filter("attrs", _named(name)), lambda a: a["value"])
+                v, n = F.get(found, 0), F.size(found)
+            own += [n.cast("long").alias(f"n{i}"), typed_key(v, t).alias(f"k{i}")]
+    out = selected.select("doc_id", "host_id", F.col("node_id").alias("target_id"), *own)
+    for i, (paths, t) in enumerate(zip(fields, kinds)):
+        if f"k{i}" in out.columns:
+            continue
         within = targets.select("doc_id", F.col("target_id").alias("host_id"), F.col("target_last").alias("host_last"), F.col("target_depth").alias("host_depth")).distinct()
         found = []
         for p in paths:
@@ -138,7 +151,11 @@ def key_table(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: list[Sim
 
 def check_constraint(nodes: DataFrame, hosts: DataFrame, c: Constraint, types: list[SimpleType] | None = None, referred: DataFrame | None = None) -> DataFrame:
     """Violations of one constraint: ``doc_id, node_id, rule, clause``."""
-    table = stage(key_table(nodes, hosts, c, types), "key-table")
+    return check_keys(stage(key_table(nodes, hosts, c, types), "key-table"), c, referred)
+
+
+def check_keys(table: DataFrame, c: Constraint, referred: DataFrame | None = None) -> DataFrame:
+    """The same of a key table."""
     k = [f"k{i}" for i in range(len(c.fields))]
     n = [f"n{i}" for i in range(len(c.fields))]
     out = lambda d, clause: d.select("doc_id", F.col("target_id").alias("node_id"), F.lit(RULE).alias("rule"), F.lit(clause).alias("clause"))

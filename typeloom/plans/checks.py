@@ -35,7 +35,7 @@ def check(schema: Schema) -> None:
     _substitution(schema)
     types = complex_types(schema)
     for t in types:
-        _consistent(t)
+        _consistent(schema, t)
     for t in types:
         name = ambiguous(t, schema)
         if name:
@@ -99,12 +99,29 @@ def _substitution(schema: Schema) -> None:
                 todo += schema.elements[h].heads
 
 
-def _consistent(t: ComplexType) -> None:
+def _consistent(schema: Schema, t: ComplexType) -> None:
     seen: dict[QName, object] = {}
     for e in elements(t.particle):
-        if e.name in seen and seen[e.name] is not e.type and seen[e.name] != e.type:
-            raise SchemaError("cos-element-consistent", f"{e.name[1]} has two types in one model")
-        seen[e.name] = e.type
+        for x in schema.members(e.name) if e.is_global and e.name in schema.elements else [e]:
+            if x.name in seen and seen[x.name] is not x.type and seen[x.name] != x.type:
+                raise SchemaError("cos-element-consistent", f"{x.name[1]} has two types in one model")
+            seen[x.name] = x.type
+
+
+def _subsumes(schema: Schema, e: ElementDecl, base: ElementDecl) -> str | None:
+    """What a restriction's element may do that the base's may not; None for nothing."""
+    if e.nillable and not base.nillable:
+        return "it is nillable"
+    if base.fixed is not None and e.fixed != base.fixed:
+        return "its value was fixed"
+    if not {c.name for c in base.constraints} <= {c.name for c in e.constraints}:
+        return "it lacks a constraint"
+    if not base.block <= e.block:
+        return "it blocks less"
+    way = schema.derivation(e.type, base.type)
+    if way is None or (base.type is not ANY_TYPE and "extension" in way):
+        return "its type is no restriction of the base's"
+    return None
 
 
 def _derivation(schema: Schema, t: ComplexType) -> None:
@@ -121,7 +138,7 @@ def _derivation(schema: Schema, t: ComplexType) -> None:
         return  # too large, or without a verdict: accepted
     if not inside:
         raise SchemaError("derivation-ok-restriction", "the content is not a subset of the base's", t.where)
-    types = {e.name: e.type for e in elements(b.particle)}
+    general = {e.name: e for e in elements(b.particle)}
     for e in elements(t.particle):
-        if e.name in types and schema.derivation(e.type, types[e.name]) is None:
-            raise SchemaError("derivation-ok-restriction", f"the type of {e.name[1]} is not derived from the base's", t.where)
+        if e.name in general and (why := _subsumes(schema, e, general[e.name])):
+            raise SchemaError("derivation-ok-restriction", f"{e.name[1]}: {why}", t.where)

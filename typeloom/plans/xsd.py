@@ -14,9 +14,10 @@ from urllib.parse import urljoin
 
 from ..functions.patterns import PatternError, translate
 from ..functions.types import ANY_SIMPLE, APPLICABLE, KINDS, XSD, Facet, SimpleType
+from ..functions.values import order_of, white_text
 from ..sources.xml_reader import Element, XmlError, read
 from .model import ANY_TYPE, Alternative, Attribute, ComplexType, Constraint, ElementDecl, Group, Particle, QName, Schema, SchemaError, XPath
-from .namespaces import Occurs, Wildcard, intersect, union
+from .namespaces import Occurs, Wildcard, intersect, subset, union
 from .namespaces import parse as parse_namespace
 
 XSI_NS = "http://www.w3.org/2001/XMLSchema-instance"
@@ -126,6 +127,8 @@ class Compiler:
                     k = (_KIND_OF.get(c.local, c.local), (doc.namespace, c.get("name") or ""))
                     if k in changed:
                         raise SchemaError(f"src-{e.local}", f"{k[1][1]} twice", doc.where(c))
+                    if e.local == "redefine":
+                        _redefines_itself(c, doc)
                     changed[k] = (c, doc)
                 if not location:
                     raise SchemaError("", f"{e.local} without schemaLocation", doc.where(e))
@@ -177,7 +180,8 @@ class Compiler:
         if k not in self.raw:
             raise SchemaError("src-resolve", f"no {kind} {name[1]}", doc.where(e))
         if k in self.building:
-            rule = {"type": "st-props-correct" if self.raw[k][0].local == "simpleType" else "ct-props-correct", "group": "mg-props-correct"}.get(kind, "src-resolve")
+            simple = "cos-st-restricts" if self.raw[k][0].elements("union") else "st-props-correct"
+            rule = {"type": simple if self.raw[k][0].local == "simpleType" else "ct-props-correct", "group": "mg-props-correct"}.get(kind, "src-resolve")
             raise SchemaError(rule, f"{name[1]} is defined by itself", doc.where(e))
         self.building.add(k)
         try:
@@ -538,6 +542,8 @@ class Compiler:
                 for n, a in uses.items():
                     if a.prohibited and n in old and old[n].required:
                         raise SchemaError("derivation-ok-restriction", f"attribute {n[1]} was required", doc.where(e))
+                if wild is not None and (before is None or not subset(wild.constraint, before.constraint)):
+                    raise SchemaError("derivation-ok-restriction", "the attribute wildcard admits more than the base's", doc.where(e))
             t.wildcard = wild
         for n, a in old.items():
             if n not in t.attributes and not (t.derivation == "restriction" and n in uses):
@@ -571,6 +577,30 @@ class Document:
         return self.at, e.line, e.column
 
 
+def _redefines_itself(e: Element, doc: Document) -> None:
+    """A redefined type derives from itself; a group names itself once at most."""
+    name = e.get("name") or ""
+    own = lambda text: (found := e.resolve(text)) is not None and found[1] == name and found[0] in (doc.namespace, "")
+    if e.local in ("simpleType", "complexType"):
+        ways = [w for c in ([e] if e.local == "simpleType" else e.elements("simpleContent", "complexContent")) for w in c.elements("restriction", "extension")]
+        if len(ways) != 1 or not own(ways[0].get("base") or ""):
+            raise SchemaError("src-redefine", f"{name} does not derive from itself", doc.where(e))
+        return
+    todo, found = e.elements(), 0
+    while todo:
+        c = todo.pop()
+        todo += c.elements()
+        if c.local == e.local and c.get("ref") and own(c.get("ref")):
+            found += 1
+            if e.local == "group" and (c.get("minOccurs", "1"), c.get("maxOccurs", "1")) != ("1", "1"):
+                raise SchemaError("src-redefine", f"{name} repeats itself", doc.where(c))
+    if found > 1:
+        raise SchemaError("src-redefine", f"{name} names itself {found} times", doc.where(e))
+
+
+BOUNDS = ("minInclusive", "minExclusive", "maxInclusive", "maxExclusive")
+
+
 def check_facets(base: SimpleType, facets: tuple[Facet, ...], where: Callable[[str], tuple]) -> None:
     """Applicability, well-formed values, and that every step only narrows."""
     from decimal import Decimal
@@ -608,21 +638,40 @@ def check_facets(base: SimpleType, facets: tuple[Facet, ...], where: Callable[[s
         raise SchemaError("minLength-less-than-equal-to-maxLength", "minLength over maxLength", where(next(iter(new))))
     if get("fractionDigits") is not None and get("totalDigits") is not None and get("fractionDigits") > get("totalDigits") and "totalDigits" in every:
         raise SchemaError("fractionDigits-totalDigits", "fractionDigits over totalDigits", where(next(iter(new))))
-    if kind == "decimal":
-        low = max((Decimal(every[k].values[0].strip()) for k in ("minInclusive", "minExclusive") if k in every), default=None)
-        high = min((Decimal(every[k].values[0].strip()) for k in ("maxInclusive", "maxExclusive") if k in every), default=None)
-        for k in ("minInclusive", "minExclusive", "maxInclusive", "maxExclusive"):
-            if k in new and k in old:
-                a, b = Decimal(new[k].values[0].strip()), Decimal(old[k].values[0].strip())
-                if (k.startswith("min") and a < b) or (k.startswith("max") and a > b):
-                    raise SchemaError(f"{k}-valid-restriction", f"{k} {a} widens {b}", where(k))
-        if low is not None and high is not None and low > high:
-            k = next(k for k in new if k.startswith(("min", "max")))
-            raise SchemaError(f"{k}-valid-restriction", "no value is left", where(k))
+    if base.variety == "atomic" and kind not in ("QName", "NOTATION"):
+        _check_values(base, kind, new, old, where)
     if "minInclusive" in new and "minExclusive" in new or "maxInclusive" in new and "maxExclusive" in new:
         raise SchemaError("st-props-correct", "an inclusive and an exclusive bound", where(next(iter(new))))
 
 
+def _check_values(base: SimpleType, kind: str, new: dict[str, Facet], old: dict[str, Facet], where: Callable[[str], tuple]) -> None:
+    """Values of facets are values of the base, and bounds only narrow."""
+    from .literals import check_literal
+
+    for v in new["enumeration"].values if "enumeration" in new else ():
+        if check_literal(v, base) is not None:
+            raise SchemaError("enumeration-valid-restriction", f"{v} is no value of the base", where("enumeration"))
+    text = lambda f: white_text(f.values[0], "collapse")
+    for k in BOUNDS:
+        if k in new:
+            try:
+                order_of(text(new[k]), text(new[k]), kind)
+            except (ValueError, ArithmeticError):
+                raise SchemaError(f"{k}-valid-restriction", f"{text(new[k])} is no {kind}", where(k)) from None
+    for k in BOUNDS:
+        if k in new and k in old:
+            way = order_of(text(new[k]), text(old[k]), kind)
+            if way is None or (k.startswith("min") and way < 0) or (k.startswith("max") and way > 0):
+                raise SchemaError(f"{k}-valid-restriction", f"{text(new[k])} widens {text(old[k])}", where(k))
+    every = old | new
+    for a in ("minInclusive", "minExclusive"):
+        for b in ("maxInclusive", "maxExclusive"):
+            # what the base has alone was judged there
+            if a in every and b in every and (a in new or b in new) and order_of(text(every[a]), text(every[b]), kind) == 1:
+                k = a if a in new else b
+                raise SchemaError(f"{k}-valid-restriction", "no value is left", where(k))
+
+
 def compile_schema(location: str, resolver: Resolver) -> Schema:
     """The schema of a document and all it brings in, checked."""
     return Compiler(resolver).compile(location)

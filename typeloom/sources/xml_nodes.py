@@ -3,7 +3,9 @@
 One row per element, in document order; a document that is not well-formed is
 one row with rule ``xml-wf``.  A node carries the names on its path with their
 ``xsi:type``, so that typing needs no join: it is a fold over that array; and the
-names of its children, so that content models need none either.
+names of its children, so that content models need none either.  ``ups`` are the
+numbers of its ancestors from the root down, so that what lies below a node is
+found by an equal number, not by a range.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from .xml_reader import XSI, Element, Text, XmlError, read
 NODES = (
     "doc_id string, rule string, message string, node_id long, parent_id long, last_id long, depth int, sib int, name string, "
     "attrs array<struct<name: string, value: string>>, text string, has_text boolean, blank boolean, n_children int, bindings map<string, string>, "
-    "path array<string>, line int, column int, children array<string>"
+    "path array<string>, line int, column int, children array<string>, ups array<long>"
 )
 _STRINGS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 SCHEMA = pa.schema(
     [
         ("doc_id", pa.string()), ("rule", pa.string()), ("message", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("last_id", pa.int64()), ("depth", pa.int32()), ("sib", pa.int32()), ("name", pa.string()),
         ("attrs", _STRINGS), ("text", pa.string()), ("has_text", pa.bool_()), ("blank", pa.bool_()), ("n_children", pa.int32()), ("bindings", pa.map_(pa.string(), pa.string())),
-        ("path", pa.list_(pa.string())), ("line", pa.int32()), ("column", pa.int32()), ("children", pa.list_(pa.string())),
+        ("path", pa.list_(pa.string())), ("line", pa.int32()), ("column", pa.int32()), ("children", pa.list_(pa.string())), ("ups", pa.list_(pa.int64())),
     ]
 )
 
@@ -50,11 +52,11 @@ def rows(doc_id: str | None, xml: bytes | str | None) -> list[tuple]:
     try:
         root = read(xml)
     except XmlError as e:
-        return [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, None)]
+        return [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, None, None)]
     out: list[list] = []
-    stack: list[tuple[Element | None, int, int, list[str], int]] = [(root, -1, 0, [], 0)]
+    stack: list[tuple[Element | None, int, int, list[str], int, list[int]]] = [(root, -1, 0, [], 0, [])]
     while stack:
-        e, parent, depth, path, sib = stack.pop()
+        e, parent, depth, path, sib, ups = stack.pop()
         if e is None:
             out[parent][5] = len(out) - 1
             continue
@@ -63,10 +65,11 @@ def rows(doc_id: str | None, xml: bytes | str | None) -> list[tuple]:
         kids = e.elements()
         text = "".join(texts)
         here = [*path, step(e)]
-        out.append([doc_id, None, None, me, parent if parent >= 0 else None, me, depth, sib, qname(e.ns, e.local), [{"name": qname(a.ns, a.local), "value": a.value} for a in e.attrs], text, bool(texts), not text.strip(" \t\r\n"), len(kids), list(e.bindings.items()), here, e.line, e.column, [qname(k.ns, k.local) for k in kids]])
-        stack.append((None, me, 0, [], 0))
+        out.append([doc_id, None, None, me, parent if parent >= 0 else None, me, depth, sib, qname(e.ns, e.local), [{"name": qname(a.ns, a.local), "value": a.value} for a in e.attrs], text, bool(texts), not text.strip(" \t\r\n"), len(kids), list(e.bindings.items()), here, e.line, e.column, [qname(k.ns, k.local) for k in kids], ups])
+        stack.append((None, me, 0, [], 0, []))
+        below = [*ups, me]
         for k in range(len(kids) - 1, -1, -1):
-            stack.append((kids[k], me, depth + 1, here, k))
+            stack.append((kids[k], me, depth + 1, here, k, below))
     return [tuple(r) for r in out]
 
 
