@@ -1,7 +1,7 @@
 """Quality by co-training of a text view and a metadata view.
 
-The text view is naive Bayes over what the text says (its words and word pairs,
-hashed into two tables of 65,536 weights) and how it looks (binned statistics);
+The text view is naive Bayes over what the text says (its words, hashed into a
+table of 65,536 weights) and how it looks (binned statistics);
 the metadata view is naive Bayes over language, source and their pair, by actual
 value, and over how much of it is missing.  Neither sees the other's columns.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, batches, ngrams, read, word_hashes, words
+from .common import Stages, batches, read, word_hashes, words
 from .quality_rules import STATS, text_stats
 
 BINS = 16
@@ -38,8 +38,8 @@ META = ("missing",)
 #: Metadata that counts by value: language, source, and both; and the weight of
 #: a value's prior, which one of that many labels outweighs by half.
 VALUES, PRIOR = ("l", "s", "p"), 4.0
-#: Weights of the words, and of the word pairs, and the prior of each.
-GRAMS, GRAM_PRIOR = 1 << 16, 2.0
+#: Weights of the words, and the prior of each.
+WORDS, WORD_PRIOR = 1 << 16, 2.0
 #: Values that a partition sums before it passes them on.
 HELD = 50_000
 
@@ -57,11 +57,9 @@ def text_bins(text: str | None) -> bytes:
     return bytes(int(np.searchsorted(edges, v, side="right")) for v, edges in values)
 
 
-def text_grams(text: str | None) -> tuple[bytes, bytes]:
-    """The hashed words and word pairs that a text has, as 16-bit numbers."""
-    h = word_hashes(words(text))
-    cut = np.uint64(48)
-    return tuple(np.unique(x >> cut).astype(np.uint16).tobytes() for x in (h, ngrams(h, 2)))
+def text_words(text: str | None) -> bytes:
+    """The hashed words that a text has, as 16-bit numbers."""
+    return np.unique(word_hashes(words(text)) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def _features(schema: pa.Schema):
@@ -71,9 +69,9 @@ def _features(schema: pa.Schema):
                 for key, text, lang, source in zip(part.column(0).to_pylist(), part.column(1), *(part.column(i).to_pylist() for i in (2, 3))):
                     t = text.as_py()
                     pair = None if lang is None or source is None else f"{lang}\0{source}"
-                    yield key, text_bins(t), *text_grams(t), bytes(((lang is None) + (source is None),)), lang, source, pair
+                    yield key, text_bins(t), text_words(t), bytes(((lang is None) + (source is None),)), lang, source, pair
 
-        yield from batches(one(), schema, lambda r: len(r[2]) + len(r[3]))
+        yield from batches(one(), schema, lambda r: len(r[2]))
 
     return run
 
@@ -89,38 +87,34 @@ class View:
         self.table = np.log(p[1]) - np.log(p[0])
         n = counts[:, 0].sum(axis=1) + 1
         self.prior = float(np.log(n[1] / n[0]))
-        self.grams = np.zeros(2 * GRAMS, np.float32)
+        self.words = np.zeros(WORDS, np.float32)
 
-    def with_grams(self, counts: np.ndarray, n: np.ndarray) -> "View":
-        """Adds log-odds of words and pairs, from rows of each class that have
-        them and all its rows; what was never seen stays at 0."""
-        share = GRAM_PRIOR * (n + 1) / (n.sum() + 2)
+    def with_words(self, counts: np.ndarray, n: np.ndarray) -> "View":
+        """Adds log-odds of words, from the rows of each class that have them and
+        all its rows; what was never seen stays at 0."""
+        share = WORD_PRIOR * (n + 1) / (n.sum() + 2)
         c = counts.reshape(2, -1)
-        self.grams = (np.log(c[1] + share[1]) - np.log(c[0] + share[0]) - np.log(share[1] / share[0])).astype(np.float32)
+        self.words = (np.log(c[1] + share[1]) - np.log(c[0] + share[0]) - np.log(share[1] / share[0])).astype(np.float32)
         return self
 
     def odds(self, bins: np.ndarray, extra: np.ndarray | float = 0.0) -> np.ndarray:
         return self.table[np.arange(bins.shape[1]), bins].sum(axis=1) + self.prior + extra
 
-    def of_grams(self, grams: "Grams") -> np.ndarray:
+    def of_words(self, found: "Words") -> np.ndarray:
         """The words' log-odds of each row: their sum over the root of their
         number, as words of one text repeat each other."""
-        total = np.bincount(grams.row, self.grams[grams.at], len(grams.size))
-        return total / np.sqrt(np.maximum(grams.size, 1))
+        total = np.bincount(found.row, self.words[found.at], len(found.size))
+        return total / np.sqrt(np.maximum(found.size, 1))
 
 
-class Grams:
-    """Words and pairs of a batch: ``at`` and ``row`` of each, ``size`` of each row."""
+class Words:
+    """Words of a batch: ``at`` and ``row`` of each, ``size`` of each row."""
 
-    def __init__(self, words: pa.Array, pairs: pa.Array):
-        ats, rows, self.size = [], [], np.zeros(len(words), np.int64)
-        for k, column in enumerate((words, pairs)):
-            raw = column.to_pylist()
-            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
-            ats.append(np.frombuffer(b"".join(raw), np.uint16).astype(np.int64) + k * GRAMS)
-            rows.append(np.repeat(np.arange(len(raw)), n))
-            self.size += n
-        self.at, self.row = np.concatenate(ats), np.concatenate(rows)
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        self.at = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+        self.row = np.repeat(np.arange(len(raw)), self.size)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -128,9 +122,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, width)
 
 
-def _odds(views: tuple[View, View], part: pa.RecordBatch, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Both views' log-odds of rows (t, g, h, m, o, ...)."""
-    return views[0].odds(matrix(part.column(0), len(TEXT)), views[0].of_grams(grams)), views[1].odds(matrix(part.column(3), len(META)), part.column(4).to_numpy(zero_copy_only=False))
+def _odds(views: tuple[View, View], part: pa.RecordBatch, found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' log-odds of rows (t, w, m, o, ...)."""
+    return views[0].odds(matrix(part.column(0), len(TEXT)), views[0].of_words(found)), views[1].odds(matrix(part.column(2), len(META)), part.column(3).to_numpy(zero_copy_only=False))
 
 
 _COUNTS = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("value", pa.string()), ("w", pa.float64())])
@@ -138,11 +132,11 @@ _COUNTS = pa.schema([("view", pa.int32()), ("at", pa.int32()), ("value", pa.stri
 
 def _counts(views: tuple[View, View] | None, scale: list[tuple[float, float]], sure: float, weight: float):
     """Rows (view, at, value, w) of one partition's weighted counts: views 0 and
-    1 by class, feature and bin; 2 by class and gram; those from 3 on are those of
+    1 by class, feature and bin; 2 by class and word; those from 3 on are those of
     ``VALUES``, with the class and the value."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((2, len(f), BINS)) for f in (TEXT, META)] + [np.zeros((2, 2 * GRAMS))]
+        total = [np.zeros((2, len(f), BINS)) for f in (TEXT, META)] + [np.zeros((2, WORDS))]
         held: dict[tuple[int, int, str | None], float] = {}
 
         def values() -> pa.RecordBatch:
@@ -152,10 +146,10 @@ def _counts(views: tuple[View, View] | None, scale: list[tuple[float, float]], s
             return out
 
         for part in parts:
-            grams = Grams(part.column(1), part.column(2))
-            bins = [matrix(part.column(0), len(TEXT)), matrix(part.column(3), len(META))]
-            label = np.array([-1 if v is None else v for v in part.column(5).to_pylist()])
-            odds = [a * o + b for o, (a, b) in zip(_odds(views, part, grams), scale)] if views else None
+            found = Words(part.column(1))
+            bins = [matrix(part.column(0), len(TEXT)), matrix(part.column(2), len(META))]
+            label = np.array([-1 if v is None else v for v in part.column(4).to_pylist()])
+            odds = [a * o + b for o, (a, b) in zip(_odds(views, part, found), scale)] if views else None
             for k in (0, 1):
                 y, w = label.copy(), (label >= 0).astype(float)
                 if odds:  # the other view's confident rows
@@ -167,10 +161,10 @@ def _counts(views: tuple[View, View] | None, scale: list[tuple[float, float]], s
                     for j in range(bins[k].shape[1]):
                         total[k][c, j] += np.bincount(bins[k][mine, j], w[mine], BINS)
                     if k == 0:
-                        has = mine[grams.row]
-                        total[2][c] += np.bincount(grams.at[has], w[grams.row[has]], 2 * GRAMS)
+                        has = mine[found.row]
+                        total[2][c] += np.bincount(found.at[has], w[found.row[has]], WORDS)
                     else:
-                        for i, column in enumerate(part.columns[6:]):
+                        for i, column in enumerate(part.columns[5:]):
                             codes = column.dictionary_encode(null_encoding="encode")
                             sums = np.bincount(codes.indices.to_numpy()[mine], w[mine], len(codes.dictionary))
                             for v, x in zip(codes.dictionary.to_pylist(), sums):
@@ -210,8 +204,8 @@ def _buckets(views: tuple[View, View], step: float):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            y = np.array(part.column(5).to_pylist(), np.int32)
-            for k, o in enumerate(_odds(views, part, Grams(part.column(1), part.column(2)))):
+            y = np.array(part.column(4).to_pylist(), np.int32)
+            for k, o in enumerate(_odds(views, part, Words(part.column(1)))):
                 o = np.clip(o, -60, 60)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k, np.int32)), pa.array(y), pa.array(np.round(o / step).astype(np.int32))], schema=schema)
 
@@ -222,8 +216,8 @@ def _scores(views: tuple[View, View], scale: list[tuple[float, float]], prior: f
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for part in parts:
-            z = [a * o + b for o, (a, b) in zip(_odds(views, part, Grams(part.column(1), part.column(2))), scale)]
-            cols = [part.column(5), *(pa.array(sigmoid(x)) for x in (z[0], z[1], z[0] + z[1] - prior))]
+            z = [a * o + b for o, (a, b) in zip(_odds(views, part, Words(part.column(1))), scale)]
+            cols = [part.column(4), *(pa.array(sigmoid(x)) for x in (z[0], z[1], z[0] + z[1] - prior))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
@@ -253,23 +247,24 @@ class CoTraining:
 
         stages = Stages(df.sparkSession, "cotraining")
         kind = df.schema[self.key].dataType
-        binaries, strings = ("t", "g", "h", "m"), ("l", "s", "p")
+        binaries, strings = ("t", "w", "m"), ("l", "s", "p")
         schema = pa.schema([("k", to_arrow_type(kind)), *((c, pa.binary()) for c in binaries), *((c, pa.string()) for c in strings)])
         ddl = f"k {kind.simpleString()}, " + ", ".join([f"{c} binary" for c in binaries] + [f"{c} string" for c in strings])
         lang, source = self.meta
         rows = df.select(F.col(self.key).alias("k"), F.col(self.text).alias("x"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"))
-        rows = stages.put(rows.mapInArrow(_features(schema), ddl), "features")
+        rows = rows.mapInArrow(_features(schema), ddl)
         known = labels.where(F.col(label).isin(0, 1) & F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("k")).agg(F.min(label).cast("int").alias("y"))
         fold = F.crc32(F.col("k").cast("string").cast("binary")) % 5
         # held-out rows must not be pseudo-labelled either: they get no part in learning
-        joined = stages.put(rows.join(known, "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "joined")
+        # features are written once, with the labels beside them
+        joined = stages.put(rows.join(known, "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "features")
         learn = joined.where("fold is null or fold >= 2")
         views, values, scale, prior = None, None, [], 0.0
         for _ in range(1 + self.rounds):
             views, values = self._learn(stages, learn, views, values, scale)
             scale, prior = self._calibrate(self._with_odds(joined.where("fold = 1"), values), views)
         out = pa.schema([("k", to_arrow_type(kind)), ("text_prob", pa.float64()), ("meta_prob", pa.float64()), ("quality_prob", pa.float64())])
-        scored = self._with_odds(rows, values).select("t", "g", "h", "m", "o", "k").mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
+        scored = self._with_odds(joined, values).select("t", "w", "m", "o", "k").mapInArrow(_scores(views, scale, prior, out), f"k {kind.simpleString()}, text_prob double, meta_prob double, quality_prob double")
         return scored.withColumn("kept", F.col("quality_prob") >= self.least).withColumnRenamed("k", self.key)
 
     @staticmethod
@@ -285,16 +280,16 @@ class CoTraining:
 
     def _learn(self, stages: Stages, rows: DataFrame, views: tuple[View, View] | None, values: DataFrame | None, scale: list[tuple[float, float]]) -> tuple[tuple[View, View], DataFrame]:
         sure = float(np.log(self.sure / (1 - self.sure)))
-        inputs = self._with_odds(rows, values).select("t", "g", "h", "m", "o", "y", *VALUES)
+        inputs = self._with_odds(rows, values).select("t", "w", "m", "o", "y", *VALUES)
         parts = inputs.mapInArrow(_counts(views, scale, sure, self.weight), "view int, at int, value string, w double")
         counts = stages.put(parts.groupBy("view", "at", "value").agg(F.sum("w").alias("w")), "counts")
-        total = [np.zeros(2 * len(f) * BINS) for f in (TEXT, META)] + [np.zeros(4 * GRAMS)]
+        total = [np.zeros(2 * len(f) * BINS) for f in (TEXT, META)] + [np.zeros(2 * WORDS)]
         found = counts.where("view <= 2").select("view", "at", "w").toArrow()  # one row a count of the model
         view, at, w = (found.column(i).to_numpy() for i in range(3))
         for k, t in enumerate(total):
             t[at[view == k]] = w[view == k]
         learned = tuple(View(t.reshape(2, -1, BINS)) for t in total[:2])
-        learned[0].with_grams(total[2], total[0].reshape(2, -1, BINS)[:, 0].sum(axis=1))
+        learned[0].with_words(total[2], total[0].reshape(2, -1, BINS)[:, 0].sum(axis=1))
         # odds of the value over those of all rows, both classes with a share of the prior
         n = total[1].reshape(2, -1).sum(axis=1) + 1
         of = lambda c: F.sum(F.when(F.col("at") == c, F.col("w")).otherwise(0.0)) + float(PRIOR * n[c] / n.sum())
@@ -302,7 +297,7 @@ class CoTraining:
 
     def _calibrate(self, rows: DataFrame, views: tuple[View, View]) -> tuple[list[tuple[float, float]], float]:
         step = 0.25
-        found = rows.select("t", "g", "h", "m", "o", "y").mapInArrow(_buckets(views, step), "view int, y int, b int").groupBy("view", "y", "b").count().collect()  # at most 2 * 2 * 481 rows
+        found = rows.select("t", "w", "m", "o", "y").mapInArrow(_buckets(views, step), "view int, y int, b int").groupBy("view", "y", "b").count().collect()  # at most 2 * 2 * 481 rows
         n = [sum(r["count"] for r in found if r.view == 0 and r.y == c) for c in (0, 1)]
         prior = float(np.log((n[1] + 1) / (n[0] + 1)))
         scale = []
