@@ -277,9 +277,12 @@ def test_byte_encoding_equals_the_library(spark, sf):
 
 
 def check_packing(rows, docs, size=1024):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.no_padding()
+    library.no_truncation()
     ids = {}
-    for d, t in docs:
-        ids[d] = np.append(packing.encode(t), np.uint32(2)).astype("<u4")
+    for d, t in docs:  # every row's ids by the library, not by the operator
+        ids[d] = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -297,6 +300,14 @@ def check_packing(rows, docs, size=1024):
     return len(seqs), -(-sum(r.length for r in rows) // size)
 
 
+def test_a_row_that_all_pieces_are_is_spread_over_groups(spark):
+    df = spark.createDataFrame([(1, "the same short text")] * 3000, "doc_id long, text string")
+    rows = packing.Packing()(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3000
+    n = rows[0].length
+    assert len({r.sequence_id for r in rows}) == -(-3000 // (1024 // n))
+
+
 def test_packing_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     used, least = check_packing(packing.op9(spark, sf).collect(), docs)

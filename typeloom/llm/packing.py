@@ -6,8 +6,9 @@ histogram: each bin takes the longest length left, then the fullest feasible
 combination of the others, found by subset-sum dynamic programming over bitsets;
 the combination is removed as many times as the counts allow before the next is
 searched, which is what repeating the search would do.  Pieces take their places
-by their rank among pieces of equal length.  Ranks come from salted groups, so a
-length that a third of all pieces have is no hot group.
+by their rank among pieces of equal length.  Ranks come from salted groups, dealt
+out row by row, so neither a length nor a row that a third of all pieces have is
+a hot group.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .common import Stages, batches, read
 
 SIZE, END = 1024, 2
 #: Groups that the pieces of one length are ranked in.
-SALTS = 256
+SALTS = 1024
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -57,14 +59,17 @@ def tokenizer(path: str | None = None):
     return _ENCODINGS[path]
 
 
-def encode(text: str | None, ranks_path: str | None = None) -> np.ndarray:
-    """Token ids as unsigned 32-bit numbers; none of a null or empty text."""
+def encode(text: str | None, ranks_path: str | None = None, library_path: str | None = None) -> np.ndarray:
+    """Token ids as unsigned 32-bit numbers; none of a null or empty text.
+    ``library_path`` is the same vocabulary in the tokenizers library's form."""
     if not text:
         return np.empty(0, np.uint32)
     try:
         return encoder(ranks_path).encode_to_numpy(text, allowed_special="all")
     except ValueError:  # the pattern's backtracking stack is too small for a huge run of white space
-        return np.array(tokenizer().encode(text, add_special_tokens=False).ids, np.uint32)
+        if ranks_path is not None and library_path is None:
+            raise
+        return np.array(tokenizer(library_path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -73,14 +78,16 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def _pieces(ranks_path: str | None, size: int, schema: pa.Schema):
+def _pieces(ranks_path: str | None, library_path: str | None, size: int, schema: pa.Schema):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one():
+            salt = TaskContext.get().partitionId()
             for part in parts:
                 for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = np.append(encode(text.as_py(), ranks_path), np.uint32(END)).astype("<u4")
+                    ids = np.append(encode(text.as_py(), ranks_path, library_path), np.uint32(END)).astype("<u4")
                     for k, (s, n) in enumerate(cut(len(ids), size)):
-                        yield key, k, s, n, zlib.crc32(ids[s : s + n])
+                        salt = (salt + 1) % SALTS
+                        yield key, k, s, n, zlib.crc32(ids[s : s + n]), salt
 
         yield from batches(one(), schema)
 
@@ -173,30 +180,32 @@ class Packing:
     """Packs a table's texts into sequences of at most ``size`` tokens.
 
     Defined results: a null or empty text is the end token alone; repeated rows
-    are packed each; an empty table gives no pieces.  Only key and text are read.
+    are packed each; a very long text is cut into as many pieces as it needs; of
+    equally full combinations one that leaves short lengths is taken, and pieces
+    of one length may take each other's place; an empty table gives no pieces.
+    Only key and text are read.
     """
 
-    def __init__(self, key: str = "doc_id", text: str = "text", *, size: int = SIZE, ranks_path: str | None = None):
-        self.key, self.text, self.size, self.ranks_path = key, text, size, ranks_path
+    def __init__(self, key: str = "doc_id", text: str = "text", *, size: int = SIZE, ranks_path: str | None = None, library_path: str | None = None):
+        self.key, self.text, self.size, self.ranks_path, self.library_path = key, text, size, ranks_path, library_path
 
     def __call__(self, df: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         stages = Stages(df.sparkSession, "packing")
         kind = df.schema[self.key].dataType
-        schema = pa.schema([("k", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = pa.schema([("k", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
         ddl = f"k {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
-        cut_ = stages.put(df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).mapInArrow(_pieces(self.ranks_path, self.size, schema), ddl), "pieces")
+        cut_ = stages.put(df.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).mapInArrow(_pieces(self.ranks_path, self.library_path, self.size, schema), ddl + ", salt int"), "pieces")
         # a full piece fills a sequence: it needs a number of its own and no rank
         full, part = cut_.where(F.col("length") == self.size), cut_.where(F.col("length") < self.size)
-        salted = part.withColumn("salt", F.pmod(F.xxhash64("k", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-        counts = stages.put(salted.groupBy("length", "salt").agg(F.count("*").alias("c")), "counts")
+        counts = stages.put(part.groupBy("length", "salt").agg(F.count("*").alias("c")), "counts")
         # at most size * SALTS rows, whatever the table
         before = counts.select("length", "salt", (F.sum("c").over(Window.partitionBy("length").orderBy("salt")) - F.col("c")).alias("before"))
         histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # below ``size`` rows
         slots = Slots(pack(histogram, self.size))
         order = Window.partitionBy("length", "salt").orderBy("k", "piece", "start", "ids_crc32")
-        ranked = salted.withColumn("r", F.row_number().over(order)).join(before, ["length", "salt"])
+        ranked = part.withColumn("r", F.row_number().over(order)).join(before, ["length", "salt"])
         placed = ranked.select("k", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).alias("rank")).mapInArrow(_place(slots), f"{ddl}, sequence_id long, offset long")
         alone = full.select("k", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + slots.bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
         out = stages.put(placed.unionByName(alone), "placed")
