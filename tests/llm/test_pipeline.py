@@ -64,6 +64,14 @@ def test_stages_on_odd_rows(spark):
             out.collect()
 
 
+def test_near_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, a), (None, a + " more"), (4, a), (4, b), (4, b), (3, b + " more"), (None, "alone in the world with null"), (None, None), (None, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near(spark, df, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(4, a), (3, b + " more"), (None, "alone in the world with null"), (None, None), (9, "")], key=str)
+
+
 def test_posterior_is_a_probability():
     p = posterior(np.array([[1, -1]]), 0.5, np.array([[[0.3, 0.2, 0.5], [0.1, 0.1, 0.8]]] * 2))
     assert 0 < p[0] < 1

@@ -26,7 +26,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, which the session names in
-    ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    ``spark.checkpoint.dir``; a folder of our own only where that is unset
+    and all executors are on this machine."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # an unset key raises
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

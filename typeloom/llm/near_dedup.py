@@ -384,6 +384,22 @@ def _same_members(rows: DataFrame, key: str, *more) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"), *more)
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The table with one row of each near-duplicate group: the one with the least
+    key, null last, and of different texts under one key the one with the least
+    hash.  Rows that equal each other in key and text are one.  Texts are shuffled
+    once, by a hash of key and text, copies combined before."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    inner = df.toDF(*names)
+    k, t = F.col(names[df.columns.index(key)]), F.col(names[df.columns.index(text)])
+    mark = [F.xxhash64(F.lit(seed), F.coalesce(k.cast("string"), F.lit("\0")), F.coalesce(t, F.lit("\0"))) for seed in (3, 5)]
+    marked = inner.withColumn("h", mark[0]).withColumn("i", mark[1])
+    row = F.struct(k.isNull().alias("n"), k.alias("k"), F.col("h"), F.col("i"))
+    groups = NearDuplicates("row", "t", **options)(marked.select(row.alias("row"), t.alias("t")))
+    kept = groups.where("row <=> component_id").select("row.h", "row.i").distinct()
+    return marked.dropDuplicates(["h", "i"]).join(kept, ["h", "i"], "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
