@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm.common import Stages, read
 from typeloom.llm.language_id import LanguageId, learnable
-from typeloom.llm.near_dedup import NearDuplicates
+from typeloom.llm.near_dedup import one_of_each
 from typeloom.llm.packing import Packing
 from typeloom.llm.quality_rules import QualityRules
 from typeloom.llm.substring_dedup import SubstringDedup
@@ -28,28 +28,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of probable quality that do not fail the base rules."""
+    """Keeps documents of probable quality that do not fail the base rules, each
+    row by itself; an empty table stays empty."""
     return QualityRules().keep(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the
-    least id; of repeated rows with that id and the same text, one."""
-    groups = NearDuplicates(threshold=THRESHOLD)(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
+    least id, null last; of different texts under that id, one; of repeated rows,
+    one.  Documents without words are in no group and stay."""
+    return one_of_each(docs, threshold=THRESHOLD)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that repeat; ``n_chars`` follows the new text.  A
-    document of which nothing is left goes."""
+    document of which nothing is left goes, and so do null and empty texts;
+    repeated rows repeat each other's passages.  An empty table stays empty."""
     out = SubstringDedup().remove(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).where(F.length("text") > 0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of at most 1024 tokens."""
+    """Packs the texts into sequences of at most 1024 tokens; repeated rows are
+    packed each, and an empty table gives no pieces."""
     return Packing()(docs)
 
 

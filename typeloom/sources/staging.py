@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set."""
+    """The session's shared folder; one of our own only where none is set and all
+    executors are on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     try:
         found = spark.conf.get("spark.checkpoint.dir") or found
     except Exception:  # an unset key raises
         pass
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
