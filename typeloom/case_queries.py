@@ -240,7 +240,9 @@ def schema_value_constraints(spark, sf):
 LIB = schema("<xs:simpleType name='code'><xs:restriction base='xs:string'><xs:maxLength value='3'/></xs:restriction></xs:simpleType><xs:element name='e' type='code'/>")
 NS = schema("<xs:include schemaLocation='lib.xsd'/><xs:element name='f' type='code'/>", "targetNamespace='urn:t' xmlns='urn:t'")
 DEEP = schema("<xs:include schemaLocation='../lib.xsd'/>")
-FILES = {"lib.xsd": LIB, "ns.xsd": NS, "sub/deep.xsd": DEEP, "loop.xsd": schema("<xs:include schemaLocation='loop2.xsd'/><xs:element name='l1'/>"), "loop2.xsd": schema("<xs:include schemaLocation='loop.xsd'/><xs:element name='l2'/>"), "other.xsd": schema("<xs:element name='o'/>", "targetNamespace='urn:o'"), "bad.xsd": "<xs:schema"}
+PARTS = schema("<xs:group name='g'><xs:sequence><xs:element name='a'/><xs:element name='b' minOccurs='0'/></xs:sequence></xs:group><xs:attributeGroup name='ag'><xs:attribute name='p' type='xs:decimal' use='required'/><xs:attribute name='q'/></xs:attributeGroup><xs:element name='r'><xs:complexType><xs:group ref='g'/><xs:attributeGroup ref='ag'/></xs:complexType></xs:element>")
+REDO = lambda inner: schema(f"<xs:redefine schemaLocation='parts.xsd'>{inner}</xs:redefine>")
+FILES = {"parts.xsd": PARTS, "lib.xsd": LIB, "ns.xsd": NS, "sub/deep.xsd": DEEP, "loop.xsd": schema("<xs:include schemaLocation='loop2.xsd'/><xs:element name='l1'/>"), "loop2.xsd": schema("<xs:include schemaLocation='loop.xsd'/><xs:element name='l2'/>"), "other.xsd": schema("<xs:element name='o'/>", "targetNamespace='urn:o'"), "bad.xsd": "<xs:schema"}
 SETS = [
     ("include", schema("<xs:include schemaLocation='lib.xsd'/>"), "e"),
     ("include takes on the namespace", schema("<xs:include schemaLocation='ns.xsd'/>", "targetNamespace='urn:t'"), "urn:t e, urn:t f"),
@@ -256,6 +258,14 @@ SETS = [
     ("override", schema("<xs:override schemaLocation='lib.xsd'><xs:simpleType name='code'><xs:restriction base='xs:int'/></xs:simpleType></xs:override>"), "e"),
     ("redefine", schema("<xs:redefine schemaLocation='lib.xsd'><xs:simpleType name='code'><xs:restriction base='code'><xs:minLength value='1'/></xs:restriction></xs:simpleType></xs:redefine>"), "e"),
     ("redefine of another base", schema("<xs:redefine schemaLocation='lib.xsd'><xs:simpleType name='code'><xs:restriction base='xs:int'/></xs:simpleType></xs:redefine>"), "src-redefine"),
+    ("a group that keeps itself", REDO("<xs:group name='g'><xs:sequence><xs:group ref='g'/><xs:element name='c'/></xs:sequence></xs:group>"), "r"),
+    ("a group that names itself twice", REDO("<xs:group name='g'><xs:sequence><xs:group ref='g'/><xs:group ref='g'/></xs:sequence></xs:group>"), "src-redefine"),
+    ("a narrower group", REDO("<xs:group name='g'><xs:sequence><xs:element name='a'/></xs:sequence></xs:group>"), "r"),
+    ("a wider group", REDO("<xs:group name='g'><xs:sequence><xs:element name='a'/><xs:element name='c'/></xs:sequence></xs:group>"), "src-redefine"),
+    ("attributes that keep themselves", REDO("<xs:attributeGroup name='ag'><xs:attributeGroup ref='ag'/><xs:attribute name='z'/></xs:attributeGroup>"), "r"),
+    ("narrower attributes", REDO("<xs:attributeGroup name='ag'><xs:attribute name='p' type='xs:int' use='required'/></xs:attributeGroup>"), "r"),
+    ("an attribute of another type", REDO("<xs:attributeGroup name='ag'><xs:attribute name='p' type='xs:date' use='required'/></xs:attributeGroup>"), "src-redefine"),
+    ("one attribute more", REDO("<xs:attributeGroup name='ag'><xs:attribute name='p' type='xs:decimal' use='required'/><xs:attribute name='z'/></xs:attributeGroup>"), "src-redefine"),
     ("redefine of what is not there", schema("<xs:redefine schemaLocation='lib.xsd'><xs:simpleType name='none'><xs:restriction base='none'/></xs:simpleType></xs:redefine>"), "src-redefine"),
 ]
 

@@ -1,15 +1,17 @@
 """Assessment of node tables against a schema, as table operations.
 
-Typing is a fold over the path that each node carries: the schema becomes maps
-of literals from (type, child name) to declaration and from (declaration,
-xsi:type) to type, so no join and no recursion is needed.  Every rule is then a
+Typing is a fold over the path that each node carries: the schema becomes arrays
+of literals, by type the declarations of its children's names and by declaration
+the types that xsi:type may name, so no join and no recursion is needed.  Every rule is then a
 filter, an aggregation or an anti join that yields violations; what has no
 verdict yields nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.facets import Undecided, check, matches_fixed, tokens
@@ -25,6 +27,7 @@ from .constraints import Identity
 from .cta import Declined, compile_test
 from .identity import id_violations
 
+LOG = logging.getLogger("typeloom")
 UNTYPED = -1
 _XSI = [qname(XSI, n) for n in ("type", "nil", "schemaLocation", "noNamespaceSchemaLocation")]
 
@@ -50,15 +53,16 @@ class Assessment:
         self.schema = schema
         self.types: list[Type] = []
         self.decls: list[ElementDecl] = []
-        self.child: dict[str, int] = {}  # "type|name" -> declaration
-        self.declared: dict[str, int] = {}  # "decl" -> type
-        self.override: dict[str, int] = {}  # "decl#name" -> type
-        self.refused: dict[str, bool] = {}
-        self.named: dict[str, int] = {}  # "#name" -> type, for a root without declaration
+        self.child: dict[int, dict[str, int]] = {UNTYPED: {}}  # by type (a root's above all): name -> declaration
+        self.declared: list[int] = []  # type of each declaration
+        self.slot: list[int] = []  # what each declaration lets xsi:type name, as a number of ``allowed``
+        self.allowed: list[dict[str, int]] = []  # name -> type
+        self.slots: dict[tuple[int, frozenset[str]], int] = {}
+        self.named: dict[str, int] = {}  # name -> type
         for name, t in schema.types.items():
-            self.named["#" + qname(*name)] = self.type_id(t)
+            self.named[qname(*name)] = self.type_id(t)
         for name, e in schema.elements.items():
-            self.child["root|" + qname(*name)] = self.decl_id(e)
+            self.child[UNTYPED][qname(*name)] = self.decl_id(e)
         done = 0
         while done < len(self.types):
             t = self.types[done]
@@ -79,16 +83,17 @@ class Assessment:
                 return i
         self.decls.append(e)
         i = len(self.decls) - 1
-        self.declared[str(i)] = self.type_id(e.type)
-        for name, t in self.schema.types.items():
-            key = f"{i}#{qname(*name)}"
-            if self.schema.substitutable(t, e.type, e.block):
-                self.override[key] = self.type_id(t)
-            else:
-                self.refused[key] = True
+        self.declared.append(self.type_id(e.type))
+        # declarations of one type and block let the same types be named
+        key = (self.declared[i], e.block)
+        if key not in self.slots:
+            self.slots[key] = len(self.allowed)
+            self.allowed.append({qname(*name): self.type_id(t) for name, t in self.schema.types.items() if self.schema.substitutable(t, e.type, e.block)})
+        self.slot.append(self.slots[key])
         return i
 
     def _children(self, i: int, t: ComplexType) -> None:
+        child = self.child.setdefault(i, {})
         wild: list[Wildcard] = [w for w in ([t.open_content[1]] if t.open_content else [])]
         for p in _particles(t.particle):
             if isinstance(p.term, Wildcard):
@@ -96,31 +101,36 @@ class Assessment:
                 continue
             members = self.schema.members(p.term.name) if p.term.is_global and p.term.name in self.schema.elements else [p.term]
             for e in members:
-                self.child.setdefault(f"{i}|{qname(*e.name)}", self.decl_id(e))
+                child.setdefault(qname(*e.name), self.decl_id(e))
         for w in wild:
             if w.process == "skip":
                 continue
             for name, e in self.schema.elements.items():
                 if w.admits(name):
-                    self.child.setdefault(f"{i}|{qname(*name)}", self.decl_id(e))
+                    child.setdefault(qname(*name), self.decl_id(e))
 
     # typing --------------------------------------------------------------
 
     def governance(self, path: Column) -> Column:
         """``STRUCT<decl, type, refused>`` of the last step of a path; decl and
         type are -1 where there is none."""
-        child, declared, override, refused, named = _map(self.child, "int"), _map(self.declared, "int"), _map(self.override, "int"), _map(self.refused, "boolean"), _map(self.named, "int")
+        # arrays by number, so that a step searches the names of one type only
+        child = F.array(*[_map(self.child.get(i, {}), "int") for i in range(UNTYPED, len(self.types))])
+        numbers = lambda xs: F.array(*map(F.lit, xs)) if xs else F.lit(None).cast("array<int>")
+        declared, slot, named = numbers(self.declared), numbers(self.slot), _map(self.named, "int")
+        allowed = F.array(*[_map(m, "int") for m in self.allowed]) if self.allowed else F.lit(None).cast("array<map<string, int>>")
 
         def step(acc: Column, x: Column) -> Column:
             name = F.substring_index(x, "#", 1)
-            asked = F.when(F.instr(x, "#") > 0, F.concat(F.lit("#"), F.substring_index(x, "#", -1)))
-            at = F.when(acc["first"], F.lit("root")).otherwise(acc["type"].cast("string"))
-            d = F.try_element_at(child, F.concat(at, F.lit("|"), name))
-            over = F.try_element_at(override, F.concat(d.cast("string"), asked))
+            asked = F.when(F.instr(x, "#") > 0, F.substring_index(x, "#", -1))
+            at = F.when(acc["first"] | (acc["type"] != UNTYPED), acc["type"] - UNTYPED)
+            d = F.try_element_at(F.get(child, at), name)
+            over = F.try_element_at(F.get(allowed, F.get(slot, d)), asked)
+            known = F.try_element_at(named, asked)
             # a root without declaration is governed by the type it names
-            own = F.when(d.isNull() & acc["first"], F.try_element_at(named, asked))
-            t = F.coalesce(over, own, F.try_element_at(declared, d.cast("string")), F.lit(UNTYPED))
-            bad = F.coalesce(F.try_element_at(refused, F.concat(d.cast("string"), asked)), F.lit(False))
+            own = F.when(d.isNull() & acc["first"], known)
+            t = F.coalesce(over, own, F.get(declared, d), F.lit(UNTYPED))
+            bad = d.isNotNull() & known.isNotNull() & over.isNull()
             return F.struct(F.lit(False).alias("first"), F.coalesce(d, F.lit(UNTYPED)).alias("decl"), t.alias("type"), bad.alias("refused"))
 
         start = F.struct(F.lit(True).alias("first"), F.lit(UNTYPED).alias("decl"), F.lit(UNTYPED).alias("type"), F.lit(False).alias("refused"))
@@ -143,7 +153,8 @@ class Assessment:
                     continue
                 try:
                     pick = F.when(compile_test(alt.test, F.col("attrs"), self.schema.types), self.type_id(alt.type)).otherwise(pick)
-                except Declined:
+                except Declined as why:
+                    LOG.info("a type alternative of %s is not decided: %s", qname(*e.name), why)
                     pick = F.lit(UNTYPED)
             chosen = F.when(F.col("decl") == i, pick).otherwise(chosen)
         return g.withColumn("type", F.when(plain, F.coalesce(chosen, "type")).otherwise(F.col("type")))
@@ -170,14 +181,15 @@ class Assessment:
             if isinstance(t, ComplexType) and t.variety in ("element-only", "mixed") and t is not ANY_TYPE and self._live(i):
                 try:
                     models[i] = automaton(t, self.schema).verdict(F.col("children"))
-                except ModelDeclined:
-                    pass
+                except ModelDeclined as why:
+                    LOG.info("no verdict on the content of %s: %s", qname(*t.name) if t.name else "an anonymous type", why)
         none = F.lit(None).cast("struct<ok: boolean, reject_index: int, too_short: boolean>")
         return typed.withColumn("v", self._case("type", models, none)).select("*", "v.reject_index", "v.too_short").drop("v")
 
-    def assess(self, nodes: DataFrame) -> DataFrame:
+    def assess(self, nodes: DataFrame, observed: Observation | None = None) -> DataFrame:
         """``(doc_id, node_id, rule, clause, cause, line, column)`` of every
-        violation, documents that are not well-formed included."""
+        violation, documents that are not well-formed included.  ``observed``
+        gets their number, in all and by family of rules, when the result runs."""
         # read by every rule: typed once, in the pass that reads the documents
         every = stage(self.with_content(self.typed(nodes)), "typed")
         typed = every.where("rule is null")
@@ -202,6 +214,9 @@ class Assessment:
         result = out[0]
         for more in out[1:]:
             result = result.unionByName(more)
+        if observed is not None:
+            family = lambda p: F.count_if(F.col("rule").startswith(p))
+            result = result.observe(observed, F.count(F.lit(1)).alias("violations"), family("xml-wf").alias("not_well_formed"), family("cvc-id").alias("identity"), family("cvc-complex").alias("complex_types"), (family("cvc-type") + family("cvc-elt") + family("cvc-attribute")).alias("values"))
         return result
 
     def _kept(self, typed: DataFrame, content: DataFrame) -> DataFrame:

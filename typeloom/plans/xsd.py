@@ -8,6 +8,7 @@ error ends a compilation.
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 from urllib.parse import urljoin
@@ -55,6 +56,7 @@ def chain(*resolvers: Resolver) -> Resolver:
     return find
 
 
+LOG = logging.getLogger("typeloom")
 _KIND_OF = {"simpleType": "type", "complexType": "type", "element": "element", "attribute": "attribute", "group": "group", "attributeGroup": "attributeGroup", "notation": "notation"}
 _FACETS = frozenset(KINDS) - {"assertions"}
 
@@ -69,6 +71,7 @@ class Compiler:
         self.loaded: set[tuple] = set()
         self.building: set[tuple[str, QName]] = set()
         self.hidden: dict[tuple[str, QName], tuple[Element, Document]] = {}
+        self.originals: dict[tuple[str, QName], object] = {}
         self.documents: list[Document] = []
 
     # composition ---------------------------------------------------------
@@ -82,6 +85,7 @@ class Compiler:
             if required:
                 raise SchemaError("src-resolve" if root else "src-redefine", f"{at} cannot be read", (at, 0, 0))
             self.schema.report.append((at, "document", "not found"))
+            LOG.info("%s is not found, and not needed", at)
             return
         self.loaded.add(ident)
         try:
@@ -101,6 +105,7 @@ class Compiler:
                 raise SchemaError("src-include" if chameleon else "src-import", f"{at} has target namespace {own!r}, not {namespace!r}", (at, top.line, top.column))
         self.documents.append(doc)
         self.schema.report.append((at, "document", "used"))
+        LOG.debug("%s is read, with target namespace %r", at, doc.namespace)
         for e in top.elements():
             if e.ns != XSD:
                 raise SchemaError("", f"{e.local} is no schema element", doc.where(e))
@@ -179,6 +184,8 @@ class Compiler:
         k = (kind, name)
         if k not in self.raw:
             raise SchemaError("src-resolve", f"no {kind} {name[1]}", doc.where(e))
+        if k in self.building and k in self.hidden and kind in ("group", "attributeGroup"):
+            return self.redefined(kind, name)
         if k in self.building:
             simple = "cos-st-restricts" if self.raw[k][0].elements("union") else "st-props-correct"
             rule = {"type": simple if self.raw[k][0].local == "simpleType" else "ct-props-correct", "group": "mg-props-correct"}.get(kind, "src-resolve")
@@ -204,6 +211,36 @@ class Compiler:
             self.building.discard(k)
         return store[name]
 
+    def redefined(self, kind: str, name: QName):
+        """The group that a redefinition replaces: what it means by its own name."""
+        k = (kind, name)
+        if k not in self.originals:
+            el, owner = self.hidden[k]
+            self.originals[k] = self.group_definition(el, owner, name) if kind == "group" else self.attribute_uses(el, owner)
+        return self.originals[k]
+
+    def check_redefinitions(self) -> None:
+        """A redefined group without its own name in it only restricts the old one."""
+        from .content import Declined, automaton, included
+
+        for (kind, name), _ in self.hidden.items():
+            k = (kind, name)
+            if kind not in ("group", "attributeGroup") or k in self.originals:
+                continue
+            at = self.raw[k][1].where(self.raw[k][0])
+            if kind == "group":
+                whole = lambda g: ComplexType(name, variety="element-only", particle=Particle(Occurs(), g))
+                try:
+                    inside = included(automaton(whole(self.schema.groups[name]), self.schema), automaton(whole(self.redefined(kind, name)), self.schema))
+                except Declined as why:
+                    LOG.info("no verdict on the redefinition of group %s: %s", name[1], why)
+                    continue
+                why = None if inside else "it admits more than the group it redefines"
+            else:
+                why = self.widens(*self.schema.attribute_groups[name], *self.redefined(kind, name))
+            if why:
+                raise SchemaError("src-redefine", f"{name[1]}: {why}", at)
+
     # simple types --------------------------------------------------------
 
     def any_type_of(self, e: Element, doc: "Document", name: QName | None, original=None):
@@ -303,7 +340,7 @@ class Compiler:
                 uses[a.name] = a
             elif c.local == "attributeGroup":
                 name = self.name_of(c.get("ref") or "", c, doc)
-                if ("attributeGroup", name) in self.building:
+                if ("attributeGroup", name) in self.building and ("attributeGroup", name) not in self.hidden:
                     continue  # a circular group adds nothing
                 more, w = self.find("attributeGroup", name, c, doc)
                 for n, a in more.items():
@@ -517,6 +554,26 @@ class Compiler:
         self.fold_attributes(t, base, uses, wild, doc, e)
         return t
 
+    def widens(self, uses: dict, wild: Wildcard | None, old: dict, before: Wildcard | None) -> str | None:
+        """What attribute uses admit that the old ones do not; None for nothing."""
+        for n, a in uses.items():
+            b = old.get(n)
+            if a.prohibited:
+                if b is not None and b.required:
+                    return f"attribute {n[1]} was required"
+            elif b is None:
+                if before is None or not before.admits(n):
+                    return f"attribute {n[1]} is not in the base"
+            elif b.required and not a.required:
+                return f"attribute {n[1]} was required"
+            elif self.schema.derivation(a.type, b.type) is None:
+                return f"the type of attribute {n[1]} is not derived"
+            elif b.fixed is not None and a.fixed != b.fixed:
+                return f"attribute {n[1]} was fixed"
+        if wild is not None and (before is None or not subset(wild.constraint, before.constraint)):
+            return "the attribute wildcard admits more than the base's"
+        return None
+
     def fold_attributes(self, t: ComplexType, base, uses: dict, wild: Wildcard | None, doc: "Document", e: Element) -> None:
         old = base.attributes if isinstance(base, ComplexType) else {}
         before = base.wildcard if isinstance(base, ComplexType) else None
@@ -527,23 +584,9 @@ class Compiler:
             t.wildcard = wild if before is None else (before if wild is None else Wildcard(union(wild.constraint, before.constraint), wild.process, wild.disallowed & before.disallowed, wild.defined and before.defined))
         else:
             if base is not ANY_TYPE and isinstance(base, ComplexType):
-                for n, a in t.attributes.items():
-                    b = old.get(n)
-                    if b is None:
-                        if before is None or not before.admits(n):
-                            raise SchemaError("derivation-ok-restriction", f"attribute {n[1]} is not in the base", doc.where(e))
-                    else:
-                        if b.required and not a.required:
-                            raise SchemaError("derivation-ok-restriction", f"attribute {n[1]} was required", doc.where(e))
-                        if self.schema.derivation(a.type, b.type) is None:
-                            raise SchemaError("derivation-ok-restriction", f"the type of attribute {n[1]} is not derived", doc.where(e))
-                        if b.fixed is not None and a.fixed != b.fixed:
-                            raise SchemaError("derivation-ok-restriction", f"attribute {n[1]} was fixed", doc.where(e))
-                for n, a in uses.items():
-                    if a.prohibited and n in old and old[n].required:
-                        raise SchemaError("derivation-ok-restriction", f"attribute {n[1]} was required", doc.where(e))
-                if wild is not None and (before is None or not subset(wild.constraint, before.constraint)):
-                    raise SchemaError("derivation-ok-restriction", "the attribute wildcard admits more than the base's", doc.where(e))
+                why = self.widens(uses, wild, old, before)
+                if why:
+                    raise SchemaError("derivation-ok-restriction", why, doc.where(e))
             t.wildcard = wild
         for n, a in old.items():
             if n not in t.attributes and not (t.derivation == "restriction" and n in uses):
@@ -563,6 +606,7 @@ class Compiler:
                 self.find(kind, name, e, doc)
         for d, name in self.later:
             d.type = self.schema.types[name]
+        self.check_redefinitions()
         from .checks import check
 
         check(self.schema)

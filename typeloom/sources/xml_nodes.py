@@ -1,6 +1,9 @@
 """XML documents as a table of nodes.
 
-One row per element, in document order; a document that is not well-formed is
+One row per element, made where the element ends, so only what is open is held:
+a document is parsed in parts and its rows leave in batches.  One that is longer
+than ``WHOLE`` is parsed twice, as its rows must not leave before it is known to
+be well-formed; a shorter one's rows wait for its end.  A document that is not well-formed is
 one row with rule ``xml-wf``.  A node carries the names on its path with their
 ``xsi:type``, so that typing needs no join: it is a fold over that array; and the
 names of its children, so that content models need none either.  ``ups`` are the
@@ -11,18 +14,20 @@ found by an equal number, not by a range.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .xml_reader import XSI, Element, Text, XmlError, read
+from .xml_reader import XML_NS, XSI, XmlError, source
 
 NODES = (
     "doc_id string, rule string, message string, node_id long, parent_id long, last_id long, depth int, sib int, name string, "
     "attrs array<struct<name: string, value: string>>, text string, has_text boolean, blank boolean, n_children int, bindings map<string, string>, "
     "path array<string>, line int, column int, children array<string>, ups array<long>"
 )
+_XSI_TYPE = f"{{{XSI}}}type"
 _STRINGS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 SCHEMA = pa.schema(
     [
@@ -38,51 +43,151 @@ def qname(ns: str, local: str) -> str:
     return f"{{{ns}}}{local}" if ns else local
 
 
-def step(e: Element) -> str:
-    """A step of a path: the name, and ``#`` and the name in xsi:type if any."""
-    t = next((a.value for a in e.attrs if a.ns == XSI and a.local == "type"), None)
-    found = e.resolve(t) if t else None
-    return qname(e.ns, e.local) + (f"#{qname(*found)}" if found and found[1] else "")
+#: Characters of a document whose rows are held until it ends, bytes of a part
+#: of a longer one, and rows of a batch.
+WHOLE, PART, BATCH = 1 << 20, 1 << 16, 5000
+_TOP = {"xml": XML_NS}
+_BLANK = " \t\r\n"
+
+
+class _Shredder:
+    """Parses one document; ``out`` collects the rows of elements that ended."""
+
+    def __init__(self, doc_id: str | None, out: list[tuple] | None):
+        self.doc_id, self.out, self.n = doc_id, out, 0
+        self.open: list[list] = []
+        p = self.p = expat.ParserCreate("utf-8")
+        p.ordered_attributes = p.buffer_text = True
+        p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.EntityDeclHandler = self.start, self.end, self.text, self.entity
+
+    def fail(self, message: str):
+        raise XmlError(message, self.p.CurrentLineNumber, self.p.CurrentColumnNumber + 1)
+
+    def entity(self, *_) -> None:
+        self.fail("an entity declaration")
+
+    def expand(self, q: str, bindings: dict[str, str], attribute: bool) -> str:
+        prefix, colon, local = q.partition(":")
+        if not colon:
+            return q if attribute else qname(bindings.get("", ""), q)
+        if ":" in local or not prefix or not local:
+            self.fail(f"{q} is no qualified name")
+        if prefix not in bindings:
+            self.fail(f"prefix {prefix} is not bound")
+        return f"{{{bindings[prefix]}}}{local}"
+
+    def start(self, name: str, raw: list[str]) -> None:
+        p = self.p
+        if self.open:
+            up = self.open[-1]
+            bindings, depth, sib, parent = up[9], up[2] + 1, len(up[13]), up[0]
+        else:
+            up, bindings, depth, sib, parent = None, _TOP, 0, 0, None
+        attrs: list[dict[str, str]] = []
+        kind = None
+        if raw:
+            pairs = list(zip(raw[::2], raw[1::2]))
+            if any(k.startswith("xmlns") for k in raw[::2]):
+                bindings, pairs = self.bound(pairs, bindings)
+            seen = set()
+            for k, v in pairs:
+                n = self.expand(k, bindings, True) if ":" in k else k
+                if n in seen:
+                    self.fail(f"attribute {k} twice")
+                seen.add(n)
+                attrs.append({"name": n, "value": v})
+                if n == _XSI_TYPE:
+                    kind = v
+        full = self.expand(name, bindings, False) if ":" in name or "" in bindings else name
+        step = full
+        if kind is not None:
+            prefix, colon, local = kind.strip().rpartition(":")
+            ns = bindings.get(prefix, "" if not colon else None)
+            if ns is not None and local:
+                step = f"{full}#{qname(ns, local)}"
+        me = self.n
+        self.n += 1
+        if up is not None:
+            up[13].append(full)
+            path, ups = [*up[10], step], [*up[14], parent]
+        else:
+            path, ups = [step], []
+        self.open.append([me, parent, depth, sib, full, attrs, [], None, None, bindings, path, p.CurrentLineNumber, p.CurrentColumnNumber + 1, [], ups])
+
+    def bound(self, pairs: list[tuple[str, str]], bindings: dict[str, str]) -> tuple[dict[str, str], list[tuple[str, str]]]:
+        """The bindings in scope, and the attributes that declare none."""
+        own, rest = {}, []
+        for k, v in pairs:
+            if k == "xmlns":
+                own[""] = v
+            elif k.startswith("xmlns:"):
+                prefix = k[6:]
+                if not v:
+                    self.fail(f"prefix {prefix} is bound to nothing")
+                if prefix == "xmlns" or (prefix == "xml") != (v == XML_NS):
+                    self.fail(f"prefix {prefix} cannot be bound so")
+                own[prefix] = v
+            else:
+                rest.append((k, v))
+        return ({k: v for k, v in (bindings | own).items() if v} if own else bindings), rest
+
+    def text(self, s: str) -> None:
+        if self.open:
+            self.open[-1][6].append(s)
+
+    def end(self, _: str) -> None:
+        me, parent, depth, sib, name, attrs, texts, _, _, bindings, path, line, column, children, ups = self.open.pop()
+        if self.out is not None:
+            text = "".join(texts)
+            self.out.append((self.doc_id, None, None, me, parent, self.n - 1, depth, sib, name, attrs, text, bool(texts), not text.strip(_BLANK), len(children), list(bindings.items()), path, line, column, children, ups))
+
+
+def _parts(doc_id: str | None, xml: bytes | str, out: list[tuple] | None) -> Iterator[None]:
+    """Parses a document part by part, with its rows in ``out``."""
+    raw = source(xml).encode("utf-8")
+    s = _Shredder(doc_id, out)
+    try:
+        for i in range(0, max(1, len(raw)), PART):
+            s.p.Parse(raw[i : i + PART], i + PART >= len(raw))
+            yield
+    except expat.ExpatError as e:
+        raise XmlError(expat.ErrorString(e.code), e.lineno, e.offset + 1) from None
 
 
-def rows(doc_id: str | None, xml: bytes | str | None) -> list[tuple]:
-    """Node rows of one document; none of a null."""
+def rows(doc_id: str | None, xml: bytes | str | None) -> Iterator[list[tuple]]:
+    """Lists of node rows of one document; none of a null."""
     if xml is None:
-        return []
+        return
+    held: list[tuple] = []
     try:
-        root = read(xml)
+        if len(xml) > WHOLE:
+            for _ in _parts(doc_id, xml, None):
+                pass
+            for _ in _parts(doc_id, xml, held):
+                if len(held) >= BATCH:
+                    yield held.copy()
+                    held.clear()
+        else:
+            for _ in _parts(doc_id, xml, held):
+                pass
     except XmlError as e:
-        return [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, None, None)]
-    out: list[list] = []
-    stack: list[tuple[Element | None, int, int, list[str], int, list[int]]] = [(root, -1, 0, [], 0, [])]
-    while stack:
-        e, parent, depth, path, sib, ups = stack.pop()
-        if e is None:
-            out[parent][5] = len(out) - 1
-            continue
-        me = len(out)
-        texts = [c.data for c in e.children if isinstance(c, Text)]
-        kids = e.elements()
-        text = "".join(texts)
-        here = [*path, step(e)]
-        out.append([doc_id, None, None, me, parent if parent >= 0 else None, me, depth, sib, qname(e.ns, e.local), [{"name": qname(a.ns, a.local), "value": a.value} for a in e.attrs], text, bool(texts), not text.strip(" \t\r\n"), len(kids), list(e.bindings.items()), here, e.line, e.column, [qname(k.ns, k.local) for k in kids], ups])
-        stack.append((None, me, 0, [], 0, []))
-        below = [*ups, me]
-        for k in range(len(kids) - 1, -1, -1):
-            stack.append((kids[k], me, depth + 1, here, k, below))
-    return [tuple(r) for r in out]
+        held = [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, None, None)]
+    except UnicodeEncodeError as e:
+        held = [(doc_id, "xml-wf", f"not a character: {e.reason}", *[None] * 13, 0, 0, None, None)]
+    yield held
 
 
 def _shred(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
     for part in parts:
-        held: list[tuple] = []
         for doc_id, xml in zip(part.column(0).to_pylist(), part.column(1)):
-            held += rows(doc_id, xml.as_py())
-            if len(held) >= 5000:
-                yield _batch(held)
-                held = []
-        if held:
-            yield _batch(held)
+            for some in rows(doc_id, xml.as_py()):
+                held += some
+                if len(held) >= BATCH:
+                    yield _batch(held)
+                    held = []
+    if held:
+        yield _batch(held)
 
 
 def _batch(held: list[tuple]) -> pa.RecordBatch:
@@ -90,8 +195,8 @@ def _batch(held: list[tuple]) -> pa.RecordBatch:
 
 
 def shred(df: DataFrame, doc_id: str, xml: str) -> DataFrame:
-    """The nodes of a text or binary column.  Each document is read once, whole;
-    documents never meet, so no shuffle is needed."""
+    """The nodes of a text or binary column; documents never meet, so no shuffle
+    is needed."""
     return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(xml).alias("xml")).mapInArrow(_shred, NODES)
 
 

@@ -94,11 +94,15 @@ def decode(data: bytes) -> str:
     return text
 
 
+def source(data: bytes | str) -> str:
+    """The text to parse: decoded, and without what a declaration says of bytes."""
+    text = decode(data) if isinstance(data, bytes) else data.removeprefix("﻿")
+    return re.sub(r"^(<\?xml[^>]*?)\s+encoding\s*=\s*(\"[^\"]*\"|'[^']*')", r"\1", text)
+
+
 def read(data: bytes | str) -> Element:
     """The root of a document, or XmlError."""
-    text = decode(data) if isinstance(data, bytes) else data.removeprefix("﻿")
-    # the reader gets text, so what a declaration says of bytes is no longer true
-    text = re.sub(r"^(<\?xml[^>]*?)\s+encoding\s*=\s*(\"[^\"]*\"|'[^']*')", r"\1", text)
+    text = source(data)
     p = expat.ParserCreate("utf-8")
     p.ordered_attributes = True
     p.buffer_text = False
