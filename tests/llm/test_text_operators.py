@@ -211,6 +211,16 @@ def test_views_and_their_combination_rank_labels_they_never_saw(spark):
     assert text >= 0.95 and both >= 0.95 and meta >= 0.4
 
 
+def test_many_values_are_joined_in_parts_with_the_same_result(spark, monkeypatch):
+    rows = [(i, f"some words {i % 7} of a text", None if i % 11 == 0 else "en", f"s{i % 9}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 9 != 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    few = {r.doc_id: r.meta_prob for r in CoTraining()(df, labels).collect()}
+    monkeypatch.setattr(cotraining, "BROADCAST_VALUES", 0)
+    many = {r.doc_id: r.meta_prob for r in CoTraining()(df, labels).collect()}
+    assert len(many) == 400 and all(abs(few[i] - many[i]) < 1e-9 for i in few)
+
+
 def test_words_decide_where_texts_look_alike(spark):
     rng = np.random.default_rng(4)
     good, bad, plain = ([f"{c}{i:03d}" for i in range(60)] for c in "gbp")

@@ -42,6 +42,9 @@ VALUES, PRIOR = ("l", "s", "p"), 4.0
 WORDS, WORD_PRIOR = 1 << 16, 2.0
 #: Values that a partition sums before it passes them on.
 HELD = 50_000
+#: Values up to this number are broadcast (some 100 bytes each); beyond it, rows
+#: of one value are spread over so many parts of the join.
+BROADCAST_VALUES, PARTS = 100_000, 64
 
 
 def text_bins(text: str | None) -> bytes:
@@ -272,9 +275,16 @@ class CoTraining:
         """Rows with ``o``, the log-odds of their values; 0 for one never learned."""
         odds = F.lit(0.0)
         if values is not None:
+            few = values.count() <= BROADCAST_VALUES
             for i, c in enumerate(VALUES):
                 one = values.where(F.col("view") == 3 + i).select(F.col("value").alias(f"_{c}"), F.col("odds").alias(f"_o{c}"))
-                rows = rows.join(one, rows[c].eqNullSafe(one[f"_{c}"]), "left")
+                same = rows[c].eqNullSafe(one[f"_{c}"])
+                if few:
+                    rows = rows.join(F.broadcast(one), same, "left")
+                else:
+                    spread = rows.withColumn(f"_p{c}", F.pmod(F.xxhash64("w", "t", F.lit(i)), F.lit(PARTS)))
+                    every = one.withColumn(f"_q{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+                    rows = spread.join(every, spread[c].eqNullSafe(every[f"_{c}"]) & (spread[f"_p{c}"] == every[f"_q{c}"]), "left")
                 odds = odds + F.coalesce(f"_o{c}", F.lit(0.0))
         return rows.withColumn("o", odds)
 
@@ -293,7 +303,8 @@ class CoTraining:
         # odds of the value over those of all rows, both classes with a share of the prior
         n = total[1].reshape(2, -1).sum(axis=1) + 1
         of = lambda c: F.sum(F.when(F.col("at") == c, F.col("w")).otherwise(0.0)) + float(PRIOR * n[c] / n.sum())
-        return learned, counts.where("view > 2").groupBy("view", "value").agg((F.log(of(1)) - F.log(of(0)) - float(np.log(n[1] / n[0]))).alias("odds"))
+        values = counts.where("view > 2").groupBy("view", "value").agg((F.log(of(1)) - F.log(of(0)) - float(np.log(n[1] / n[0]))).alias("odds"))
+        return learned, stages.put(values, "values")
 
     def _calibrate(self, rows: DataFrame, views: tuple[View, View]) -> tuple[list[tuple[float, float]], float]:
         step = 0.25
