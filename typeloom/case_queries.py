@@ -26,6 +26,8 @@ from .plans.model import Attribute, ComplexType, ElementDecl, Group, Particle, S
 from .plans.namespaces import ANY, NamespaceConstraint, Occurs, Wildcard, complement as outside, difference as less, intersect, parse, subset, union
 from .plans.xsd import chain, compile_schema, compile_text, memory
 from .sources import reports
+from .sources.ber_nodes import shred_ber
+from .sources.json_nodes import shred_json
 from .sources.structs import encode, native, schema_to_struct
 from .sources.xml_nodes import shred
 from .sources.xml_reader import XmlError, decode, read
@@ -691,6 +693,10 @@ def _assessed(spark: SparkSession, text: str, documents: dict, rule: str | None
     made = Assessment(compile_text(text)).assess(shred(docs, "doc_id", "xml"))
     if rule:
         made = made.where(F.col("rule") == rule)
+    return _found(docs, made)
+
+
+def _found(docs: DataFrame, made: DataFrame) -> DataFrame:
     found = made.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "rule", "clause"))), ", ").alias("found"))
     return docs.select(F.col("doc_id").alias("name")).join(found, F.col("name") == F.col("doc_id"), "left").select("name", F.coalesce("found", F.lit("")).alias("found"))
 
@@ -700,6 +706,61 @@ def assess_cases(spark, sf):
     return _assessed(spark, ORDER, DOCUMENTS)
 
 
+JSON = {
+    "good": ('{"id": "a", "line": [{"n": 1, "part": 5, "price": 1.50}, {"n": 2, "part": 5, "price": 1e0}]}', ["cvc-type 3.1.3"]),
+    "digits as written": ('{"id": "a", "line": {"n": 1, "part": 5, "price": 1.500}}', []),
+    "too many digits": ('{"id": "a", "line": {"n": 1, "part": 5, "price": 1.505}}', ["cvc-type 3.1.3"]),
+    "one line without an array": ('{"id": "a", "line": {"n": 1, "part": 5, "price": 1}}', []),
+    "a derived type": ('{"id": "a", "line": {"$type": "giftT", "n": 1, "part": 5, "price": 1, "note": "x"}}', []),
+    "an unrelated type": ('{"id": "a", "line": {"$type": "money", "n": 1, "part": 5, "price": 1}}', ["cvc-elt 4"]),
+    "an attribute missing": ('{"id": "a", "line": {"part": 5, "price": 1}}', ["cvc-complex-type 3"]),
+    "a member nobody knows": ('{"id": "a", "line": {"n": 1, "part": 5, "price": 1}, "zz": {"part": "x"}}', ["cvc-complex-content reject"]),
+    "nilled": ('{"id": "a", "line": {"n": 1, "part": 5, "price": 1}, "status": null}', []),
+    "nilled where it may not": ('{"id": null, "line": {"n": 1, "part": 5, "price": 1}}', ["cvc-elt 3.1", "cvc-type 3.1.3"]),
+    "a dangling reference": ('{"id": "a", "see": "b", "line": {"n": 1, "part": 5, "price": 1}}', ["cvc-id 1"]),
+    "no JSON": ('{"id": ', ["json-wf "]),
+    "no object": ("[1]", ["json-wf "]),
+}
+
+
+@cases("name string, found string", [(k, ", ".join(v[1])) for k, v in JSON.items()])
+def json_cases(spark, sf):
+    s = compile_text(ORDER)
+    docs = by_case(spark, [(k, v[0]) for k, v in JSON.items()], "doc_id string, text string")
+    return _found(docs, Assessment(s).assess(shred_json(docs, "doc_id", "text", s, ("", "order"))))
+
+
+def _tlv(tag: int, contents: bytes) -> bytes:
+    n = len(contents)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + contents
+
+
+_ID, _BAD_ID = _tlv(0x0C, b"a"), _tlv(0x0C, b"\xff")
+_PART = _tlv(0x30, _tlv(0x02, b"\x05") + _tlv(0x81, b"7.50"))
+_LONG = _tlv(0x30, _tlv(0x02, b"\x05") + _tlv(0x81, b"0" * 300 + b"1"))
+TAGS = {"": {(0, 16): ("order", "none")}, "order": {(0, 12): ("id", "text"), (0, 16): ("line", "none")}, "line": {(0, 2): ("part", "integer"), (2, 1): ("price", "text")}}
+TLV = schema("<xs:element name='order'><xs:complexType><xs:sequence><xs:element name='id' type='xs:ID'/><xs:element name='line' maxOccurs='9'><xs:complexType><xs:sequence><xs:element name='part' type='xs:positiveInteger'/><xs:element name='price' type='xs:decimal'/></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element>")
+BER = {
+    "good": (_tlv(0x30, _ID + _PART + _PART), []),
+    "a long length": (_tlv(0x30, _ID + _LONG), []),
+    "lengths left open": (b"\x30\x80" + _ID + b"\x30\x80" + _tlv(0x02, b"\x05") + _tlv(0x81, b"1") + b"\0\0" + b"\0\0", []),
+    "a negative number": (_tlv(0x30, _ID + _tlv(0x30, _tlv(0x02, b"\xfb") + _tlv(0x81, b"1"))), ["cvc-type 3.1.3"]),
+    "a tag nobody knows": (_tlv(0x30, _ID + _PART + _tlv(0x9F, b"")), ["ber-wf "]),
+    "another tag nobody knows": (_tlv(0x30, _ID + _PART + _tlv(0x85, b"x")), ["cvc-complex-content reject"]),
+    "too short": (_tlv(0x30, _ID), ["cvc-complex-content short"]),
+    "cut off": (_tlv(0x30, _ID + _PART)[:-1], ["ber-wf "]),
+    "no UTF-8": (_tlv(0x30, _BAD_ID + _PART), ["ber-wf "]),
+    "two values": (_tlv(0x30, _ID + _PART) * 2, ["ber-wf "]),
+    "nothing": (b"", ["ber-wf "]),
+}
+
+
+@cases("name string, found string", [(k, ", ".join(v[1])) for k, v in BER.items()])
+def ber_cases(spark, sf):
+    docs = by_case(spark, [(k, v[0]) for k, v in BER.items()], "doc_id string, data binary")
+    return _found(docs, Assessment(compile_text(TLV)).assess(shred_ber(docs, "doc_id", "data", TAGS)))
+
+
 KEYS = f"""<xs:schema {XS}>
 <xs:element name="shop"><xs:complexType><xs:sequence><xs:element ref="box" minOccurs="0" maxOccurs="9"/><xs:element name="use" minOccurs="0" maxOccurs="9"><xs:complexType><xs:attribute name="k" type="xs:integer"/></xs:complexType></xs:element></xs:sequence></xs:complexType>
 <xs:keyref name="uses" refer="items"><xs:selector xpath="use"/><xs:field xpath="@k"/></xs:keyref></xs:element>

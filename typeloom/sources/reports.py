@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The rules that the specifications name, by family, and two of the engine's own.
+#: The rules that the specifications name, by family, and four of the engine's own.
 FAMILIES = {
     "cos": ("cos-", "all-limited applicable-facets assertions-restriction aw-intersect aw-union choice-range content-act-restrict ct-derived-ok ct-extends element-consistent equiv-class equiv-derived-ok-rec group-emptiable nonambig ns-subset particle-extend pattern-restriction seq-range st-derived-ok st-restricts valid-default valid-simple-default ct-extends.1.2"),
     "cvc": ("cvc-", "type elt attribute au complex-type complex-content simple-type datatype-valid facet-valid pattern-valid enumeration-valid length-valid minLength-valid maxLength-valid totalDigits-valid fractionDigits-valid minInclusive-valid minExclusive-valid maxInclusive-valid maxExclusive-valid minScale-valid maxScale-valid explicitTimezone-valid assertions-valid assertion id identity-constraint assess-elt assess-attr attdecl resolve-instance model-group mg mgrp particle p wildcard wildcard-name wildcard-namespace w notation annotation agd accept ta xpath"),
@@ -14,7 +14,7 @@ FAMILIES = {
     "err": ("err:", " ".join(f"{k}{n:04d}" for k, ns in {"FOAR": (1, 2), "FOCA": (1, 2, 3, 5, 6), "FOCH": (1, 2, 3, 4), "FODC": (1, 2, 3, 4, 5), "FODT": (1, 2, 3), "FOER": (0,), "FONS": (4, 5), "FORG": (1, 2, 3, 4, 5, 6, 8, 9), "FORX": (1, 2, 3, 4), "FOTY": (12,), "XPDY": (2, 21, 50), "XPST": (1, 3, 5, 8, 10, 17, 51, 80, 81, 83), "XPTY": (4, 6, 7, 18, 19, 20)}.items() for n in ns)),
     "props": ("", " ".join(f"{x}-props-correct" for x in "a ag an as au c ct e mg mgd n p sch st ta w".split())),
     "restriction": ("", "derivation-ok-restriction f-ms-fixed f-mns-fixed fractionDigits-totalDigits length-minLength-maxLength minLength-less-than-equal-to-maxLength minScale-totalDigits " + " ".join(f"{x}-valid-restriction" for x in "length minLength maxLength whiteSpace timezone totalDigits fractionDigits maxInclusive maxExclusive minInclusive minExclusive enumeration maxScale minScale".split())),
-    "own": ("", "xml-wf component-invariant"),
+    "own": ("", "xml-wf json-wf ber-wf component-invariant"),
 }
 RULES = tuple((prefix + r, family) for family, (prefix, rs) in FAMILIES.items() for r in rs.split())
 
