@@ -48,6 +48,44 @@ _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTO
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _MIT_NOTICE = ", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_WTFPL = """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO.
+"""
+_POSTGRES = """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.
+"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+
 #: Known texts: full licences, and the notices by which a text states one.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", f"{_MIT}{_MIT_NOTICE}{_NO_WARRANTY}"),
@@ -57,7 +95,20 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT-0", f"{_MIT}.\n{_NO_WARRANTY}"),
     ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
     ("ISC", f"ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
+    ("ISC", f"The ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
     ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n{_ISC_WARRANTY}"),
+    ("Unlicense", f"{_UNLICENSE}{_NO_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")}\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", f"{_UNLICENSE}{_NO_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")}\nFor more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", f"{_UNLICENSE}{_NO_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")}\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BOOST}"),
+    ("BSL-1.0", _BOOST),
+    ("WTFPL", _WTFPL),
+    ("PostgreSQL", _POSTGRES),
+    ("Zlib", _ZLIB),
+    *((name, head + re.sub(r"(?m)^\d\. ", "", text)) for name, title, text in (("BSD-2-Clause", "BSD 2-Clause License", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL)) for head in ("", f"{title}\n")),
+    ("BSD-1-Clause", _BSD_HEAD.split("2. ")[0] + _BSD_TAIL),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n{_BSD_HEAD}{_BSD_TAIL}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_HEAD}{_BSD_THIRD}{_BSD_TAIL}"),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n0. You just DO WHAT THE FUCK YOU WANT TO."),
@@ -94,8 +145,24 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
-#: Canonical digests of long licences' whole texts, as Debian's common-licenses has them.
+#: Canonical digests of licences' whole texts, in the editions that Debian's
+#: common-licenses and widely used packages have.
 LONG: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"),
+    ("Apache-2.0", "67e6c9864a42fc797b7f0244a9e5402dbe5d51fd1cbfdbca4f454f8892ab077d"),
+    ("GPL-2.0", "1621e400aa6be39582d73898054280049e17414147ae0bbba9563b426f94577e"),
+    ("GPL-2.0", "806702cdd9c33f157bb64cf46d06b43e3ba38f7979a19a563d9535d19c27924e"),
+    ("GPL-3.0", "6444fc2614d3d188bc0a64e89e8ce6b840d9ef15929ca3943c91f6af5346f03b"),
+    ("LGPL-2.1", "7f56c71494f424a7ce04a66ea6e30a0dafdcec3c782c06dccabf05772c7d8275"),
+    ("GCC-exception-3.1", "9bce034e324d85802308158ead50159b25a080055c75973cdd78a4b8eabfa8d4"),
+    ("Python-2.0", "8295946602d6bebee344262714363fd035c5c857480438c14f2d11126b59034f"),
+    ("Python-2.0", "967d2e5a6fb0ce1c1d4bf18d1f754988ae765021c24c09300c926217df9022d7"),
+    ("Python-2.0", "40b9af19d3437c4c2f45f06eb67193a4aaca7561d9b16269c66b0b33f8330e2e"),
+    ("Zlib", "6087666ecef05cb7086906a468d339490c705f20cff5af1280c59887859b2339"),
+    ("Zlib", "99618428d879198d4ae824db7ad07a9d0f9214f15429de52839cbe667713f21a"),
+    ("MIT", "a2edba2708402cc1fa3e9fbe9f62edffd8cbd25d00bd7575f20a6e04a1023d5f"),
+    ("HPND-sell-variant", "a0f5f1f2c33f763fef6dc430fe13839eeca010c8a225aa6e4f062d1264a3892a"),
+    ("0BSD", "25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c"),
     ("Apache-2.0", "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37"),
     ("GPL-1.0", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
     ("GPL-2.0", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
