@@ -80,8 +80,8 @@ def test_a_template_does_not_bring_all_pairs_together(spark, monkeypatch):
         counts["met"] += met.select(*(["id", "pid"])).distinct().count()
         put = stages.put
 
-        def seen(df, label):
-            out = put(df, label)
+        def seen(df, label, large=True):
+            out = put(df, label, large)
             counts["compared"] += out.count() if label == "possible" else 0
             return out
 

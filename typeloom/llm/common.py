@@ -68,11 +68,13 @@ class Stages:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{label}"
 
-    def put(self, df: DataFrame, label: str) -> DataFrame:
+    def put(self, df: DataFrame, label: str, large: bool = True) -> DataFrame:
+        """Writes and rereads; after a ``large`` plan its shuffle files may go."""
         path, schema = self.path(label), df.schema
         df.write.option("compression", "zstd").parquet(path)
         del df
-        release()
+        if large:
+            release()
         out = self.spark.read.schema(schema).parquet(path)
         out._stage_path = path
         return out

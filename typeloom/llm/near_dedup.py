@@ -224,10 +224,10 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
         h = F.xxhash64("u", "v")
         return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
-    e = stages.put(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    e = stages.put(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "edges", large=False)
     seen = print_of(e)
     while True:
-        after = stages.put(star(star(e, True), False), "stars")
+        after = stages.put(star(star(e, True), False), "stars", large=False)
         now = print_of(after)
         stages.drop(e)
         e = after
@@ -321,7 +321,7 @@ class NearDuplicates:
             if act.isEmpty():
                 return links
             order = Window.partitionBy("key").orderBy("n", "id")
-            lead = stages.put(act.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r"), "pivots")
+            lead = stages.put(act.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r"), "pivots", large=False)
             lead = lead.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("label").alias("pl"))
             # the first common shingle's place bounds what can still be common
             room = F.least(F.col("n") - F.col("p"), F.col("pn") - F.col("pp"))
@@ -339,7 +339,7 @@ class NearDuplicates:
 
     @staticmethod
     def _labels(links: DataFrame, stages: Stages) -> DataFrame:
-        return stages.put(components(links, stages), "labels").withColumnRenamed("v", "id")
+        return stages.put(components(links, stages), "labels", large=False).withColumnRenamed("v", "id")
 
     def _all_sets(self, docs: DataFrame, need: DataFrame, stages: Stages) -> DataFrame:
         """``(id, h, s)``: histogram and shingles of the needed classes."""
@@ -370,8 +370,8 @@ class NearDuplicates:
         num, den = self.threshold
         counted = sets.select("s").mapInArrow(_bin_counts(pa.schema([("b", pa.int64()), ("c", pa.int64())])), "b long, c long")
         counts = np.zeros(ORDER_BINS, np.int64)
-        for b, c in counted.groupBy("b").agg(F.sum("c")).collect():  # at most ORDER_BINS rows
-            counts[b] = c
+        found = counted.groupBy("b").agg(F.sum("c").alias("c")).toArrow()  # at most ORDER_BINS rows
+        counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
         arrow = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
         rows = stages.put(sets.mapInArrow(_prefixes(counts, num, den, arrow), "key long, id long, n int, p int"), "prefixes")
         # of buckets with the same members the one with the first places bounds best
