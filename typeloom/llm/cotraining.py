@@ -259,8 +259,9 @@ class CoTraining:
         known = labels.where(F.col(label).isin(0, 1) & F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("k")).agg(F.min(label).cast("int").alias("y"))
         fold = F.crc32(F.col("k").cast("string").cast("binary")) % 5
         # held-out rows must not be pseudo-labelled either: they get no part in learning
-        # features are written once, with the labels beside them
-        joined = stages.put(rows.join(known, "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "features")
+        # features are written once, with the labels beside them; labels grow with
+        # the table, so they are never broadcast
+        joined = stages.put(rows.join(known.hint("merge"), "k", "left").withColumn("fold", F.when(F.col("y").isNotNull(), fold)), "features")
         learn = joined.where("fold is null or fold >= 2")
         views, values, scale, prior = None, None, [], 0.0
         for _ in range(1 + self.rounds):
