@@ -37,13 +37,18 @@ def violations(df: DataFrame, clause: str, *columns: str) -> DataFrame:
 
 def duplicates(df: DataFrame, fields: Sequence[str], order: Sequence[str], types: Sequence[SimpleType] | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Rows whose complete key an earlier row of the scope has (unique, 4.1; for
-    keys 4.2.2).  Rows with a missing field are no members."""
+    keys 4.2.2).  Rows with a missing field are no members.  The first row of a
+    key is its least by ``order``; of rows that tie for it one, whichever, counts
+    as first.  A key's rows are never brought together, but for such ties."""
     names = [f"_k{i}" for i in range(len(fields))]
-    keyed = df.select("*", *_keys(df, fields, types))
-    # only keys that repeat are sorted; a null equals nothing in the join
-    again = keyed.groupBy(*scope, *names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    place = Window.partitionBy(*scope, *names).orderBy(*order)
-    return keyed.join(again, [*scope, *names], "left_semi").withColumn("_r", F.row_number().over(place)).where("_r > 1").drop("_r", *names)
+    at = [*scope, *names]
+    keyed = df.select("*", *_keys(df, fields, types)).withColumn("_o", F.struct(*order))
+    # combined before the shuffle; a null equals nothing in the join
+    again = keyed.groupBy(*at).agg(F.min("_o").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    met = keyed.join(again, at)
+    later = met.where("_o > _first")
+    ties = met.where("_o <=> _first").withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy("_o"))).where("_r > 1").drop("_r")
+    return later.unionByName(ties).drop("_o", "_first", *names)
 
 
 def incomplete(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType] | None = None) -> DataFrame:
