@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         ns, _, local = args.element.rpartition("}")
         print(schema_to_struct(schema, (ns.lstrip("{"), local)).json())
         return 0
-    from .operators.assess import Assessment
+    from .operators.assess import Assessment, in_document_order
     from .sources.reports import rendered
     from .sources.xml_nodes import shred_files
 
@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.out:
         found.write.mode("overwrite").parquet(args.out)
         return 0
-    lines = found.select(rendered(F.col("doc_id"), F.col("line"), F.col("column"), F.col("rule"), F.concat_ws(" ", "clause", "cause")).alias("text"))
+    lines = in_document_order(found).select(rendered(F.col("doc_id"), F.col("line"), F.col("column"), F.col("rule"), F.concat_ws(" ", "clause", "cause")).alias("text"))
     bad = 0
     for r in lines.toLocalIterator():
         bad = 1

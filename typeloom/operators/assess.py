@@ -425,5 +425,11 @@ class Assessment:
         return found.select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", "clause", F.col("value").alias("cause"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"))
 
 
+def in_document_order(found: DataFrame) -> DataFrame:
+    """Violations document by document, in the order of their nodes; what has no
+    node, as of references in the whole document, comes last."""
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", F.col("node_id").asc_nulls_last(), "rule", "clause", "cause")
+
+
 def builtin(name: str) -> SimpleType:
     return BUILTINS[name]

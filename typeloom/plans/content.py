@@ -61,11 +61,12 @@ class Automaton:
     def fold(self, children: Column) -> Column:
         """``STRUCT<state, reject>`` over an array of names: the state reached,
         and the index of the first child not admitted, or -1."""
-        table = [(f"{s}|{n}", t) for s, m in enumerate(self.moves) for n, (t, _) in m.items()]
-        known = F.create_map(*[F.lit(x) for kv in table for x in kv]) if table else F.expr("cast(map() as map<string, int>)")
+        # by state, so that a step searches the names of one state only
+        none = F.expr("cast(map() as map<string, int>)")
+        known = F.array(*[F.create_map(*[F.lit(x) for n, (t, _) in m.items() for x in (n, t)]) if m else none for m in self.moves])
 
         def next_state(acc: Column, x: Column) -> Column:
-            to = F.try_element_at(known, F.concat(acc["state"].cast("string"), F.lit("|"), x))
+            to = F.try_element_at(F.get(known, acc["state"]), x)
             for s, ws in enumerate(self.others):
                 for w, t, _ in ws:
                     ns = F.when(x.startswith("{"), F.regexp_extract(x, r"^\{(.*)\}", 1)).otherwise("")
