@@ -237,6 +237,40 @@ def schema_value_constraints(spark, sf):
     return by_case(spark, [(n, broken(b)) for n, b, _ in VALUES], "name string, rule string")
 
 
+GRAMMAR = [
+    ("annotations everywhere", "<xs:annotation><xs:documentation>x<b/></xs:documentation></xs:annotation><xs:element name='a'><xs:annotation/><xs:complexType><xs:annotation/><xs:sequence><xs:annotation/></xs:sequence></xs:complexType></xs:element><xs:annotation/>", None),
+    ("two annotations in one", "<xs:element name='a'><xs:annotation/><xs:annotation/></xs:element>", 1),
+    ("an include after an element", "<xs:element name='a'/><xs:include schemaLocation='lib.xsd'/>", 1),
+    ("attributes before the model", MODEL("<xs:attribute name='p'/><xs:sequence/>"), 1),
+    ("two models", MODEL("<xs:sequence/><xs:choice/>"), 1),
+    ("a model beside simple content", MODEL("<xs:simpleContent><xs:extension base='xs:int'/></xs:simpleContent><xs:sequence/>"), 1),
+    ("an attribute after the wildcard", MODEL("<xs:anyAttribute/><xs:attribute name='p'/>"), 1),
+    ("a type of two kinds", "<xs:element name='a'><xs:simpleType><xs:list itemType='xs:int'/></xs:simpleType><xs:complexType/></xs:element>", 1),
+    ("a key before its type", "<xs:element name='a'><xs:key name='k'><xs:selector xpath='b'/><xs:field xpath='.'/></xs:key><xs:complexType/></xs:element>", 1),
+    ("a field before the selector", "<xs:element name='a'><xs:key name='k'><xs:field xpath='.'/><xs:selector xpath='b'/></xs:key></xs:element>", 1),
+    ("a key without a field", "<xs:element name='a'><xs:key name='k'><xs:selector xpath='b'/></xs:key></xs:element>", 1),
+    ("a simple type of nothing", "<xs:simpleType name='s'/>", 1),
+    ("a facet in a list", SIMPLE("<xs:list itemType='xs:int'><xs:maxLength value='1'/></xs:list>"), 1),
+    ("an element of no schema", "<xs:elemental name='a'/>", 1),
+    ("an element of another namespace", "<o:element xmlns:o='urn:o' name='a'/>", 1),
+    ("an element in an attribute", MODEL("<xs:attribute name='p'><xs:element name='a'/></xs:attribute>"), 1),
+]
+
+
+def _fault(body: str) -> int:
+    """1 for a fault of the grammar, which has no rule."""
+    try:
+        compile_text(schema(body), **FILES)
+    except SchemaError as e:
+        return 1 if e.rule == "" else 2
+    return 0
+
+
+@cases("name string, fault long", [(n, w or 0) for n, _, w in GRAMMAR])
+def schema_grammar(spark, sf):
+    return by_case(spark, [(n, _fault(b)) for n, b, _ in GRAMMAR], "name string, fault long")
+
+
 # composition ------------------------------------------------------------------
 
 LIB = schema("<xs:simpleType name='code'><xs:restriction base='xs:string'><xs:maxLength value='3'/></xs:restriction></xs:simpleType><xs:element name='e' type='code'/>")

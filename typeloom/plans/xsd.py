@@ -17,6 +17,7 @@ from ..functions.patterns import PatternError, translate
 from ..functions.types import ANY_SIMPLE, APPLICABLE, KINDS, XSD, Facet, SimpleType
 from ..functions.values import order_of, white_text
 from ..sources.xml_reader import Element, XmlError, read
+from .grammar import gate
 from .model import ANY_TYPE, Alternative, Attribute, ComplexType, Constraint, ElementDecl, Group, Particle, QName, Schema, SchemaError, XPath
 from .namespaces import Occurs, Wildcard, intersect, subset, union
 from .namespaces import parse as parse_namespace
@@ -98,6 +99,7 @@ class Compiler:
         if own == "":
             raise SchemaError("", f"{at}: an empty targetNamespace", (at, top.line, top.column))
         doc = Document(at, top, own if own is not None else "")
+        gate(top, lambda message, e: SchemaError("", message, doc.where(e)))
         if namespace is not None:
             if own is None and chameleon and namespace:
                 doc.namespace, doc.chameleon = namespace, True
