@@ -324,8 +324,10 @@ class BpeCodec:
     """Encodes and decodes every text of a table.
 
     Defined results: null and empty texts have no tokens; special tokens written
-    in a text are those tokens; repeated rows get equal results; an empty table
-    gives an empty result.  Only key and text are read.
+    in a text are those tokens; of merges of equal rank the leftmost comes first;
+    very long texts and words are encoded whole, words beyond the array form's
+    length one at a time; repeated rows get equal results; an empty table gives an
+    empty result.  Only key and text are read.
     """
 
     def __init__(self, key: str = "doc_id", text: str = "text", *, path: str | None = None):
