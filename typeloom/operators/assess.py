@@ -191,7 +191,7 @@ class Assessment:
         violation, documents that are not well-formed included.  ``observed``
         gets their number, in all and by family of rules, when the result runs."""
         # read by every rule: typed once, in the pass that reads the documents
-        every = stage(self.with_content(self.typed(nodes)), "typed")
+        every = stage(self.with_content(self.typed(nodes)).drop("children", "message"), "typed")
         typed = every.where("rule is null")
         # only types that occur get an expression: at most as many rows as types
         self.present = {r[0] for r in typed.select("type").distinct().collect()}
