@@ -66,13 +66,17 @@ def schema_to_struct(schema: Schema, element: tuple[str, str]) -> T.StructType:
 
 def flat_rows(nodes: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """One row per element of a name: text of its children and values of its
-    attributes (``@name``), by one aggregation inside each document."""
+    attributes (``@name``).  Nodes that have ``fields`` hold all of it in one row;
+    others need an aggregation inside each document."""
     kids = [c for c in columns if not c.startswith("@")]
     mine = nodes.where(F.col("name") == name)
     attr = lambda c: F.get(F.transform(F.filter("attrs", lambda a: a["name"] == c[1:]), lambda a: a["value"]), 0)
     own = mine.select("doc_id", "node_id", *[attr(c).alias(c[1:]) for c in columns if c.startswith("@")])
     if not kids:
         return own
+    if "fields" in nodes.columns:
+        least = lambda c: F.array_min(F.transform(F.filter("fields", lambda f: f["name"] == c), lambda f: f["text"]))
+        return mine.select("doc_id", "node_id", *[attr(c).alias(c[1:]) for c in columns if c.startswith("@")], *[least(c).alias(c) for c in kids])
     per = nodes.where(F.col("name").isin(*kids)).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(*[F.min(F.when(F.col("name") == c, F.col("text"))).alias(c) for c in kids])
     return own.join(per, ["doc_id", "node_id"], "left")
 

@@ -9,17 +9,23 @@ one row with rule ``xml-wf``.  A node carries the names on its path with their
 names of its children, so that content models need none either.  ``ups`` are the
 numbers of its ancestors from the root down, so that what lies below a node is
 found by an equal number, not by a range.
+
+Plain documents are shredded many at a time (``xml_plain``), all others by the
+parser; who reads the nodes says which columns are made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from .xml_plain import shred_plain, text_bytes
 from .xml_reader import XML_NS, XSI, XmlError, source
 
 NODES = (
@@ -36,6 +42,12 @@ SCHEMA = pa.schema(
         ("path", pa.list_(pa.string())), ("line", pa.int32()), ("column", pa.int32()), ("children", pa.list_(pa.string())), ("ups", pa.list_(pa.int64())),
     ]
 )
+#: Columns that are made only where they are asked for: the numbers and places of
+#: an element's children, and their names and texts.
+MORE = pa.schema([("kids", pa.list_(pa.struct([("node_id", pa.int64()), ("line", pa.int32()), ("column", pa.int32())]))), ("fields", pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())])))])
+#: Every column, and its place in a row.
+_ALL = pa.schema([*SCHEMA, *MORE])
+_AT = {n: i for i, n in enumerate(_ALL.names)}
 
 
 def qname(ns: str, local: str) -> str:
@@ -53,8 +65,8 @@ _BLANK = " \t\r\n"
 class _Shredder:
     """Parses one document; ``out`` collects the rows of elements that ended."""
 
-    def __init__(self, doc_id: str | None, out: list[tuple] | None):
-        self.doc_id, self.out, self.n = doc_id, out, 0
+    def __init__(self, doc_id: str | None, out: list[tuple] | None, more: bool = False):
+        self.doc_id, self.out, self.more, self.n = doc_id, out, more, 0
         self.open: list[list] = []
         p = self.p = expat.ParserCreate("utf-8")
         p.ordered_attributes = p.buffer_text = True
@@ -112,7 +124,7 @@ class _Shredder:
             path, ups = [*up[10], step], [*up[14], parent]
         else:
             path, ups = [step], []
-        self.open.append([me, parent, depth, sib, full, attrs, [], None, None, bindings, path, p.CurrentLineNumber, p.CurrentColumnNumber + 1, [], ups])
+        self.open.append([me, parent, depth, sib, full, attrs, [], [], [], bindings, path, p.CurrentLineNumber, p.CurrentColumnNumber + 1, [], ups])
 
     def bound(self, pairs: list[tuple[str, str]], bindings: dict[str, str]) -> tuple[dict[str, str], list[tuple[str, str]]]:
         """The bindings in scope, and the attributes that declare none."""
@@ -136,16 +148,20 @@ class _Shredder:
             self.open[-1][6].append(s)
 
     def end(self, _: str) -> None:
-        me, parent, depth, sib, name, attrs, texts, _, _, bindings, path, line, column, children, ups = self.open.pop()
+        me, parent, depth, sib, name, attrs, texts, kids, fields, bindings, path, line, column, children, ups = self.open.pop()
         if self.out is not None:
             text = "".join(texts)
-            self.out.append((self.doc_id, None, None, me, parent, self.n - 1, depth, sib, name, attrs, text, bool(texts), not text.strip(_BLANK), len(children), list(bindings.items()), path, line, column, children, ups))
+            row = (self.doc_id, None, None, me, parent, self.n - 1, depth, sib, name, attrs, text, bool(texts), not text.strip(_BLANK), len(children), list(bindings.items()), path, line, column, children, ups)
+            self.out.append((*row, kids, fields) if self.more else row)
+            if self.more and self.open:
+                self.open[-1][7].append({"node_id": me, "line": line, "column": column})
+                self.open[-1][8].append({"name": name, "text": text})
 
 
-def _parts(doc_id: str | None, xml: bytes | str, out: list[tuple] | None) -> Iterator[None]:
+def _parts(doc_id: str | None, xml: bytes | str, out: list[tuple] | None, more: bool) -> Iterator[None]:
     """Parses a document part by part, with its rows in ``out``."""
     raw = source(xml).encode("utf-8")
-    s = _Shredder(doc_id, out)
+    s = _Shredder(doc_id, out, more)
     try:
         for i in range(0, max(1, len(raw)), PART):
             s.p.Parse(raw[i : i + PART], i + PART >= len(raw))
@@ -154,50 +170,75 @@ def _parts(doc_id: str | None, xml: bytes | str, out: list[tuple] | None) -> Ite
         raise XmlError(expat.ErrorString(e.code), e.lineno, e.offset + 1) from None
 
 
-def rows(doc_id: str | None, xml: bytes | str | None) -> Iterator[list[tuple]]:
-    """Lists of node rows of one document; none of a null."""
+def rows(doc_id: str | None, xml: bytes | str | None, more: bool = False) -> Iterator[list[tuple]]:
+    """Lists of node rows of one document; none of a null.  With ``more`` they have
+    the columns of ``MORE`` too."""
     if xml is None:
         return
     held: list[tuple] = []
     try:
         if len(xml) > WHOLE:
-            for _ in _parts(doc_id, xml, None):
+            for _ in _parts(doc_id, xml, None, False):
                 pass
-            for _ in _parts(doc_id, xml, held):
+            for _ in _parts(doc_id, xml, held, more):
                 if len(held) >= BATCH:
                     yield held.copy()
                     held.clear()
         else:
-            for _ in _parts(doc_id, xml, held):
+            for _ in _parts(doc_id, xml, held, more):
                 pass
     except XmlError as e:
-        held = [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, None, None)]
+        held = [(doc_id, "xml-wf", e.message, *[None] * 13, e.line, e.column, *[None] * 4)]
     except UnicodeEncodeError as e:
-        held = [(doc_id, "xml-wf", f"not a character: {e.reason}", *[None] * 13, 0, 0, None, None)]
-    yield held
+        held = [(doc_id, "xml-wf", f"not a character: {e.reason}", *[None] * 13, 0, 0, *[None] * 4)]
+    yield held if more else [r[: len(SCHEMA)] for r in held]
 
 
-def _shred(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for part in parts:
-        for doc_id, xml in zip(part.column(0).to_pylist(), part.column(1)):
-            for some in rows(doc_id, xml.as_py()):
-                held += some
-                if len(held) >= BATCH:
-                    yield _batch(held)
-                    held = []
-    if held:
-        yield _batch(held)
+def only(columns: Sequence[str] | None) -> pa.Schema:
+    return SCHEMA if columns is None else pa.schema([_ALL.field(c) for c in columns])
+
+
+def batch(held: list[tuple], schema: pa.Schema = SCHEMA) -> pa.RecordBatch:
+    columns = list(zip(*held))
+    return pa.RecordBatch.from_arrays([pa.array(columns[_AT[f.name]], f.type) for f in schema], schema=schema)
 
 
-def _batch(held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), SCHEMA)], schema=SCHEMA)
+def _shred(schema: pa.Schema):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            # as many documents at a time as are about as long as the longest
+            ends = np.cumsum(np.diff(text_bytes(part.column(1))[1]))
+            i = 0
+            while i < len(ends):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WHOLE, "right")))
+                yield from _some(part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), schema)
+                i = j
+
+    return run
+
+
+def _some(ids: pa.Array, texts: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    plain, made = shred_plain(ids, texts, WHOLE, schema)
+    for i in range(0, made.num_rows if made else 0, 4 * BATCH):
+        yield made.slice(i, 4 * BATCH)
+    held: list[tuple] = []
+    for i in np.flatnonzero(~plain).tolist():
+        for some in rows(ids[i].as_py(), texts[i].as_py(), bool({"kids", "fields"} & set(schema.names))):
+            held += some
+            if len(held) >= BATCH:
+                yield batch(held, schema)
+                held = []
+    if held:
+        yield batch(held, schema)
 
 
-def shred(df: DataFrame, doc_id: str, xml: str) -> DataFrame:
+def shred(df: DataFrame, doc_id: str, xml: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The nodes of a text or binary column; documents never meet, so no shuffle
-    is needed."""
-    return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(xml).alias("xml")).mapInArrow(_shred, NODES)
+    is needed.  ``columns`` are those that are read; no others are made."""
+    schema = only(columns)
+    return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(xml).alias("xml")).mapInArrow(_shred(schema), from_arrow_schema(schema))
 
 
 def shred_files(spark, path: str) -> DataFrame:
