@@ -48,11 +48,13 @@ def test_plain_documents_have_the_parsers_nodes(at_a_time):
 
 
 def test_only_what_is_read_is_made(spark, sf):
-    df = spark.createDataFrame([("1", ODD[0]), ("2", "<a>"), ("3", None)], "id string, xml string")
+    df = spark.createDataFrame([("1", ODD[0]), ("2", "<a>"), ("3", None), ("4", "<a>&amp;<b/></a>")], "id string, xml string")
     every = shred(df, "id", "xml")
     some = shred(df, "id", "xml", ["name", "doc_id", "rule"])
     assert some.columns == ["name", "doc_id", "rule"]
     assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
+    one = shred(df, "id", "xml", names=["b"])
+    assert sorted(map(str, one.collect())) == sorted(map(str, every.where("name = 'b' or rule is not null").collect()))
 
 
 def test_the_query_makes_names_alone(spark, sf):

@@ -72,7 +72,9 @@ def key(raw: Column, t: SimpleType, bindings: Column | None = None) -> Column:
     kind = _kind(t)
     c = V.white(raw, t.white_space())
     family = {"yearMonthDuration": "duration", "dayTimeDuration": "duration", "dateTimeStamp": "dateTime"}.get(kind, kind)
-    return F.when(V.ok(c, kind, bindings), F.concat(F.lit(family + ":"), V.eq_key(c, kind, bindings)))
+    any_ = F.when(V.ok(c, kind, bindings), F.concat(F.lit(family + ":"), V.eq_key(c, kind, bindings)))
+    # digits as a whole number is written are their own key
+    return F.when(raw.rlike(r"\A[1-9][0-9]*\z"), F.concat(F.lit("decimal:"), raw)).otherwise(any_) if kind == "decimal" else any_
 
 
 def canonical(raw: Column, t: SimpleType) -> Column:

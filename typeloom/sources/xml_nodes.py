@@ -203,7 +203,7 @@ def batch(held: list[tuple], schema: pa.Schema = SCHEMA) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[_AT[f.name]], f.type) for f in schema], schema=schema)
 
 
-def _shred(schema: pa.Schema):
+def _shred(schema: pa.Schema, names: frozenset[str] | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
@@ -213,20 +213,20 @@ def _shred(schema: pa.Schema):
             i = 0
             while i < len(ends):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WHOLE, "right")))
-                yield from _some(part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), schema)
+                yield from _some(part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), schema, names)
                 i = j
 
     return run
 
 
-def _some(ids: pa.Array, texts: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    plain, made = shred_plain(ids, texts, WHOLE, schema)
+def _some(ids: pa.Array, texts: pa.Array, schema: pa.Schema, names: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+    plain, made = shred_plain(ids, texts, WHOLE, schema, names)
     for i in range(0, made.num_rows if made else 0, 4 * BATCH):
         yield made.slice(i, 4 * BATCH)
     held: list[tuple] = []
     for i in np.flatnonzero(~plain).tolist():
         for some in rows(ids[i].as_py(), texts[i].as_py(), bool({"kids", "fields"} & set(schema.names))):
-            held += some
+            held += some if names is None else [r for r in some if r[1] is not None or r[8] in names]
             if len(held) >= BATCH:
                 yield batch(held, schema)
                 held = []
@@ -234,11 +234,12 @@ def _some(ids: pa.Array, texts: pa.Array, schema: pa.Schema) -> Iterator[pa.Reco
         yield batch(held, schema)
 
 
-def shred(df: DataFrame, doc_id: str, xml: str, columns: Sequence[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, doc_id: str, xml: str, columns: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """The nodes of a text or binary column; documents never meet, so no shuffle
-    is needed.  ``columns`` are those that are read; no others are made."""
+    is needed.  ``columns`` are those that are read; no others are made.
+    With ``names`` only elements of these get a row, and what is not well-formed."""
     schema = only(columns)
-    return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(xml).alias("xml")).mapInArrow(_shred(schema), from_arrow_schema(schema))
+    return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(xml).alias("xml")).mapInArrow(_shred(schema, None if names is None else frozenset(names)), from_arrow_schema(schema))
 
 
 def shred_files(spark, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ parser, which has the last word on it.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]], o - o[0]
 
 
-def shred_plain(ids: pa.Array, texts: pa.Array, longest: int, schema: pa.Schema) -> tuple[np.ndarray, pa.RecordBatch | None]:
+def shred_plain(ids: pa.Array, texts: pa.Array, longest: int, schema: pa.Schema, only: Collection[str] | None = None) -> tuple[np.ndarray, pa.RecordBatch | None]:
     """Which documents are plain and well-formed, and the nodes of those, each
-    document's in the order in which they end."""
+    document's in the order in which they end; of ``only`` these names, if given."""
     buf, at = text_bytes(texts)
     size = np.diff(at)
     out = (size == 0) | (size > longest)
@@ -70,7 +71,7 @@ def shred_plain(ids: pa.Array, texts: pa.Array, longest: int, schema: pa.Schema)
     out[full] |= (buf[at[:-1][full]] != 60) | (buf[at[1:][full] - 1] != 62)
     out[_owner(at, np.flatnonzero(_FORBIDDEN[buf]))] = True
     while not out.all():
-        found = _nodes(buf, at, out, ids, schema)
+        found = _nodes(buf, at, out, ids, schema, only)
         if isinstance(found, pa.RecordBatch):
             return ~out, found
         out[found] = True  # these aren't, so once more without them
@@ -81,7 +82,7 @@ def _owner(at: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(at, places, "right") - 1
 
 
-def _nodes(buf: np.ndarray, at: np.ndarray, out: np.ndarray, ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch | np.ndarray:
+def _nodes(buf: np.ndarray, at: np.ndarray, out: np.ndarray, ids: pa.Array, schema: pa.Schema, only: Collection[str] | None) -> pa.RecordBatch | np.ndarray:
     """The nodes of all documents but those that are out; or numbers of documents
     that are not plain."""
     lt, close = np.flatnonzero(buf == 60), np.flatnonzero(buf == 62)
@@ -177,6 +178,9 @@ def _nodes(buf: np.ndarray, at: np.ndarray, out: np.ndarray, ids: pa.Array, sche
         return doc[of[odd]]
 
     order = np.argsort(till, kind="stable")
+    if only is not None:
+        order = order[np.array([w in only for w in words.to_pylist()], bool)[kind[order]]]
+    m = len(order)
     wanted = set(schema.names)
     made: dict[str, pa.Array] = {}
     line = column = None
@@ -223,7 +227,7 @@ def _nodes(buf: np.ndarray, at: np.ndarray, out: np.ndarray, ids: pa.Array, sche
         length = depth[order] + 1
         place = np.cumsum(length) - length
         chain = np.empty(int(length.sum()), np.int64)
-        up, left_ = order.copy(), np.arange(n)
+        up, left_ = order.copy(), np.arange(m)
         while len(left_):
             chain[place[left_] + depth[up]] = up
             up = parent[up]
@@ -248,5 +252,5 @@ def _nodes(buf: np.ndarray, at: np.ndarray, out: np.ndarray, ids: pa.Array, sche
         value = _strings(buf, left[each] + 1, (right - left - 1)[each])
         made["attrs"] = _lists(count[order], pa.StructArray.from_arrays([attribute.dictionary.take(pa.array(label[each])), value], ["name", "value"]))
     if "bindings" in wanted:
-        made["bindings"] = pa.MapArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.repeat("xml", n), pa.repeat(XML_NS, n))
-    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
+        made["bindings"] = pa.MapArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.repeat("xml", m), pa.repeat(XML_NS, m))
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(m, f.type) for f in schema], schema=schema)
