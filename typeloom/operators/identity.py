@@ -51,6 +51,22 @@ def duplicates(df: DataFrame, fields: Sequence[str], order: Sequence[str], types
     return later.unionByName(ties).drop("_o", "_first", *names)
 
 
+def repeated(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType] | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """How many rows of each complete key come after its first, for keys that
+    repeat: scope, fields (a literal of the key: of several, the least) and
+    ``later``.  One aggregation; whole numbers meet as numbers."""
+    types = types or [BUILTINS["string"]] * len(fields)
+    names = [f"_k{i}" for i in range(len(fields))]
+    plain = [t.variety == "atomic" and t.primitive() == "decimal" and isinstance(df.schema[f].dataType, IntegralType) for f, t in zip(fields, types)]
+    keys = [F.col(f).alias(n) if same else k for f, n, same, k in zip(fields, names, plain, _keys(df, fields, types))]
+    literals = [f for f, same in zip(fields, plain) if not same]
+    keyed = df.select(*scope, *keys, *literals)
+    for n in names:
+        keyed = keyed.where(F.col(n).isNotNull())
+    per = keyed.groupBy(*scope, *names).agg((F.count("*") - 1).alias("later"), *[F.min(f).alias(f) for f in literals]).where("later > 0")
+    return per.select(*scope, *[F.col(n).alias(f) if same else F.col(f) for f, n, same in zip(fields, names, plain)], "later")
+
+
 def incomplete(df: DataFrame, fields: Sequence[str], types: Sequence[SimpleType] | None = None) -> DataFrame:
     """Rows without some field of a key, or with one that is no valid value
     (4.2.1)."""
