@@ -20,7 +20,7 @@ from ..plans.content import Declined as ModelDeclined
 from ..plans.content import automaton
 from ..plans.model import ANY_TYPE, ComplexType, ElementDecl, Group, Particle, Schema, Type
 from ..plans.namespaces import Wildcard
-from ..sources.xml_nodes import qname
+from ..sources.xml_nodes import SCHEMA, qname
 from ..sources.staging import stage
 from ..sources.xml_reader import XSI
 from .constraints import Identity
@@ -49,6 +49,9 @@ def _particles(p: Particle | None) -> list[Particle]:
 class Assessment:
     """A schema prepared for tables: numbered types and declarations."""
 
+    #: The columns to shred for ``assess``; with them its nodes do not move.
+    COLUMNS = (*SCHEMA.names, "kids")
+
     def __init__(self, schema: Schema):
         self.schema = schema
         self.types: list[Type] = []
@@ -195,6 +198,8 @@ class Assessment:
         typed = every.where("rule is null")
         # only types that occur get an expression: at most as many rows as types
         self.present = {r[0] for r in typed.select("type").distinct().collect()}
+        if "kids" in nodes.columns and not any(e.constraints for e in self.decls) and not self._has_ids():
+            return self._observed(self._by_violation(every, typed), observed)
         content = typed.where("reject_index is not null or too_short").select("doc_id", "node_id", "last_id", "line", "column", "reject_index", "too_short")
         kept = typed if content.where("reject_index is not null").isEmpty() else stage(self._kept(typed, content), "kept")
         nil = F.get(F.transform(F.filter("attrs", lambda a: a["name"] == _XSI[1]), lambda a: a["value"]), 0)
@@ -214,11 +219,46 @@ class Assessment:
         result = out[0]
         for more in out[1:]:
             result = result.unionByName(more)
+        return self._observed(result, observed)
+
+    def _observed(self, result: DataFrame, observed: Observation | None) -> DataFrame:
         if observed is not None:
             family = lambda p: F.count_if(F.col("rule").startswith(p))
             result = result.observe(observed, F.count(F.lit(1)).alias("violations"), family("xml-wf").alias("not_well_formed"), family("cvc-id").alias("identity"), family("cvc-complex").alias("complex_types"), (family("cvc-type") + family("cvc-elt") + family("cvc-attribute")).alias("values"))
         return result
 
+    def _by_violation(self, every: DataFrame, typed: DataFrame) -> DataFrame:
+        """The same of nodes that know their children, without keys and ids: nodes
+        stay where they are, and what was found at nodes that a content model
+        left untyped is taken away afterwards."""
+        nil = F.get(F.transform(F.filter("attrs", lambda a: a["name"] == _XSI[1]), lambda a: a["value"]), 0)
+        rows = typed.withColumn("nil", nil).withColumn("nilled", F.coalesce(F.trim("nil").isin("true", "1"), F.lit(False)))
+        none = F.lit(None).cast("string")
+        bad = lambda d, kind: d.select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit(kind).alias("clause"), none.alias("cause"), "line", "column", F.col("node_id").alias("at"), "ups")
+        first = F.get("kids", F.col("reject_index"))
+        rejecting = typed.where("reject_index is not null")
+        child = rejecting.select("doc_id", F.col("node_id").alias("at"), first["node_id"].alias("node_id"), F.lit("cvc-complex-content").alias("rule"), F.lit("reject").alias("clause"), none.alias("cause"), first["line"].alias("line"), first["column"].alias("column"), "ups")
+        made = [bad(typed.where("too_short"), "short"), child.where("node_id is not null")]
+        made += [rule(rows, "ups").withColumn("at", F.col("node_id")) for rule in (self._element_rules, self._attribute_rules, self._missing_attributes)]
+        found = made[0]
+        for more in made[1:]:
+            found = found.unionByName(more)
+        cut = rejecting.select("doc_id", F.col("node_id").alias("up"), first["node_id"].alias("from_id"))
+        if not cut.isEmpty():
+            found = stage(found, "found")
+            # below a node that rejects, from the rejected child on
+            below = found.select("doc_id", "at", F.explode("ups").alias("up")).join(cut, ["doc_id", "up"]).where("at >= from_id").select("doc_id", "at").distinct()
+            found = found.join(below, ["doc_id", "at"], "left_anti")
+        broken = every.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), none.alias("cause"), "line", "column")
+        return broken.unionByName(found.drop("at", "ups"))
+
+    def _has_ids(self) -> bool:
+        """May a value be an id or a reference to one?"""
+        some = F.lit(None).cast("string")
+        own = [t if isinstance(t, SimpleType) else t.simple for i, t in enumerate(self.types) if self._live(i)]
+        own += [a.type for i, t in enumerate(self.types) if isinstance(t, ComplexType) and self._live(i) for a in t.attributes.values()]
+        return any(self._named_ids(some, t, kind, some) is not None for t in own for kind in ("ID", "IDREF"))
+
     def _kept(self, typed: DataFrame, content: DataFrame) -> DataFrame:
         """Nodes that stay typed: a child from the rejected one on is untyped,
         with all below it."""
@@ -232,7 +272,7 @@ class Assessment:
         at = rejected.where("reject_index is not null").select("doc_id", F.col("node_id").alias("parent_id"), F.col("reject_index").alias("sib"))
         return typed.join(at, ["doc_id", "parent_id", "sib"]).select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit("reject").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column")
 
-    def _element_rules(self, rows: DataFrame) -> DataFrame:
+    def _element_rules(self, rows: DataFrame, *more: str) -> DataFrame:
         """All rules that need only the element's own row, as one array."""
         violation = lambda test, rule, clause, cause=None: F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(clause).alias("clause"), (cause if cause is not None else F.lit(None).cast("string")).alias("cause")))
         ids = lambda test: [i for i, t in enumerate(self.types) if test(t)]
@@ -279,12 +319,12 @@ class Assessment:
         ]
         off = F.when(content & live, self._case("decl", agree, none))
         tests.append(F.when(off.isNotNull(), F.struct(F.lit("cvc-elt").alias("rule"), off.alias("clause"), none.alias("cause"))))
-        found = rows.withColumn("value", self._case("type", value, none)).select("doc_id", "node_id", "line", "column", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x"))
-        return found.select("doc_id", "node_id", "x.rule", "x.clause", "x.cause", "line", "column")
+        found = rows.withColumn("value", self._case("type", value, none)).select("doc_id", "node_id", "line", "column", *more, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x"))
+        return found.select("doc_id", "node_id", "x.rule", "x.clause", "x.cause", "line", "column", *more)
 
-    def _attribute_rules(self, rows: DataFrame) -> DataFrame:
+    def _attribute_rules(self, rows: DataFrame, *more: str) -> DataFrame:
         """Attributes one by one: known, valid, and agreeing with fixed values."""
-        exploded = rows.where(f"type <> {UNTYPED}").select("doc_id", "node_id", "line", "column", "type", "bindings", F.explode("attrs").alias("a")).select("*", F.col("a.name").alias("name"), F.col("a.value").alias("value")).where(~F.col("name").isin(*_XSI))
+        exploded = rows.where(f"type <> {UNTYPED}").select("doc_id", "node_id", "line", "column", "type", "bindings", *more, F.explode("attrs").alias("a")).select("*", F.col("a.name").alias("name"), F.col("a.value").alias("value")).where(~F.col("name").isin(*_XSI))
         known: dict[str, Column] = {}
         cause: list[tuple[Column, Column]] = []
         differs: list[Column] = []
@@ -324,22 +364,22 @@ class Assessment:
             other = other | x
         keyed = exploded.withColumn("key", F.concat_ws("|", F.col("type").cast("string"), "name")).withColumn("bad", bad)
         out = keyed.select(
-            "doc_id", "node_id", "line", "column",
+            "doc_id", "node_id", "line", "column", *more,
             F.when(F.col("type").isin(*simple), F.struct(F.lit("cvc-type").alias("rule"), F.lit("3.1.1").alias("clause"), F.lit(None).cast("string").alias("cause")))
             .when(~(F.col("key").isin(*names) if names else F.lit(False)), F.when(~(F.col("type").isin(*undecided) if undecided else F.lit(False)), F.struct(F.lit("cvc-complex-type").alias("rule"), F.lit("2").alias("clause"), F.lit(None).cast("string").alias("cause"))))
             .when(F.col("bad").isNotNull(), F.struct(F.lit("cvc-attribute").alias("rule"), F.lit("3").alias("clause"), F.col("bad").alias("cause")))
             .when(other, F.struct(F.lit("cvc-au").alias("rule"), F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause")))
             .alias("x"),
         ).where("x is not null")
-        return out.select("doc_id", "node_id", "x.rule", "x.clause", "x.cause", "line", "column")
+        return out.select("doc_id", "node_id", "x.rule", "x.clause", "x.cause", "line", "column", *more)
 
-    def _missing_attributes(self, rows: DataFrame) -> DataFrame:
+    def _missing_attributes(self, rows: DataFrame, *more: str) -> DataFrame:
         needed = {i: [qname(*n) for n, a in t.attributes.items() if a.required] for i, t in enumerate(self.types) if isinstance(t, ComplexType)}
         needed = {i: v for i, v in needed.items() if v}
         wanted = self._case("type", {i: F.array(*[F.lit(x) for x in v]) for i, v in needed.items()}, F.lit(None).cast("array<string>"))
         lost = F.array_except(wanted, F.transform("attrs", lambda a: a["name"]))
-        found = rows.where(F.col("type").isin(*needed) if needed else F.lit(False)).select("doc_id", "node_id", "line", "column", F.explode(lost).alias("name"))
-        return found.select("doc_id", "node_id", F.lit("cvc-complex-type").alias("rule"), F.lit("3").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column")
+        found = rows.where(F.col("type").isin(*needed) if needed else F.lit(False)).select("doc_id", "node_id", "line", "column", *more, F.explode(lost).alias("name"))
+        return found.select("doc_id", "node_id", F.lit("cvc-complex-type").alias("rule"), F.lit("3").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column", *more)
 
     # keys ----------------------------------------------------------------
 
