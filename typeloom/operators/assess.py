@@ -201,7 +201,8 @@ class Assessment:
         if "kids" in nodes.columns and not any(e.constraints for e in self.decls) and not self._has_ids():
             return self._observed(self._by_violation(every, typed), observed)
         content = typed.where("reject_index is not null or too_short").select("doc_id", "node_id", "last_id", "line", "column", "reject_index", "too_short")
-        kept = typed if content.where("reject_index is not null").isEmpty() else stage(self._kept(typed, content), "kept")
+        clean = content.where("reject_index is not null").isEmpty()
+        kept = typed if clean else stage(self._kept(typed, content), "kept")
         nil = F.get(F.transform(F.filter("attrs", lambda a: a["name"] == _XSI[1]), lambda a: a["value"]), 0)
         rows = kept.withColumn("nil", nil).withColumn("nilled", F.coalesce(F.trim("nil").isin("true", "1"), F.lit(False)))
         rejected = kept.where("reject_index is not null or too_short").select("doc_id", "node_id", "line", "column", "reject_index", "too_short")
@@ -209,7 +210,7 @@ class Assessment:
             every.where("rule is not null").select("doc_id", F.lit(None).cast("long").alias("node_id"), "rule", F.lit("").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
             self._element_rules(rows),
             rejected.where("too_short").select("doc_id", "node_id", F.lit("cvc-complex-content").alias("rule"), F.lit("short").alias("clause"), F.lit(None).cast("string").alias("cause"), "line", "column"),
-            self._rejected_children(typed, rejected),
+            *([] if clean else [self._rejected_children(typed, rejected)]),
             self._attribute_rules(rows),
             self._missing_attributes(rows),
             self._ids(rows),
